@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from profloom.llm import op04_ngram_join, op06_suffix_dedup, op10_url_filter
+from profloom.llm import (
+    op01_line_dedup,
+    op03_toxicity,
+    op04_ngram_join,
+    op05_mixture,
+    op06_suffix_dedup,
+    op07_decontaminate,
+    op08_lattice_lm,
+    op10_url_filter,
+)
 
 QUERIES = {
+    "op1_line_dedup": op01_line_dedup.op1_line_dedup,
+    "op3_toxicity": op03_toxicity.op3_toxicity,
     "op4_ngram_join": op04_ngram_join.op4_ngram_join,
+    "op5_mixture": op05_mixture.op5_mixture,
     "op6_suffix_dedup": op06_suffix_dedup.op6_suffix_dedup,
+    "op7_decontaminate": op07_decontaminate.op7_decontaminate,
+    "op8_lattice_lm": op08_lattice_lm.op8_lattice_lm,
     "op10_url_filter": op10_url_filter.op10_url_filter,
 }
 
-ORACLES = {"op10_url_filter": op10_url_filter.ORACLE}
+ORACLES = {
+    "op1_line_dedup": op01_line_dedup.ORACLE,
+    "op5_mixture": op05_mixture.ORACLE,
+    "op10_url_filter": op10_url_filter.ORACLE,
+}
