@@ -22,6 +22,9 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 20
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster; a fresh local one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,9 +36,15 @@ def scratch(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends here."""
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # nothing reads this execution's shuffle files again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

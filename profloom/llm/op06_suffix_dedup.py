@@ -7,13 +7,16 @@ smallest hash of its ``CORE``-byte substrings, so windows with equal bytes have
 anchors, and about two anchors in ``length - CORE`` bytes stand for all windows.
 
 1. Anchors whose core occurs once are dropped (count and join).
-2. The others bring the bytes around them. Per batch, an anchor with the same
-   surroundings as an earlier one is settled before the shuffle: all its windows go.
-3. The rest meet by core. Their right sides (core and what follows) and their left sides
-   (what precedes, reversed) are sorted; a window with ``a`` bytes left of the anchor is a
-   repeat of an earlier one exactly when some earlier anchor shares its class among left
-   sides of ``a`` bytes and among right sides of ``length - a`` bytes.
-4. Cores with more than ``HOT`` anchors do not meet in one task: their windows are
+2. An anchor whose whole surroundings (all bytes that its windows can hold) also stand
+   around an earlier one has nothing but repeated windows. Inside a batch this is settled
+   before the shuffle, byte by byte, so a passage that a third of all texts hold costs one
+   row per batch; between batches a 128-bit digest of the surroundings decides.
+3. What is left are edges of repeats. They bring their surroundings and meet by core. Their
+   right sides (core and what follows) and their left sides (what precedes, reversed) are
+   sorted; a window with ``a`` bytes left of the anchor is a repeat of an earlier one exactly
+   when some earlier anchor shares its class among left sides of ``a`` bytes and among right
+   sides of ``length - a`` bytes.
+4. Cores with more than ``HOT`` open anchors do not meet in one task: their windows are
    keyed by hash and reduced to the earliest by Spark's partial aggregation.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; equal
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profloom.llm.common import U64, cut, mix64, table, text_slices
@@ -93,7 +96,7 @@ def _anchor_rows(length: int, core: int):
                 at, h = anchors(data, offsets, length, core)
                 doc = np.searchsorted(offsets, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[row + doc]), pa.array((at - offsets[doc]).astype(np.int32))], ["core", "doc", "pos"]
+                    [pa.array(h.view(np.int64)), pa.array((at - offsets[doc]).astype(np.int32)), pa.array(ids[row + doc])], ["core", "pos", "doc"]
                 )
 
     return run
@@ -101,9 +104,8 @@ def _anchor_rows(length: int, core: int):
 
 #: Stands for what lies past a text; no UTF-8 text holds this byte.
 PAST = 255
-#: Anchors that a context batch settles together.
+#: Anchors whose surroundings a task holds at once.
 CONTEXTS = 60_000
-_SCHEMA = "core long, doc long, pos int, around binary, lo int, hi int"
 
 
 def _surroundings(data: np.ndarray, at: np.ndarray, length: int, core: int) -> np.ndarray:
@@ -113,40 +115,66 @@ def _surroundings(data: np.ndarray, at: np.ndarray, length: int, core: int) -> n
     return wide[(at + length)[:, None] + np.arange(core - length, length)[None, :]]
 
 
-def _settle_batch(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, around: np.ndarray, half: int, length: int) -> pa.RecordBatch:
-    """Open anchors with their surroundings; anchors that repeat an earlier one of the batch as spans."""
-    order = np.lexsort((pos, doc))
-    doc, pos, h, around = doc[order], pos[order].astype(np.int64), h[order], np.ascontiguousarray(around[order])
-    _, first = np.unique(around.view(f"V{around.shape[1]}").ravel(), return_index=True)
-    open_ = np.zeros(len(doc), bool)
-    open_[first] = True
-    past = around == PAST
-    left = half - past[:, :half].sum(1)
-    right = length - past[:, half:].sum(1)
-    keep = left + right >= length
-    doc, pos, h, open_, lo, hi = (x[keep] for x in (doc, pos, h, open_, pos - left, pos + right))
-    blobs = around[keep][open_].tobytes()
-    ends = np.concatenate(([0], np.cumsum(np.where(open_, around.shape[1], 0)))).astype(np.int32)
-    blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blobs)])
-    spans = [pa.array(x.astype(np.int32), mask=open_) for x in (lo, hi)]
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pos.astype(np.int32)), blob, *spans], ["core", "doc", "pos", "around", "lo", "hi"])
-
-
-def _context_rows(length: int, core: int):
+def _with_surroundings(batches: Iterator[pa.RecordBatch], length: int, core: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, pos, core hash, surroundings) of (doc, body, anchors) rows, by doc and pos, repeated rows once."""
+
+    def whole(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        doc, pos, h, around = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((pos, doc))
+        fresh = np.append(True, (doc[order[1:]] != doc[order[:-1]]) | (pos[order[1:]] != pos[order[:-1]]))
+        return tuple(x[order[fresh]] for x in (doc, pos, h, around))
+
+    for batch in batches:
+        held: list[tuple] = []
+        rows = 0
+        for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            at = np.asarray(found.values.field(0)).astype(np.int64)
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            held.append((np.full(len(at), doc, np.int64), at, np.asarray(found.values.field(1)), _surroundings(data, at, length, core)))
+            rows += len(at)
+            if rows >= CONTEXTS:
+                yield whole(held)
+                held, rows = [], 0
+        if held:
+            yield whole(held)
+
+
+def _digests(length: int, core: int):
+    """Per anchor: two hashes of its surroundings, the stretch that its windows cover, and whether an
+    earlier anchor of the same batch has the same surroundings (compared byte by byte)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[tuple] = []
-            rows = 0
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                at = np.asarray(found.values.field(0)).astype(np.int64)
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                held.append((np.full(len(at), doc, np.int64), at, np.asarray(found.values.field(1)), _surroundings(data, at, length, core)))
-                rows += len(at)
-                if rows >= CONTEXTS:
-                    yield _settle_batch(*map(np.concatenate, zip(*held, strict=True)), length - core, length)
-                    held, rows = [], 0
-            if held:
-                yield _settle_batch(*map(np.concatenate, zip(*held, strict=True)), length - core, length)
+        for doc, pos, h, around in _with_surroundings(batches, length, core):
+            past = around == PAST
+            half = length - core
+            left, right = half - past[:, :half].sum(1), length - past[:, half:].sum(1)
+            keep = left + right >= length
+            doc, pos, h, around, left, right = (x[keep] for x in (doc, pos, h, around, left, right))
+            one, two = np.zeros((2, len(doc)), U64)
+            for j in range(around.shape[1]):
+                one = one * _BASE + around[:, j].astype(U64) + U64(1)
+                two = (two ^ around[:, j].astype(U64)) * U64(0xD6E8FEB86659FD93) + U64(j)
+            one, two = mix64(one), mix64(two)
+            _, first, of = np.unique(one, return_index=True, return_inverse=True)
+            source = first[of]
+            shut = (source != np.arange(len(doc))) & (around == around[source]).all(1)
+            one[shut] = mix64(one[shut] + np.flatnonzero(shut).astype(U64) * U64(0x9E3779B97F4A7C15))  # spread: they meet no one
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(h), pa.array(doc), ints(pos), ints(pos - left), ints(pos + right), pa.array(shut)],
+                ["h1", "h2", "core", "doc", "pos", "lo", "hi", "shut"],
+            )
+
+    return run
+
+
+def _contexts(length: int, core: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, pos, h, around in _with_surroundings(batches, length, core):
+            width = around.shape[1]
+            ends = (np.arange(len(doc) + 1) * width).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(around).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pos.astype(np.int32)), blob], ["core", "doc", "pos", "around"])
 
     return run
 
@@ -260,16 +288,10 @@ def repeated_spans(doc: np.ndarray, pos: np.ndarray, core: np.ndarray, around: n
 
 def _sort_blocks(length: int, size: int):
     def settle(batch: pa.Table) -> pa.RecordBatch:
-        doc, pos, core, lo, hi = (batch.column(i).to_numpy() for i in (1, 2, 0, 4, 5))
-        shut = ~np.isnan(lo.astype(float))
-        outs = [(doc[shut], lo[shut].astype(np.int64), hi[shut].astype(np.int64))]
-        if (~shut).any():
-            blob = b"".join(batch.column(3).filter(pa.array(~shut)).to_pylist())
-            around = np.frombuffer(blob, np.uint8).reshape(-1, 2 * length - size)
-            d, p = doc[~shut], pos[~shut].astype(np.int64)
-            who, a, b = repeated_spans(d, p, core[~shut], around, length, size)
-            outs.append((d[who], a, b))
-        doc, lo, hi = map(np.concatenate, zip(*outs, strict=True))
+        core, doc, pos = (batch.column(i).to_numpy() for i in range(3))
+        around = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 2 * length - size)
+        who, lo, hi = repeated_spans(doc, pos.astype(np.int64), core, around, length, size)
+        doc = doc[who]
         order = np.lexsort((lo, doc))  # runs of neighbouring windows become one span
         doc, lo, hi = doc[order], lo[order], hi[order]
         if len(doc):
@@ -345,25 +367,34 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
 
+def _at(rows: DataFrame, anchors_: DataFrame) -> DataFrame:
+    """(doc, body, at): each text with its anchors among ``anchors_(core, doc, pos)``."""
+    return rows.join(anchors_.groupBy("doc").agg(F.collect_list(F.struct("pos", "core")).alias("at")), "doc").select("doc", "body", "at")
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256) per document."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body")
     )
-    found = rows.mapInArrow(_anchor_rows(length, core), "core long, doc long, pos int")
-    repeated = cut(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = found.join(repeated, "core").groupBy("doc").agg(F.collect_list(F.struct("pos", "core")).alias("at"))
-    around = rows.join(wanted, "doc").select("doc", "body", "at").mapInArrow(_context_rows(length, core), _SCHEMA)
-    hot_cores = repeated.where(F.col("n") > hot).select("core")
-    any_hot = not hot_cores.isEmpty()
-    cold = around.join(hot_cores, "core", "left_anti") if any_hot else around
-    spans = cold.repartition("core").sortWithinPartitions("core").mapInArrow(_sort_blocks(length, core), "doc long, lo int, hi int")
-    if any_hot:
-        heavy = around.join(hot_cores, "core", "left_semi")
-        windows = heavy.where("lo IS NULL").select("doc", "pos", "around").mapInArrow(_window_rows(length, core), "k1 long, k2 long, doc long, start int")
+    found = rows.mapInArrow(_anchor_rows(length, core), "core long, pos int, doc long")  # what changes from row to row side by side: it packs better
+    repeated = cut(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    digests = _at(rows, found.join(repeated, "core")).mapInArrow(_digests(length, core), "h1 long, h2 long, core long, doc long, pos int, lo int, hi int, shut boolean")
+    place = F.struct("doc", "pos")
+    first = F.min(place).over(Window.partitionBy("h1", "h2"))
+    known = cut(digests.select("core", "doc", "pos", "lo", "hi", (F.col("shut") | (place != first)).alias("gone")))
+    spans = known.where("gone").select("doc", "lo", "hi")
+    firsts = known.where("NOT gone").select("core", "doc", "pos")
+    open_ = cut(firsts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+    around = lambda cores: _at(rows, firsts.join(cores.select("core"), "core")).mapInArrow(_contexts(length, core), "core long, doc long, pos int, around binary")
+    cold = around(open_.where(F.col("n") <= hot)).repartition("core").sortWithinPartitions("core")
+    spans = spans.union(cold.mapInArrow(_sort_blocks(length, core), "doc long, lo int, hi int"))
+    heavy = open_.where(F.col("n") > hot)
+    if not heavy.isEmpty():
+        windows = around(heavy).select("doc", "pos", "around").mapInArrow(_window_rows(length, core), "k1 long, k2 long, doc long, start int")
         earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start")).alias("first"))
         later = windows.join(earliest, ["k1", "k2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-        spans = spans.union(later.select("doc", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))).union(heavy.where("lo IS NOT NULL").select("doc", "lo", "hi"))
+        spans = spans.union(later.select("doc", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
     cuts = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     done = rows.join(cuts, "doc", "left").select("doc", "body", "spans").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string"
