@@ -11,12 +11,13 @@ How it stays linear where it can:
 * identical sets collapse to one representative before anything is joined;
 * the order is by hash, with shingles that many documents hold put last, so that a
   passage common to many documents is not in prefixes. Documents made mostly of such
-  shingles ("dense") fall back to plain hash order, in a posting space of their own;
-* candidates come in two rounds. Round one links every posting to the smallest document
-  of its shingle (linear), which already joins groups of near copies. Round two joins
-  the postings of shingles whose documents still lie in different components, and only
-  across components: a pair inside one is already reachable, a pair across is never
-  skipped. No cap is set on postings or candidates.
+  shingles, and those that share a shingle with one, bring their whole sets and are joined
+  rarest shingles first, in a posting space of their own;
+* candidates come in rounds. In the first two a document meets one document of each of its
+  shingles (linear), which already joins groups of near copies. The last joins the postings
+  of shingles whose documents still lie in different components, and only across
+  components: a pair inside one is already reachable, a pair across is never skipped. No
+  cap is set on postings or candidates.
 
 Defined cases: fewer words than a shingle: the whole sequence is the one shingle; null,
 empty or blank text: an empty set, linked with nothing. A repeated row is the same
@@ -38,7 +39,7 @@ from profloom.llm.common import SPACES, U64, components, cut, lowered, mix64, sp
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least similarity in hundredths
 #: The longest prefix extension that a document may choose.
-MOST_MATCHES = 6
+MOST_MATCHES = 4
 #: A shingle in the prefix region of more documents than this is ordered last.
 COMMON = 40
 
@@ -74,10 +75,14 @@ def _prefix(n: int, k: int, similar: int) -> int:
     return min(n, n - _need(n, similar) + k)
 
 
+#: Rounds in which a shingle's documents meet one of them only.
+HUB_ROUNDS = 2
+
+
 def _region(n: int, similar: int) -> int:
     """Shingles, lowest hashes first, that are looked at to build a prefix."""
     least = _prefix(n, MOST_MATCHES, similar)
-    return min(n, least + least // 2)
+    return min(n, least + least // 3)
 
 
 def _arrays(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -107,13 +112,11 @@ def _fingerprints(words: int, similar: int):
 def _choose(similar: int):
     """Postings of each document: which shingles make its prefix, and how many must match.
 
-    In: doc_id, n, and its shared region shingles as structs (rank, token, df). Space 0 has
-    the uncommon shingles of documents that have enough of them; space 1 has the plain hash
-    order, for pairs with a dense document.
+    In: doc_id, n, and its shared shingles as structs (rank, token, df), rank being the place
+    among all n in the order that is used. The k of least estimated cost is taken.
     """
 
     def best(n: int, ranks: np.ndarray, df: np.ndarray) -> int:
-        """The k of least estimated cost; 0: too few shared shingles for any."""
         choice, least = 0, np.inf
         for k in range(1, min(MOST_MATCHES, _need(n, similar)) + 1):
             inside = ranks < _prefix(n, k, similar)
@@ -125,32 +128,61 @@ def _choose(similar: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(4)]
             flat = batch.column(2).flatten()
             rank, token, df = (np.asarray(flat.field(i)) for i in range(3))
             ends = np.cumsum(np.asarray(batch.column(2).value_lengths()))
             for doc, n, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.concatenate(([0], ends[:-1])), ends, strict=True):
-                order = np.argsort(rank[lo:hi])
-                r, t, f = rank[lo:hi][order], token[lo:hi][order], df[lo:hi][order]
-                common = f > COMMON
-                dense = _region(n, similar) - int(common.sum()) < _prefix(n, MOST_MATCHES, similar) and bool(common.any())
-                plans = [(1, r, t, f)]
-                if not dense:
-                    keep = ~common
-                    plans.append((0, (r - np.cumsum(common))[keep], t[keep], f[keep]))
-                for space, rs, ts, fs in plans:
-                    if k := best(n, rs, fs):
-                        inside = ts[rs < _prefix(n, k, similar)]
-                        for col, v in zip(cols, (np.full(len(inside), space), inside, np.full(len(inside), doc), np.full(len(inside), n), np.full(len(inside), k), np.full(len(inside), dense)), strict=True):
-                            col.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else [], k) for c, k in zip(cols, kinds, strict=True)], ["space", "token", "doc", "n", "k", "dense"]
-            )
+                if k := best(n, rank[lo:hi], df[lo:hi]):
+                    inside = token[lo:hi][rank[lo:hi] < _prefix(n, k, similar)]
+                    for col, v in zip(cols, (inside, np.full(len(inside), doc), np.full(len(inside), n), np.full(len(inside), k)), strict=True):
+                        col.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(cols, kinds, strict=True)], ["token", "doc", "n", "k"])
 
     return run
 
 
+_POSTING = "token long, doc long, n long, k int"
+
+
+def _postings(shared: DataFrame, similar: int, space: int) -> DataFrame:
+    return shared.select("doc_id", "n", "shared").mapInArrow(_choose(similar), _POSTING).withColumn("space", F.lit(space))
+
+
+def _hash_order(first: DataFrame, similar: int) -> tuple[DataFrame, DataFrame]:
+    """(postings of space 0, documents that need space 1).
+
+    Shingles of the prefix region in hash order, those in more than COMMON regions put last. A
+    document whose region has too few others is dense; it and all that share a region shingle
+    with one meet in space 1.
+    """
+    tokens = first.select("doc_id", "n", F.posexplode("region").alias("rank", "token"))
+    tokens = tokens.select("token", "rank", "n", "doc_id")  # what changes from row to row side by side: it packs better
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = cut(tokens.join(common, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("rank", "token", "df"))).alias("shared")))
+    need = f"((n * {similar} + 99) div 100)"
+    prefix = f"least(n, n - {need} + {MOST_MATCHES})"
+    region = f"least(n, {prefix} + {prefix} div 3)"
+    heavy = f"size(filter(shared, s -> s.df > {COMMON}))"
+    dense = shared.where(f"{heavy} > 0 AND {region} - {heavy} < {prefix}")
+    demoted = "transform(filter(transform(shared, (s, i) -> named_struct('s', s, 'i', i)), x -> x.s.df <= {c}), (x, j) -> named_struct('rank', int(x.s.rank - (x.i - j)), 'token', x.s.token, 'df', x.s.df))"
+    plain = shared.join(dense.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", F.expr(demoted.format(c=COMMON)).alias("shared"))
+    held = dense.select(F.explode("shared.token").alias("token")).distinct()
+    touching = shared.select("doc_id", F.explode("shared.token").alias("token")).join(held, "token", "left_semi").select("doc_id").distinct()
+    return _postings(plain.where("size(shared) > 0"), similar, 0), touching
+
+
+def _rare_first_order(sets: DataFrame, similar: int) -> DataFrame:
+    """Postings of space 1: whole sets, ordered by how many of these documents hold a shingle, then by hash."""
+    tokens = sets.select(F.explode("shingles").alias("token"), F.size("shingles").cast("long").alias("n"), "doc")
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tokens.join(df, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("held"))
+    # shingles that no other document holds come first; the shared ones follow in order
+    ranked = F.expr("transform(held, (s, i) -> named_struct('rank', int(n - size(held) + i), 'token', s.token, 'df', s.df))")
+    return _postings(shared.select(F.col("doc").alias("doc_id"), "n", ranked.alias("shared")), similar, 1)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,49 +200,61 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut(prints.select("doc_id", *class_).distinct().join(heads, class_, "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")))
 
     first = prints.where("n > 0").join(members.where("head = doc_id").select("doc_id"), "doc_id", "left_semi")
-    tokens = first.select("doc_id", "n", F.posexplode("region").alias("rank", "token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(common, "token").groupBy("doc_id", "n").agg(F.collect_set(F.struct("rank", "token", "df")).alias("shared"))
-    postings = cut(
-        shared.select("doc_id", "n", "shared").mapInArrow(_choose(similar), "space int, token long, doc long, n long, k int, dense boolean")
-    )
-
-    # what a shingle's postings have in common: nothing to join unless two differ
-    about = postings.groupBy("space", "token").agg(F.min(F.struct("doc", "n", "k", "dense")).alias("hub"), F.count("*").alias("df"), F.max("dense").alias("any_dense"))
-    about = about.where("df > 1 AND (space = 0 OR any_dense)").select("space", "token", "hub")
-    star = (
-        postings.join(about, ["space", "token"])
-        .where("doc <> hub.doc")
-        .select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"), F.col("hub.n").alias("an"), "n", F.least("k", "hub.k").alias("k"), "space", (F.col("dense") | F.col("hub.dense")).alias("dense"))
-    )
-    seen = cut(_verify(_enough(star, similar), rows, words, similar))
-    links = seen.where("linked").select("a", "b")
-
-    so_far = components(links)
-    at = postings.join(so_far.select(F.col("id").alias("doc"), "component_id"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
-    at = cut(at)
-    open_ = at.groupBy("space", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("dense").alias("any_dense"))
-    open_ = open_.where("lo <> hi AND (space = 0 OR any_dense)").select("space", "token")
-    left = at.join(open_, ["space", "token"], "left_semi").select("space", "token", F.col("doc").alias("a"), F.col("n").alias("an"), F.col("k").alias("ak"), F.col("comp").alias("ac"), F.col("dense").alias("ad"))
-    right = at.join(open_, ["space", "token"], "left_semi").select("space", "token", F.col("doc").alias("b"), "n", F.col("k").alias("bk"), F.col("comp").alias("bc"), F.col("dense").alias("bd"))
-    fits = (F.col("an") * 100 >= F.col("n") * similar) & (F.col("n") * 100 >= F.col("an") * similar)
-    pairs = (
-        left.join(right, ["space", "token"])
-        .where((F.col("ac") < F.col("bc")) & fits & ((F.col("space") == 0) | F.col("ad") | F.col("bd")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "an", "n", F.least("ak", "bk").alias("k"), "space", (F.col("ad") | F.col("bd")).alias("dense"))
-    )
-    fresh = _enough(pairs, similar).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(fresh, rows, words, similar).where("linked").select("a", "b")
-    groups = components(links.union(more))
+    plain, crowded = _hash_order(first, similar)
+    postings = plain
+    crowded = cut(crowded)
+    if not crowded.isEmpty():
+        sets = cut(rows.join(crowded, "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, shingles array<long>"))
+        postings = plain.unionByName(_rare_first_order(sets, similar))
+    postings = cut(postings)
+
+    # two rounds against one document per shingle, then all pairs that are not yet connected
+    seen, links, at = None, None, postings.withColumn("comp", F.col("doc"))
+    for turn in range(HUB_ROUNDS + 1):
+        found = cut(_verify(_enough(_hub_pairs(at, turn, similar) if turn < HUB_ROUNDS else _open_pairs(at, similar), seen), rows, words, similar))
+        seen = found.select("a", "b") if seen is None else seen.union(found.select("a", "b"))
+        fresh = found.where("linked").select("a", "b")
+        links = fresh if links is None else links.union(fresh)
+        groups = components(links)
+        if turn < HUB_ROUNDS:
+            at = postings.join(groups.select(F.col("id").alias("doc"), "component_id"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
+            at = cut(at)
     named = members.join(groups.select(F.col("id").alias("head"), "component_id"), "head", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "head").alias("component_id"))
 
 
-def _enough(pairs: DataFrame, similar: int) -> DataFrame:
-    """Pairs whose sizes fit and that share enough prefix shingles, in either space."""
-    fits = (F.col("an") * 100 >= F.col("n") * similar) & (F.col("n") * 100 >= F.col("an") * similar)
-    counted = pairs.where(fits & ((F.col("space") == 0) | F.col("dense"))).groupBy("a", "b", "space").agg(F.count("*").alias("shared"), F.min("k").alias("k"))
-    return counted.where("shared >= k").select("a", "b").distinct()
+_FITS = "an * 100 >= n * {s} AND n * 100 >= an * {s}"
+
+
+def _mixed(at: DataFrame) -> DataFrame:
+    """(space, token) of the shingles whose documents lie in different components."""
+    about = at.groupBy("space", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return about.where("lo <> hi").select("space", "token")
+
+
+def _hub_pairs(at: DataFrame, turn: int, similar: int) -> DataFrame:
+    """(a, b, space, k) rows: each document beside one document of each of its shingles."""
+    order = F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")
+    hub = F.min(F.struct(order.alias("o"), "doc", "n", "k", "comp")).alias("hub")
+    hubs = at.groupBy("space", "token").agg(hub, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("space", "token", "hub")
+    rows = at.join(hubs, ["space", "token"]).where("comp <> hub.comp")
+    sized = rows.withColumn("an", F.col("hub.n")).where(_FITS.format(s=similar))
+    return sized.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"), "space", F.least("k", "hub.k").alias("k"))
+
+
+def _open_pairs(at: DataFrame, similar: int) -> DataFrame:
+    """(a, b, space, k) rows of all documents of a shingle that lie in different components."""
+    left = at.join(_mixed(at), ["space", "token"], "left_semi")
+    right = left.select("space", "token", F.col("doc").alias("other"), F.col("n").alias("an"), F.col("k").alias("ak"), F.col("comp").alias("other_comp"))
+    pairs = left.join(right, ["space", "token"]).where(F.expr(f"comp < other_comp AND {_FITS.format(s=similar)}"))
+    return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), "space", F.least("k", "ak").alias("k"))
+
+
+def _enough(pairs: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Pairs that share enough prefix shingles in either space and were not verified before."""
+    counted = pairs.groupBy("a", "b", "space").agg(F.count("*").alias("shared"), F.min("k").alias("k"))
+    found = counted.where("shared >= k").select("a", "b").distinct()
+    return found if seen is None else found.join(seen, ["a", "b"], "left_anti")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, words: int, similar: int) -> DataFrame:
