@@ -230,7 +230,7 @@ def common_uids(spark, sf_dir):
 @query(sql.NEW_FUNCTIONS)
 def new_functions(spark, sf_dir):
     e = views.call_edges(spark, sf_dir)
-    return graph.new_functions(e.where("version = '1995' AND callee < 'N'"), e.where("version = '1996'"))
+    return graph.new_functions(e.where("version = '1995' AND caller < 'C'"), e.where("version = '1996'"))
 
 
 # joins

@@ -38,12 +38,12 @@ MIN_MAX_COUNT = f"SELECT version, uid, min(amount) AS lo, max(amount) AS hi, cou
 
 
 def _dense(source: str, by: str) -> str:
-    return f"""SELECT k.by, x::INT AS x, coalesce(value, 0) AS value FROM (SELECT DISTINCT {by} AS by FROM {source})
-  k CROSS JOIN (SELECT unnest(range(min(snapshot), max(snapshot) + 1)) AS x FROM {source}) LEFT JOIN (SELECT {by} AS by, snapshot AS x, sum(amount) AS value FROM {source} GROUP BY ALL) f USING (by, x)"""
+    return f"""SELECT k."by", x::INT AS x, coalesce(value, 0) AS value FROM (SELECT DISTINCT {by} AS "by" FROM {source})
+  k CROSS JOIN (SELECT unnest(range(min(snapshot), max(snapshot) + 1)) AS x FROM {source}) LEFT JOIN (SELECT {by} AS "by", snapshot AS x, sum(amount) AS value FROM {source} GROUP BY ALL) f USING ("by", x)"""
 
 
-FLOW = f"SELECT by, x, round(value, 4) AS value FROM ({_dense(f'(SELECT * FROM {EVENTS} WHERE version < $$2024-01-03$$)', 'tid')})"
-FLOW_ACCUMULATED = f"SELECT by, x, round(value, 4) AS value, round(sum(value) OVER (PARTITION BY by ORDER BY x), 4) AS accumulated FROM ({_dense(EVENTS, 'uid')})"
+FLOW = f"""SELECT "by", x, round(value, 4) AS value FROM ({_dense(f"(SELECT * FROM {EVENTS} WHERE version < '2024-01-03')", 'tid')})"""
+FLOW_ACCUMULATED = f"""SELECT "by", x, round(value, 4) AS value, round(sum(value) OVER (PARTITION BY "by" ORDER BY x), 4) AS accumulated FROM ({_dense(EVENTS, 'uid')})"""
 MEAN_AMOUNT = f"SELECT version, uid, round(avg(amount), 4) AS average FROM {EVENTS} GROUP BY version, uid"
 TRACE_TOTALS = f"SELECT uid, trace, round(amount, 2) AS amount, round(100 * amount / sum(amount) OVER (), 2) AS percent FROM (SELECT uid, trace, sum(amount) AS amount FROM {ORDERS} GROUP BY ALL)"
 FUNCTION_STATS = f"""SELECT version, uid, n + (n - 1) * 2 AS count, n AS sampled_count, round(t, 4) AS total, round(t, 4) AS total_exclusive, lo AS min, hi AS max, round(t / n, 4) AS avg,
@@ -91,7 +91,7 @@ COMPARE_TOP_N = f"""SELECT rank, b.uid AS base_uid, b.trace AS base_trace, t.uid
 NTH_PROFILE = f"""SELECT version, profile_id, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY time, profile_id) - 1 AS nth FROM {PROFILES}) WHERE nth BETWEEN 1 AND 2"""
 COMMON_UIDS = f"SELECT tid AS uid FROM {EVENTS} WHERE amount > 99 INTERSECT SELECT tid FROM {EVENTS} WHERE amount < 1"
 _FUNCTIONS = "(SELECT caller AS func, version FROM {0} WHERE {1} UNION SELECT callee, version FROM {0} WHERE {1})"
-NEW_FUNCTIONS = f"""SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1996'")} EXCEPT SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1995' AND callee < 'N'")}"""
+NEW_FUNCTIONS = f"""SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1996'")} EXCEPT SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1995' AND caller < 'C'")}"""
 
 PARENT_BASELINES = f"SELECT target_id, baseline_id FROM {_PARENTS}"
 ANCESTORS = f"""SELECT t.profile_id AS target_id, count(*) AS n, min(b.profile_id) AS oldest FROM {PROFILES} t JOIN {PROFILES} b ON b.version < t.version AND b.type = t.type AND b.cmd = t.cmd
