@@ -108,9 +108,11 @@ def _stretches(wanted, masks: tuple[str, ...]):
                     at.append(p)
                     seeds.append(s[p])
                 pos, seed = np.concatenate(at), np.concatenate(seeds)
+                if not len(pos):
+                    continue
                 order = np.argsort(pos, kind="stable")
                 pos, seed = pos[order], seed[order]
-                fresh = np.append(True, (pos[1:] - pos[:-1] > REACH) | (rows[pos[1:]] != rows[pos[:-1]])) if len(pos) else np.zeros(0, bool)
+                fresh = np.append(True, (pos[1:] - pos[:-1] > REACH) | (rows[pos[1:]] != rows[pos[:-1]]))
                 cuts = np.flatnonzero(fresh)
                 for lo, hi in zip(cuts, np.append(cuts[1:], len(pos)), strict=True):
                     i = int(rows[pos[lo]])

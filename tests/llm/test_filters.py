@@ -70,6 +70,7 @@ def test_leaks_are_found_and_others_left(spark, docs_of, make):
     assert {r.doc for r in found} == leaks
     assert {r.item for r in found if r.doc == 0} == {0, 93}
     assert op07_decontaminate.overlaps(docs_of([]), marks).collect() == []
+    assert op07_decontaminate.overlaps(docs_of([(1, "nothing of the kind"), (2, None)]), marks).collect() == []
     assert op07_decontaminate.overlaps(docs_of(docs), marks.limit(0)).collect() == []
 
 
