@@ -140,7 +140,7 @@ def read_trace_records(spark: SparkSession, paths: str | list[str], probes: Data
 
 def parse_alloc_blocks(blocks: DataFrame, interval: float) -> DataFrame:
     """Blocks of time, ``amountB allocator address`` and stack lines, symbol names resolved."""
-    lines = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     b = blocks.select(lines.alias("l")).where("size(l) >= 2 AND l[0] NOT LIKE 'EXIT%'")
     head = F.get("l", F.lit(1))
     frames = F.transform(F.slice("l", 3, F.size("l")), lambda s: F.struct(F.regexp_extract(s, r"^(\S+)", 1).alias("func"), F.regexp_extract(s, r"\s(\S+\.\S+)(?::\d+)?$", 1).alias("source"), F.regexp_extract(s, r":(\d+)$", 1).try_cast("bigint").alias("line")))
