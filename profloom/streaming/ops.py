@@ -40,15 +40,19 @@ def _fold(state: dict, rows: list[tuple[int, int, str]]) -> Iterator[tuple]:
         yield probe, depth, begin, timestamp, amount, amount - inner, number
 
 
-def stream_pair_calls(records: DataFrame, idle: str = "1 hour") -> DataFrame:
+def stream_pair_calls(records: DataFrame, idle: str | None = None) -> DataFrame:
     """Calls as they end, per thread: a stack, a sequence per probe and open callees' time as state.
 
     ``records``: tid, timestamp, step (+1 begin, -1 end, 0 end of the thread), probe_id. Rows of a
-    batch are put in time order. A thread's state goes when it ends or has been idle for ``idle``.
+    batch are put in time order. A thread's state goes when it ends or, in a continuous query, when
+    it has been idle for ``idle`` (like "1 hour"; a replay that stops at the end of its input takes none).
     """
     ms = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
-    n, unit = idle.split()
-    wait = int(n) * ms[unit.rstrip("s")]
+    wait = None
+    if idle is not None:
+        n, unit = idle.split()
+        wait = int(n) * ms[unit.rstrip("s")]
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def run(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
@@ -65,10 +69,11 @@ def stream_pair_calls(records: DataFrame, idle: str = "1 hour") -> DataFrame:
             state.remove()
         else:
             state.update((json.dumps(held),))
-            state.setTimeoutDuration(wait)
+            if wait is not None:
+                state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["tid", "uid", "depth", "begin", "end", "amount", "exclusive", "sequence"])
 
-    return records.select("tid", "timestamp", "step", "probe_id").groupBy("tid").applyInPandasWithState(run, _CALL, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return records.select("tid", "timestamp", "step", "probe_id").groupBy("tid").applyInPandasWithState(run, _CALL, "held string", "append", timeout)
 
 
 def stream_resources(calls: DataFrame, path: str, checkpoint: str, available_now: bool = True):
