@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profloom.llm.common import SPACES, U64, components, cut, lowered, mix64, split_words, table, text_slices, word_hashes
+from profloom.llm.common import SPACES, U64, components, cut, discard, lowered, mix64, split_words, table, text_slices, word_hashes
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least similarity in hundredths
 #: The longest prefix extension that a document may choose.
 MOST_MATCHES = 4
 #: A shingle in the prefix region of more documents than this is ordered last.
-COMMON = 40
+COMMON = 128
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -150,17 +150,22 @@ def _postings(shared: DataFrame, similar: int, space: int) -> DataFrame:
     return shared.select("doc_id", "n", "shared").mapInArrow(_choose(similar), _POSTING).withColumn("space", F.lit(space))
 
 
-def _hash_order(first: DataFrame, similar: int) -> tuple[DataFrame, DataFrame]:
+def _shared_regions(first: DataFrame) -> DataFrame:
+    """(doc_id, n, shared): the shingles of each prefix region that another region has, by hash."""
+    tokens = first.select("doc_id", "n", F.posexplode("region").alias("rank", "token"))
+    tokens = tokens.select("token", "rank", "n", "doc_id")  # what changes from row to row side by side: it packs better
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return tokens.join(common, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("rank", "token", "df"))).alias("shared"))
+
+
+def _hash_order(shared: DataFrame, similar: int) -> tuple[DataFrame, DataFrame]:
     """(postings of space 0, documents that need space 1).
 
     Shingles of the prefix region in hash order, those in more than COMMON regions put last. A
-    document whose region has too few others is dense; it and all that share a region shingle
-    with one meet in space 1.
+    document whose region has too few others is dense. In plain hash order a set similar to it
+    shares k of its k-prefix with it; documents that share so many with dense ones, and the
+    dense ones themselves, meet in space 1.
     """
-    tokens = first.select("doc_id", "n", F.posexplode("region").alias("rank", "token"))
-    tokens = tokens.select("token", "rank", "n", "doc_id")  # what changes from row to row side by side: it packs better
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = cut(tokens.join(common, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("rank", "token", "df"))).alias("shared")))
     need = f"((n * {similar} + 99) div 100)"
     prefix = f"least(n, n - {need} + {MOST_MATCHES})"
     region = f"least(n, {prefix} + {prefix} div 3)"
@@ -168,8 +173,11 @@ def _hash_order(first: DataFrame, similar: int) -> tuple[DataFrame, DataFrame]:
     dense = shared.where(f"{heavy} > 0 AND {region} - {heavy} < {prefix}")
     demoted = "transform(filter(transform(shared, (s, i) -> named_struct('s', s, 'i', i)), x -> x.s.df <= {c}), (x, j) -> named_struct('rank', int(x.s.rank - (x.i - j)), 'token', x.s.token, 'df', x.s.df))"
     plain = shared.join(dense.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", F.expr(demoted.format(c=COMMON)).alias("shared"))
-    held = dense.select(F.explode("shared.token").alias("token")).distinct()
-    touching = shared.select("doc_id", F.explode("shared.token").alias("token")).join(held, "token", "left_semi").select("doc_id").distinct()
+    most = f"least({MOST_MATCHES}, {need})"
+    early = shared.select("doc_id", F.expr(most).alias("k"), F.explode(F.expr(f"filter(shared, s -> s.rank < least(n, n - {need} + {most}))")).alias("s")).select("doc_id", "k", "s.token")
+    held = early.join(dense.select("doc_id"), "doc_id", "left_semi").select("token").distinct()
+    touching = early.join(held, "token", "left_semi").groupBy("doc_id", "k").agg(F.count("*").alias("m"))
+    touching = touching.where("m >= k").select("doc_id")
     return _postings(plain.where("size(shared) > 0"), similar, 0), touching
 
 
@@ -200,18 +208,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = cut(prints.select("doc_id", *class_).distinct().join(heads, class_, "left").select("doc_id", "n", F.coalesce("head", "doc_id").alias("head")))
 
     first = prints.where("n > 0").join(members.where("head = doc_id").select("doc_id"), "doc_id", "left_semi")
-    plain, crowded = _hash_order(first, similar)
-    postings = plain
-    crowded = cut(crowded)
+    shared = cut(_shared_regions(first))
+    discard(prints)
+    postings, crowded = _hash_order(shared, similar)
+    crowded, sets = cut(crowded), None
     if not crowded.isEmpty():
         sets = cut(rows.join(crowded, "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, shingles array<long>"))
-        postings = plain.unionByName(_rare_first_order(sets, similar))
+        postings = postings.unionByName(_rare_first_order(sets, similar))
     postings = cut(postings)
+    for done in (shared, sets):
+        if done is not None:
+            discard(done)
 
     # two rounds against one document per shingle, then all pairs that are not yet connected
     seen, links, at = None, None, postings.withColumn("comp", F.col("doc"))
     for turn in range(HUB_ROUNDS + 1):
-        found = cut(_verify(_enough(_hub_pairs(at, turn, similar) if turn < HUB_ROUNDS else _open_pairs(at, similar), seen), rows, words, similar))
+        found = _verify(_enough(_hub_pairs(at, turn, similar) if turn < HUB_ROUNDS else _open_pairs(at, similar), seen), rows, words, similar)
         seen = found.select("a", "b") if seen is None else seen.union(found.select("a", "b"))
         fresh = found.where("linked").select("a", "b")
         links = fresh if links is None else links.union(fresh)
@@ -267,7 +279,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, words: int, similar: int) -> Data
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
     sizes = F.struct(F.size("x").alias("n"), F.size("y").alias("m"))
     counted = both.withColumn("s", sizes).select("a", "b", F.size(F.array_intersect("x", "y")).alias("overlap"), "s")
-    return counted.select("a", "b", (F.col("overlap") * 100 >= (F.col("s.n") + F.col("s.m") - F.col("overlap")) * similar).alias("linked"))
+    found = cut(counted.select("a", "b", (F.col("overlap") * 100 >= (F.col("s.n") + F.col("s.m") - F.col("overlap")) * similar).alias("linked")))
+    discard(sets)
+    return found
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
