@@ -60,7 +60,7 @@ def test_leaks_are_found_and_others_left(spark, docs_of, make):
                 item[len(item) // 2] = "other"
             w = t.split(" ")
             at = make.r.randrange(len(w))
-            t = " ".join(w[:at] + [x.upper() + make.r.choice(["", ",", "."]) for x in item] + w[at:])
+            t = " ".join(w[:at] + ["".join(c.upper() if "a" <= c <= "z" else c for c in x) + make.r.choice(["", ",", "."]) for x in item] + w[at:])
             leaks.add(i)
         docs.append((i, t))
     docs += [(200, None), (201, ""), (202, items[1][1]), (203, " ".join(items[2][1].split(" ")[:4]))]
