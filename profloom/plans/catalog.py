@@ -69,7 +69,7 @@ def agg_min_max_count(spark, sf_dir):
 
 @query(sql.FLOW)
 def flow_dense(spark, sf_dir):
-    return rounded(aggregates.flow(E(spark, sf_dir).where("version < '2024-01-03'"), "sum", "amount", "snapshot", "tid"))
+    return rounded(aggregates.flow(E(spark, sf_dir), "sum", "amount", "snapshot", "tid"))
 
 
 @query(sql.FLOW_ACCUMULATED)
@@ -134,7 +134,7 @@ def degradation_ratio(spark, sf_dir):
 
 @query(sql.SNAPSHOTS_DENSE)
 def snapshots_dense(spark, sf_dir):
-    return rounded(aggregates.snapshots_dense(E(spark, sf_dir).where("snapshot % 3 <> 1"), F.sum("amount").alias("amount")))
+    return rounded(aggregates.snapshots_dense(E(spark, sf_dir), F.sum("amount").alias("amount")))
 
 
 @query(sql.MERGE_PROFILES)
@@ -230,7 +230,7 @@ def common_uids(spark, sf_dir):
 @query(sql.NEW_FUNCTIONS)
 def new_functions(spark, sf_dir):
     e = views.call_edges(spark, sf_dir)
-    return graph.new_functions(e.where("version = '1995' AND caller < 'C'"), e.where("version = '1996'"))
+    return graph.new_functions(e.where("version = '1995'"), e.where("version = '1996'"))
 
 
 # joins
@@ -257,8 +257,7 @@ def nearest_version(spark, sf_dir):
 
 @query(sql.LATEST_STATS)
 def latest_stats(spark, sf_dir):
-    e = E(spark, sf_dir).where("amount > 50")
-    stats = e.groupBy("version", F.concat(F.lit("u"), F.col("tid").cast("string")).alias("name")).agg(F.round(F.sum("amount"), 4).alias("value"))
+    stats = E(spark, sf_dir).groupBy("version", F.concat(F.lit("u"), F.col("tid").cast("string")).alias("name")).agg(F.round(F.sum("amount"), 4).alias("value"))
     return joins.latest_stats(stats, V(spark, sf_dir))
 
 
@@ -277,7 +276,7 @@ def callers_callees(spark, sf_dir):
 
 @query(sql.ZIP_TRACES)
 def zip_traces(spark, sf_dir):
-    o = O(spark, sf_dir).select("order", scalars.funcs(F.col("trace")).alias("a"), F.array("uid", "subtype", F.col("trace")[1]["func"]).alias("b")).where("order % 7 = 0 OR order % 7 = 3")
+    o = O(spark, sf_dir).select("order", scalars.funcs(F.col("trace")).alias("a"), F.array("uid", "subtype", F.col("trace")[1]["func"]).alias("b"))
     return ranking.zip_traces(o, "a", "b").select("order", "i", "frame_a", "frame_b", "a_in_b", "b_in_a")
 
 
@@ -592,7 +591,7 @@ def project_bottom_up(spark, sf_dir):
 
 @query(sql.WRAPPERS)
 def filter_wrappers(spark, sf_dir):
-    records = views.nested_calls(spark, sf_dir).withColumnRenamed("func", "probe_id").where("tid % 3 = 0")
+    records = views.nested_calls(spark, sf_dir).withColumnRenamed("func", "probe_id")
     found = calls.exclusive_time(calls.pair_calls(records)).withColumn("uid", F.concat_ws("-", "uid", F.col("tid").cast("string"))).withColumn("parent", F.concat_ws("-", "parent", F.col("tid").cast("string")))
     return graph.filter_wrappers(graph.dynamic_call_graph(found.where("parent_begin IS NOT NULL")), aggregates.function_stats(found.withColumn("amount", F.col("amount").cast("double"))))
 
