@@ -4,11 +4,13 @@ Fixed masks of ones and zeros slide over the words of a text; a seed is the hash
 words under the ones, so words under the zeros may differ. Seeds of the benchmark and of
 the documents are joined; around each hit the two word sequences are compared word by
 word, and an overlap counts that has ``MIN_WORDS`` words (or a shorter item's all) of which
-``MATCH`` hundredths are equal.
+``MATCH`` hundredths are equal. Of the overlaps through a hit the longest is returned; words
+at its ends may differ. The masks miss none: a longer overlap holds one of 12 to 23 words of
+the same share, and however its substitutions lie, some mask fits between them (tests try all).
 
 A word is a run of ASCII letters and digits and bytes beyond ASCII, A-Z lower-cased, so
-punctuation does not hide a leak. Benchmark items shorter than a mask's span are seeded
-whole; items under ``LEAST_WORDS`` words are told from chance by nothing and left out.
+punctuation does not hide a leak. Benchmark items under ``MIN_WORDS`` words have masks of their
+own; items under ``LEAST_WORDS`` words are told from chance by nothing and left out.
 
 Scale: documents are read once and not shuffled. Seeds that no benchmark item has are
 dropped in the scan by a look-up in the sorted benchmark seeds, which are broadcast only
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from profloom.llm.common import PUNCTUATION, U64, cut, lowered, mix64, split_words, table, text_slices, word_hashes
 
-#: The masks.
-MASKS = ("11010110101101", "1110010101001101", "101100011010111")
+#: The masks; each set meets every overlap of MATCH hundredths.
+MASKS = ("1110111", "11010010011", "11010001101")
+#: The same for items under MIN_WORDS words, by their number of words.
+SHORT_MASKS = {6: ("1111", "11011"), 7: ("11011",), 8: ("111011", "11111"), 9: ("111011",), 10: ("111011", "11010011", "11111"), 11: ("1101011", "1110011")}
 MIN_WORDS, LEAST_WORDS, MATCH = 12, 6, 80
-#: Words on either side of a stretch of hits that are compared.
-REACH = 40
 #: Benchmark seeds that are broadcast at most (8 bytes each).
 SEED_BOUND = 2_000_000
 
@@ -70,19 +72,18 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = max(map(len, MASKS))
     for batch in batches:
         for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             w = np.asarray(words.values).view(U64)
-            for mask in MASKS if len(w) >= span else ("1" * len(w),):
+            for mask in SHORT_MASKS.get(len(w), MASKS):
                 seeds = seed_hashes(w, mask).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seeds), pa.array(np.full(len(seeds), item)), pa.array(np.arange(len(seeds), dtype=np.int32))], ["seed", "item", "at"]
                 )
 
 
-def _stretches(wanted, masks: tuple[str, ...]):
-    """Per document and stretch of hits: its words, and the hits as (position, seed)."""
+def _stretches(wanted, masks: tuple[str, ...], reach: int):
+    """Per document and stretch of hits: its words and ``reach`` on either side, and the hits as (position, seed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else wanted.value
@@ -112,12 +113,12 @@ def _stretches(wanted, masks: tuple[str, ...]):
                     continue
                 order = np.argsort(pos, kind="stable")
                 pos, seed = pos[order], seed[order]
-                fresh = np.append(True, (pos[1:] - pos[:-1] > REACH) | (rows[pos[1:]] != rows[pos[:-1]]))
+                fresh = np.append(True, (pos[1:] - pos[:-1] > reach) | (rows[pos[1:]] != rows[pos[:-1]]))
                 cuts = np.flatnonzero(fresh)
                 for lo, hi in zip(cuts, np.append(cuts[1:], len(pos)), strict=True):
                     i = int(rows[pos[lo]])
-                    begin = max(int(bounds[i]), int(pos[lo]) - REACH)
-                    end = min(int(bounds[i + 1]), int(pos[hi - 1]) + max(map(len, masks)) + REACH)
+                    begin = max(int(bounds[i]), int(pos[lo]) - reach)
+                    end = min(int(bounds[i + 1]), int(pos[hi - 1]) + max(map(len, masks)) + reach)
                     for col, v in zip(
                         out, (row + i, begin - int(bounds[i]), words[begin:end].view(np.int64), (pos[lo:hi] - bounds[i]).astype(np.int32), seed[lo:hi].view(np.int64)), strict=True
                     ):
@@ -129,20 +130,14 @@ def _stretches(wanted, masks: tuple[str, ...]):
     return run
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int, int]:
-    """(words to the left, words to the right, equal words) of the best overlap through doc[p] = item[q].
-
-    Equal words count 1, others -MATCH / (100 - MATCH); each side is taken as far as that
-    sum is greatest, so the whole never falls under the asked share by a side's tail.
-    """
-    back, ahead = min(p, q), min(len(doc) - p, len(item) - q)
-    same = doc[p - back : p + ahead] == item[q - back : q + ahead]
-    gain = np.where(same, 1.0, -MATCH / (100 - MATCH))
-    right = np.cumsum(gain[back:])
-    left = np.cumsum(gain[:back][::-1])
-    r = int(right.argmax()) + 1 if len(right) and right.max() > 0 else 0
-    k = int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0
-    return k, r, int(same[back - k : back + r].sum())
+def longest_overlap(same: np.ndarray, at: int) -> tuple[int, int]:
+    """[lo, hi) of the longest stretch through ``at`` of which MATCH hundredths are equal; empty if there is none."""
+    sums = np.append(0, np.cumsum(np.where(same, 100 - MATCH, -MATCH)))
+    ahead = np.maximum.accumulate(sums[::-1])[::-1]  # greatest sum from here on
+    ends = np.searchsorted(-ahead, -sums[: at + 1], side="right") - 1  # furthest end for each start
+    sizes = np.where(ends > at, ends - np.arange(at + 1), 0)
+    lo = int(sizes.argmax())
+    return lo, lo + int(sizes[lo])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +146,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, begin, shift, item, ats = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4))
         for i in range(batch.num_rows):
             words, ref = (np.asarray(batch.column(k)[i].values) for k in (5, 6))
-            done = -1
+            lead = shift[i] - begin[i]  # where the item's first word would be
+            first, last = max(0, lead), min(len(words), lead + len(ref))
+            same = words[first:last] == ref[first - lead : last - lead]
+            start, done = begin[i] + first, -1
             for pos in sorted(ats[i]):
                 if pos < done:
                     continue
-                p = pos - begin[i]
-                k, r, same = best_overlap(words, ref, p, pos - shift[i])
-                done = pos + r
-                if k + r >= min(MIN_WORDS, len(ref)) and same * 100 >= (k + r) * MATCH:
-                    for col, v in zip(out, (doc[i], item[i], pos - k, pos + r, same), strict=True):
+                lo, hi = longest_overlap(same, pos - start)
+                if hi - lo >= min(MIN_WORDS, len(ref)):
+                    done = start + hi
+                    for col, v in zip(out, (doc[i], item[i], start + lo, done, int(same[lo:hi].sum())), strict=True):
                         col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "item", "lo", "hi", "same"])
 
@@ -171,15 +168,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = items.mapInArrow(_items, "item long, words array<long>")
     same = cut(items.groupBy("words").agg(F.min("item").alias("item"), F.collect_set("item").alias("items")))
     seeds = cut(same.select("item", "words").mapInArrow(_item_seeds, "seed long, item long, at int"))
-    short = [n for (n,) in same.select(F.size("words")).where(F.size("words") < max(map(len, MASKS))).distinct().collect()]  # fewer than a span
-    masks = (*MASKS, *("1" * n for n in short))
+    lengths = same.select(F.least(F.size("words"), F.lit(MIN_WORDS)).alias("n")).distinct().collect()  # 7 values at most
+    masks = tuple(sorted({m for (n,) in lengths for m in SHORT_MASKS.get(n, MASKS)}))
+    (longest,) = same.select(F.coalesce(F.max(F.size("words")), F.lit(0))).first()
     wanted = None
     if seeds.select("seed").distinct().count() <= SEED_BOUND:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([s for (s,) in seeds.select("seed").distinct().collect()], np.int64).view(U64)))
         if not len(wanted.value):
             return spark.createDataFrame([], "doc long, item long, lo long, hi long, same long")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = cut(rows.mapInArrow(_stretches(wanted, masks), "doc long, begin int, words array<long>, pos array<int>, seed array<long>"))
+    found = cut(rows.mapInArrow(_stretches(wanted, masks, longest), "doc long, begin int, words array<long>, pos array<int>, seed array<long>"))
     hits = found.select("doc", "begin", F.explode(F.arrays_zip("pos", "seed")).alias("h")).select("doc", "begin", "h.pos", "h.seed")
     lines = hits.join(seeds, "seed").groupBy("doc", "begin", (F.col("pos") - F.col("at")).alias("shift"), "item").agg(F.collect_set("pos").alias("pos"))
     texts = found.select("doc", "begin", "words").dropDuplicates(["doc", "begin"])

@@ -74,6 +74,52 @@ def test_leaks_are_found_and_others_left(spark, docs_of, make):
     assert op07_decontaminate.overlaps(docs_of(docs), marks.limit(0)).collect() == []
 
 
+def test_masks_meet_every_pattern_of_substitutions():
+    from itertools import combinations
+
+    fits = lambda masks, n, off: any(all(m[j] == "0" or o + j not in off for j in range(len(m))) for m in masks for o in range(n - len(m) + 1))
+    whole = lambda n, off: not any(5 * sum(x in off for x in range(lo, lo + k)) <= k for k in range(12, n) for lo in range(n - k + 1))
+    for n in range(op07_decontaminate.LEAST_WORDS, 24):  # longer ones can be halved
+        for off in combinations(range(n), n * (100 - op07_decontaminate.MATCH) // 100):
+            assert fits(op07_decontaminate.SHORT_MASKS.get(n, op07_decontaminate.MASKS), n, off) or not whole(n, off), (n, off)
+
+
+def test_overlaps_are_brute_force(spark, docs_of, make):
+    r, items = make.r, [(i, make.text(n, 10_000)) for i, n in enumerate([6, 7, 8, 9, 10, 11, 12, 14, 15, 15, 19, 24, 50, 50, 150])]
+    docs = [(1000, make.text(9, 10_000) + " " + " ".join(items[12][1].split(" ")[20:32]) + " " + make.text(9, 10_000))]  # 12 words, verbatim
+    for i in range(150):
+        item = items[i % len(items)][1].split(" ")
+        n = r.randrange(min(len(item), 9), len(item) + 1)
+        lo = r.randrange(len(item) - n + 1)
+        part = item[lo : lo + n]
+        for k in r.sample(range(n), r.choice([0, n // 6, n // 5, n // 4])):
+            part[k] = "other"
+        if n > 100:
+            part[30:74] = ["gap"] * 44
+        docs.append((i, " ".join([make.text(r.randrange(1, 30), 10_000), *part, make.text(r.randrange(1, 30), 10_000)])))
+
+    def runs(d, w):
+        for shift in range(1 - len(w), len(d)):
+            lo, hi = max(0, shift), min(len(d), shift + len(w))
+            sums = [0]
+            for k in range(lo, hi):
+                sums.append(sums[-1] + (1 if d[k] == w[k - shift] else -4))
+            if any(b > a for a, b in zip(sums[:-1], sums[1:], strict=True)):
+                yield from (b - a for a in range(len(sums)) for b in range(len(sums) - 1, a, -1) if sums[b] >= sums[a])
+
+    wanted = {}
+    for d, t in docs:
+        for i, x in items:
+            size = max(runs(t.split(" "), x.split(" ")), default=0)
+            if size >= min(12, len(x.split(" "))):
+                wanted[d, i] = size
+    found = {}
+    for x in op07_decontaminate.overlaps(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect():
+        found[x.doc, x.item] = max(found.get((x.doc, x.item), 0), x.hi - x.lo)
+    assert found == wanted
+    assert (1000, 12) in found and len(found) > 100
+
+
 def test_leaks_without_broadcast(spark, docs_of, make, monkeypatch):
     monkeypatch.setattr(op07_decontaminate, "SEED_BOUND", 0)
     item = make.text(30, 10_000)
