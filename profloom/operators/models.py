@@ -126,10 +126,11 @@ def fit_iterative(points: DataFrame, steps: int, *keys: str, **axes) -> DataFram
     return fits.where(F.col("step") == steps).join(won, [*keys, "model"]).drop("step").withColumn("method", F.lit("iterative"))
 
 
-def fit_bisection(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", depth: int = 6) -> DataFrame:
+def fit_bisection(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount") -> DataFrame:
     """Segments along x, halved while a half's best kind differs from the whole's; too small halves keep the whole.
 
-    One aggregation per depth over the segments still open; each round is materialised.
+    One aggregation per round over the segments still open, until none splits: at most log2 of
+    the largest group. Each round is materialised.
     """
     spark = points.sparkSession
     keep = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
@@ -137,20 +138,19 @@ def fit_bisection(points: DataFrame, *keys: str, x: str = "structure_unit_size",
     open_ = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).withColumn("segment", F.lit("0"))
     best = best_model_per_uid(fit_all(open_, *seg, x="x", y="y", method="bisection"), *seg)
     done = None
-    for _ in range(depth):
+    while True:
         halves = open_.withColumn("half", F.concat("segment", F.lit("."), F.ntile(2).over(Window.partitionBy(*seg).orderBy("x", "y")).cast("string")))
         of = [*keys, "half"]
         fits = best_model_per_uid(fit_all(halves.select(*keys, "half", "x", "y"), *of, x="x", y="y", method="bisection"), *of)
         fits = keep(fits.withColumn("segment", F.regexp_extract("half", r"^(.*)\.[12]$", 1)))
         two = fits.groupBy(*seg).agg(F.collect_set("model").alias("kinds"), F.count("*").alias("k")).where("k = 2")
         split = keep(best.select(*seg, "model").join(two, seg).where(~((F.size("kinds") == 1) & F.array_contains("kinds", F.col("model")))).select(*seg))
+        if split.isEmpty():
+            return best if done is None else done.unionByName(best)
         closed = best.join(split, seg, "left_anti")
         done = closed if done is None else done.unionByName(closed)
         best = fits.join(split, seg, "left_semi").drop("segment").withColumnRenamed("half", "segment").select(best.columns)
         open_ = keep(halves.join(split, seg, "left_semi").drop("segment").withColumnRenamed("half", "segment").select(*keys, "x", "y", "segment"))
-        if split.isEmpty():
-            return done
-    return done.unionByName(best)
 
 
 def model_points(models: DataFrame, n: int, *keep: str) -> DataFrame:

@@ -373,7 +373,7 @@ def fit_initial_guess(spark, sf_dir):
 
 @query()
 def fit_bisection(spark, sf_dir):
-    return rounded(models.fit_bisection(S(spark, sf_dir), "uid", depth=3).select("uid", "segment", "model", "x_start", "x_end"))
+    return rounded(models.fit_bisection(S(spark, sf_dir), "uid").select("uid", "segment", "model", "x_start", "x_end"))
 
 
 @query(sql.MODEL_POINTS)

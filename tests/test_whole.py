@@ -2,7 +2,7 @@
 
 import pytest
 
-from profloom.operators import aggregates
+from profloom.operators import aggregates, models
 from profloom.plans import catalog
 from pyspark.sql import functions as F
 
@@ -26,3 +26,10 @@ def test_empty_snapshots_have_rows(spark):
     rows = spark.createDataFrame([(1, 2.0), (1, 3.0), (4, 5.0)], "snapshot int, amount double")
     found = sorted(tuple(r) for r in aggregates.snapshots_dense(rows, F.sum("amount").alias("amount")).select("snapshot", "n", "amount").collect())
     assert found == [(0, 0, None), (1, 2, 5.0), (2, 0, None), (3, 0, None), (4, 1, 5.0)]
+
+
+def test_bisection_goes_below_an_eighth(spark):
+    rows = [("f", float(x), 5.0 if x < 500 else 5.0 + (x - 500) ** 2) for x in range(1, 513)]
+    found = models.fit_bisection(spark.createDataFrame(rows, "uid string, structure_unit_size double, amount double"), "uid").collect()
+    assert max(r.segment.count(".") for r in found) > 3
+    assert sum(r.n for r in found) == 512
