@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,45 @@ def join_model_quadruple(baseline: DataFrame, target: DataFrame, *keys: str) ->
     return out.join(_side(linear(baseline), on, "base_linear"), on).join(_side(linear(target), on, "target_linear"), on)
 
 
+def _rare_grams(names: DataFrame, least: float) -> DataFrame:
+    """(side, name, gram): of each name so many of its rarest grams that similar names share one.
+
+    An edit changes q grams of q characters, so names of similarity ``least``, the longer of n
+    characters, share n - q + 1 - q (1 - least) n grams, repeats counted. Pairs take pairs of
+    characters where this is above 0, and single characters where the longer name is too short.
+    """
+    long = math.floor(1 / (2 * least - 1)) + 1 if least > 0.5 else 1 << 30
+    n = F.length("name")
+    out = None
+    for q, fits in ((1, n < long), (2, n / least + 1e-9 >= long)):
+        rows = names.where(fits & (n >= q)).select("side", "name", F.explode(F.sequence(F.lit(1), n - (q - 1))).alias("i"))
+        rows = rows.withColumn("gram", F.substring(F.col("name"), F.col("i"), F.lit(q)))
+        nth = F.row_number().over(Window.partitionBy("side", "name", "gram").orderBy("i"))
+        shared = F.greatest(F.lit(1), F.ceil(n - (q - 1) - q * (1 - least) * n - 1e-9))
+        rows = rows.select("side", "name", F.struct(F.lit(q).alias("q"), "gram", nth.alias("nth")).alias("gram"), (n - (q - 1) - shared + 1).alias("most"))
+        out = rows if out is None else out.union(rows)
+    known = out.groupBy("gram").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("side", "name", "gram.q").orderBy("n", "gram"))
+    return out.join(known, "gram").withColumn("rank", rank).where("rank <= most").select("side", "name", "gram")
+
+
 def match_locations(baseline: DataFrame, target: DataFrame, least: float = 0.6) -> DataFrame:
     """(base, target, common): location names that changed, matched one to one.
 
     Similarity is 1 - levenshtein / longer length; a pair counts when each is the other's best.
-    Names on both sides match themselves. Candidates share their first two characters, so the
-    names meet by an equi join and not by all pairs.
+    Names on both sides match themselves. Candidates share one of their rarest grams, which every
+    similar pair does (see ``_rare_grams``), so the names meet by an equi join and not by all pairs.
     """
     b = baseline.select(F.col("location").alias("base")).where("base IS NOT NULL").distinct()
     t = target.select(F.col("location").alias("target")).where("target IS NOT NULL").distinct()
-    only_b = b.join(t, F.col("base") == F.col("target"), "left_anti").withColumn("head", F.substring("base", 1, 2))
-    only_t = t.join(b, F.col("base") == F.col("target"), "left_anti").withColumn("head", F.substring("target", 1, 2))
+    only_b = b.join(t, F.col("base") == F.col("target"), "left_anti")
+    only_t = t.join(b, F.col("base") == F.col("target"), "left_anti")
     alike = 1 - F.levenshtein("base", "target") / F.greatest(F.length("base"), F.length("target"))
-    pairs = only_b.join(only_t, "head").withColumn("alike", alike).where(F.col("alike") >= least)
+    both = only_b.select(F.lit(0).alias("side"), F.col("base").alias("name")).union(only_t.select(F.lit(1).alias("side"), F.col("target").alias("name")))
+    rare = _rare_grams(both, least)
+    rare_b, rare_t = (rare.where(F.col("side") == k).select(F.col("name").alias(c), "gram") for k, c in enumerate(("base", "target")))
+    near = rare_b.join(rare_t, "gram").where(F.least(F.length("base"), F.length("target")) >= F.greatest(F.length("base"), F.length("target")) * (least - 1e-9))
+    pairs = near.select("base", "target").distinct().withColumn("alike", alike).where(F.col("alike") >= least)
     rank = lambda a, c: F.row_number().over(Window.partitionBy(a).orderBy(F.desc("alike"), c))
     best = pairs.withColumn("kb", rank("base", "target")).withColumn("kt", rank("target", "base")).where("kb = 1 AND kt = 1")
     n = F.least(F.length("base"), F.length("target"))

@@ -1,8 +1,10 @@
 """Registered queries and closures take all of their input."""
 
+import random
+
 import pytest
 
-from profloom.operators import aggregates, models
+from profloom.operators import aggregates, joins, models
 from profloom.plans import catalog
 from pyspark.sql import functions as F
 
@@ -33,3 +35,32 @@ def test_bisection_goes_below_an_eighth(spark):
     found = models.fit_bisection(spark.createDataFrame(rows, "uid string, structure_unit_size double, amount double"), "uid").collect()
     assert max(r.segment.count(".") for r in found) > 3
     assert sum(r.n for r in found) == 512
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.8])
+def test_locations_match_like_all_pairs(spark, least):
+    r = random.Random(5)
+    name = lambda: "".join(r.choice("abcd/") for _ in range(r.randrange(1, 16)))
+    base = {name() for _ in range(120)} | {"read_the_file", "xy", "/u/lib/one"}
+    target = {"".join(c for c in x if r.random() > 0.1) + r.choice(["", "q", "dd"]) for x in base} | {"my_read_the_file", "zy"}
+    target = {r.choice(["", "k", "ab"]) + x for x in target if x}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    alike = {(a, b): 1 - distance(a, b) / max(len(a), len(b)) for a in base - target for b in target - base}
+    alike = {k: v for k, v in alike.items() if v >= least}
+    best_b, best_t = {}, {}
+    for (a, b), v in sorted(alike.items(), key=lambda x: (-x[1], x[0])):
+        best_b.setdefault(a, b)
+        best_t.setdefault(b, a)
+    wanted = {(a, b) for a, b in best_b.items() if best_t[b] == a}
+    frame = lambda names: spark.createDataFrame([(x,) for x in sorted(names)], "location string")
+    found = {(x.base, x.target) for x in joins.match_locations(frame(base), frame(target), least).collect()}
+    assert found == wanted
+    assert any(a[:2] != b[:2] for a, b in found)
