@@ -12,30 +12,27 @@ from pyspark.sql import functions as F
 
 from profloom.functions.scalars import complexity_rank
 
-MAX_DEPTH = 200
-
 
 def _keep(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
-def breadth_first(roots: DataFrame, edges: DataFrame, key: str, limit: int = MAX_DEPTH) -> DataFrame:
+def breadth_first(roots: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, level): least number of steps from a root (whose level is given)."""
     seen = frontier = _keep(roots.select(key, "level").distinct())
     step = edges.select("caller", "callee").distinct()
-    for _ in range(limit):
+    while True:
         reach = frontier.join(step, F.col(key) == F.col("caller")).select(F.col("callee").alias(key), (F.col("level") + 1).alias("level")).distinct()
         frontier = _keep(reach.join(seen, key, "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = _keep(seen.unionByName(frontier))
-    return seen
 
 
-def reachable_from(edges: DataFrame, root: str, limit: int = MAX_DEPTH) -> DataFrame:
+def reachable_from(edges: DataFrame, root: str) -> DataFrame:
     """(func, level): the root and everything that it calls, directly or not."""
     start = edges.sparkSession.createDataFrame([(root, 0)], "func string, level int")
-    return breadth_first(start, edges, "func", limit)
+    return breadth_first(start, edges, "func")
 
 
 def dynamic_call_graph(calls: DataFrame) -> DataFrame:
@@ -65,7 +62,7 @@ def back_edges(edges: DataFrame, root: str = "main") -> DataFrame:
     # a candidate is in a cycle when its target reaches its source
     start = down.select(F.struct("callee", "caller").alias("e"), F.col("callee").alias("at")).distinct()
     seen = frontier = _keep(start)
-    for _ in range(MAX_DEPTH):
+    while True:
         reach = frontier.join(mine.select(F.col("caller").alias("at"), "callee"), "at").select("e", F.col("callee").alias("at")).distinct()
         frontier = _keep(reach.join(seen, ["e", "at"], "left_anti"))
         if frontier.isEmpty():
@@ -85,7 +82,7 @@ def graph_levels(edges: DataFrame, root: str = "main") -> DataFrame:
     forward = _keep(forward.join(known.withColumnRenamed("func", "caller"), "caller", "left_semi"))
     done = _keep(edges.sparkSession.createDataFrame([(root, 0)], "func string, level int"))
     left = _keep(known.where(F.col("func") != root))
-    for _ in range(MAX_DEPTH):
+    while True:
         if left.isEmpty():
             return done
         into = forward.join(left.withColumnRenamed("func", "callee"), "callee", "left_semi").join(done.select(F.col("func").alias("caller"), "level"), "caller", "left")
@@ -94,7 +91,6 @@ def graph_levels(edges: DataFrame, root: str = "main") -> DataFrame:
         if ready.isEmpty():
             return done
         done, left = _keep(done.unionByName(ready)), _keep(left.join(ready, "func", "left_anti"))
-    return done
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -167,12 +163,11 @@ def remove_filtered(edges: DataFrame, filtered: DataFrame, changed: DataFrame |
     if changed is not None:
         drop = drop.join(changed.select("func"), "func", "left_anti")
     drop = _keep(drop)
-    for _ in range(MAX_DEPTH):
+    while True:
         gone = _keep(leaves(edges).join(drop, "func", "left_semi"))
         if gone.isEmpty():
             return edges
         edges = _keep(edges.join(gone.withColumnRenamed("func", "callee"), "callee", "left_anti").select("caller", "callee"))
-    return edges
 
 
 def filter_complexity(bounds: DataFrame, levels: DataFrame, limit: int, keep_top: int = 1) -> DataFrame:

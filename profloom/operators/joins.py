@@ -107,24 +107,22 @@ def _compatible(targets: DataFrame, profiles: DataFrame) -> DataFrame:
     return t.join(b, [*keys, "parent"]).where(F.size(F.array_except("bp", "tp")) == 0).select("target_id", "baseline_id")
 
 
-def ancestors(versions: DataFrame, depth: int = 100) -> DataFrame:
-    """(version, parent): every version with each of its ancestors up to ``depth`` steps away.
+def ancestors(versions: DataFrame) -> DataFrame:
+    """(version, parent): every version with each of its ancestors.
 
     Path doubling: each round joins the closure with itself, so a history of n versions takes
     log n rounds; a round that finds nothing new is the last.
     """
     spark = versions.sparkSession
     reach = versions.select(F.col("checksum").alias("version"), F.explode("parents").alias("parent")).distinct().cache()
-    n, steps = reach.count(), 1
-    while steps < depth:
+    n = reach.count()
+    while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.parent") == F.col("b.version")).select("a.version", "b.parent")
         grown = reach.union(further).distinct()
         grown = grown.checkpoint() if spark.sparkContext.getCheckpointDir() else grown.cache()
-        steps *= 2
         if (now := grown.count()) == n:
-            break
+            return reach
         reach, n = grown, now
-    return reach
 
 
 def ancestor_baselines(targets: DataFrame, versions: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from profloom.operators import aggregates, joins, models
+from profloom.operators import aggregates, graph, joins, models
 from profloom.plans import catalog
 from pyspark.sql import functions as F
 
@@ -64,3 +64,15 @@ def test_locations_match_like_all_pairs(spark, least):
     found = {(x.base, x.target) for x in joins.match_locations(frame(base), frame(target), least).collect()}
     assert found == wanted
     assert any(a[:2] != b[:2] for a, b in found)
+
+
+def test_all_ancestors(spark):
+    rows = [(str(i), [str(i - 1)] if i else []) for i in range(150)]
+    assert joins.ancestors(spark.createDataFrame(rows, "checksum string, parents array<string>")).count() == 150 * 149 // 2
+
+
+def test_levels_have_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_DEPTH", 3, raising=False)
+    edges = [("main", "f0"), *((f"f{i}", f"f{i + 1}") for i in range(6))]
+    found = {r.func: r.level for r in graph.graph_levels(spark.createDataFrame(edges, "caller string, callee string")).collect()}
+    assert found == {"main": 0, **{f"f{i}": i + 1 for i in range(7)}}
