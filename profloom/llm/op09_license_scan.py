@@ -2,14 +2,14 @@
 
 Every line of a file, and a licence file as a whole, is a unit with a sparse vector over its
 words (lower-case runs of letters, digits, ``.`` and ``+``; a word counts once in a unit).
-Weights are idf over all units of the corpus; a word that no template has weighs as if unseen.
+Weights are idf over all units of the corpus, for every word.
 A unit whose cosine to a template is ``LEAST`` or more declares that licence; a file takes its
 best unit's. A file without one inherits from the licence file in the nearest directory above
 it, by joins on directory paths.
 
-Only the templates (fixed, a few rows) are broadcast. Units without enough template words to
-reach the threshold, whatever the weights, leave before anything is exploded. The dictionary
-that is weighed is that of the templates, so document frequencies are one small aggregate.
+Only the templates (fixed, a few rows) are broadcast. Document frequencies are one aggregate
+over the words of all units, which the units are joined to that can still reach the threshold
+when each word that no template has weighs as little as the most frequent of them.
 
 Defined cases: null text has no units; a null path has no directory and inherits nothing; ties
 of cosine go to the template name that sorts first; of two licence files in one directory the
@@ -61,24 +61,29 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str, nam
     known = "array(" + ", ".join(f"'{w}'" for w in vocabulary) + ")"
     units = rows.select("id", "path", "is_file", F.explode(F.expr("if(is_file, array_append(split(text, '\\n', -1), text), split(text, '\\n', -1))")).alias("unit"))
     units = units.select("id", "path", "is_file", F.expr(_words("unit")).alias("words")).where("size(words) > 0")
-    units = units.select("id", "path", "is_file", F.size("words").alias("n"), F.expr(f"array_intersect(words, {known})").alias("hits"))
-    total = units.groupBy().agg(F.count("*").alias("units"))
-    df = units.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    weights = F.broadcast(terms.select("word").distinct()).join(df, "word", "left").crossJoin(F.broadcast(total))  # one row of totals
-    weights = cut(weights.select("word", F.coalesce("df", F.lit(0)).alias("df"), "units"))
-    unseen = F.log(1.0 + F.col("units"))
-    weights = weights.select("word", F.log((1.0 + F.col("units")) / (1.0 + F.col("df"))).alias("idf"), unseen.alias("unseen"))
+    # '' is no word: it counts the units
+    counts = cut(units.select(F.explode(F.expr("array_append(words, '')")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    total = counts.where("word = ''").select(F.col("df").alias("units"))
+    idf = F.log((1.0 + F.col("units")) / (1.0 + F.coalesce("df", F.lit(0))))
+    weights = F.broadcast(terms.select("word").distinct()).join(counts, "word", "left").crossJoin(F.broadcast(total))  # one row of totals
+    weights = cut(weights.select("word", idf.alias("idf")))
     norms = terms.join(weights, "word").groupBy("license").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     model = F.broadcast(terms.join(weights, "word").join(norms, "license"))  # a row for each template word
 
-    # hits / n bounds the squared cosine from above, as no template word weighs more than an unseen one
-    near = units.where(F.size("hits") >= F.col("n") * least * least).withColumn("unit", F.expr("uuid()"))
-    near = cut(near)
-    words = near.select("unit", F.explode("hits").alias("word"))
-    own = words.join(F.broadcast(weights), "word").groupBy("unit").agg(F.sum(F.col("idf") * F.col("idf")).alias("own"), F.max("unseen").alias("unseen"))
-    dots = words.join(model.select("license", "word", "idf", "norm"), "word").groupBy("unit", "license").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.max("norm").alias("norm"))
-    scored = near.join(own, "unit").join(dots, "unit")
-    size = F.sqrt(F.col("own") + (F.col("n") - F.size("hits")) * F.col("unseen") * F.col("unseen"))
+    # no template's dot is above the sum of hits, no norm below the least, no other word lighter than the most frequent one
+    others = counts.where(f"word <> '' AND NOT array_contains({known}, word)")
+    floor = others.groupBy().agg(F.max("df").alias("df")).crossJoin(total).select(idf.alias("idf")).first()
+    floor, least_norm = floor.idf if floor else 0.0, norms.agg(F.min("norm")).first()[0] or 0.0
+    squares = "map(" + ", ".join(f"'{r.word}', {r.idf * r.idf!r}D" for r in weights.collect()) + ")"  # a value for each template word
+    units = units.select("id", "path", "is_file", F.expr(f"array_intersect(words, {known})").alias("hits"), F.expr(f"array_except(words, {known})").alias("rest")).where("size(hits) > 0")
+    units = units.withColumn("own", F.expr(f"aggregate(hits, 0D, (a, w) -> a + element_at({squares}, w))"))
+    bound = F.col("own") * F.col("own") >= (least * least_norm) ** 2 * (1 - 1e-9) * (F.col("own") + F.size("rest") * floor * floor)
+    near = cut(units.where(bound).withColumn("unit", F.expr("uuid()")))
+    dots = near.select("unit", F.explode("hits").alias("word")).join(model.select("license", "word", "idf", "norm"), "word")
+    dots = dots.groupBy("unit", "license").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"), F.max("norm").alias("norm"))
+    rest = near.select("unit", F.explode("rest").alias("word")).join(counts, "word").crossJoin(F.broadcast(total)).groupBy("unit").agg(F.sum(idf * idf).alias("others"))
+    scored = near.select("id", "path", "is_file", "unit", "own").join(dots, "unit").join(rest, "unit", "left")
+    size = F.sqrt(F.col("own") + F.coalesce("others", F.lit(0.0)))
     scored = scored.withColumn("cosine", F.round(F.try_divide(F.col("dot"), size * F.col("norm")), 9)).where(F.col("cosine") >= least)
     best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", F.expr("-rank_of")))
     order = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(sorted(named))], "license string, rank_of int"))

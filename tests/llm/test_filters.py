@@ -141,3 +141,15 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     wanted = {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "inherited"), 5: ("MIT", "own"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none"), 9: ("MIT", "own")}
     assert {k: found[k] for k in wanted} == wanted
     assert license_scan(df.limit(0), "fid", F.col("path"), "body").collect() == []
+
+
+def test_license_weights_are_those_of_all_words(spark):
+    from math import log
+
+    mit = "Released under the MIT License."
+    files = [(0, "a/0.txt", "plain stuff " + mit)] + [(i, f"a/{i}.txt", f"plain stuff w{i}") for i in range(1, 60)] + [(100, "b/x.txt", "odd thing " + mit)]
+    found = {r.id: r.cosine for r in license_scan(spark.createDataFrame(files, "fid long, path string, body string"), "fid", F.col("path"), "body").collect()}
+    idf = lambda df: log(62 / (1 + df))
+    dot = 5 * idf(2) ** 2
+    assert abs(found[0] - dot / ((dot + 2 * idf(60) ** 2) * dot) ** 0.5) < 1e-8
+    assert abs(found[100] - dot / ((dot + 2 * idf(1) ** 2) * dot) ** 0.5) < 1e-8
