@@ -200,7 +200,8 @@ def _choose(similar: int):
     """Postings of each document: which shingles make its prefix, and how many must match.
 
     In: doc, n, and its shared shingles as structs (df, token) in order. Out: q, the place
-    among these e shingles. The k of least estimated cost is taken.
+    among these e shingles. The k of least estimated cost is taken; postings count in it from
+    which the rest can still reach the overlap with a set of the document's own size.
     """
 
     def best(n: int, ranks: np.ndarray, df: np.ndarray) -> int:
@@ -209,7 +210,8 @@ def _choose(similar: int):
             inside = ranks < _prefix(n, k, similar)
             if inside.sum() < k:  # a similar set would share k of these
                 return 0
-            if (cost := df[inside].sum() * (1 + 0.02 * n / k**2)) < least:
+            met = inside & ((n - ranks + k - 1) * (100 + similar) >= 2 * similar * n)
+            if (cost := df[met].sum() * (1 + 0.01 * n / k**2)) < least:
                 choice, least = k, cost
         return choice
 
