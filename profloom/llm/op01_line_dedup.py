@@ -4,19 +4,25 @@ A run of consecutive non-blank lines counts when it has ``MIN_CHARS`` characters
 ``MIN_LINES`` lines. Every line that lies in such a run which also occurs earlier (smaller
 doc_id, or same document and earlier line) is deleted; the first occurrence stays.
 
-* Each line opens the shortest window that counts, and ends one; the window's smallest
-  line hash is its fingerprint. Any run that counts holds whole windows, so a repeated run
-  has the same fingerprints at the same places in both texts: that is the guarantee.
-* Positions join on fingerprint and window content with the earliest such position (a
-  partial aggregate), so a line that a third of all texts hold costs one row per text, not
-  one per pair.
-* Matches on one diagonal of the same two texts are extended both ways over their line
-  hashes, and the whole equal stretch is deleted from the later text.
+* Each line opens the shortest window that counts, and ends one; the window's smallest line
+  hash, with its position, is its fingerprint. Windows over one minimum share it, so far
+  fewer positions are selected than there are windows. A repeated run holds whole windows,
+  which select the same lines in both texts: that is the guarantee. So a window whose
+  fingerprint stands at one selected position only repeats nowhere and goes no further.
+* The other windows' positions join with the earliest position of the same fingerprint and
+  content (a partial aggregate), so a line that a third of all texts hold costs one row per
+  place, not one per pair. Both sides of that join are written tables, so that Spark can
+  split a fingerprint that very many places share.
+* Matching windows that overlap or adjoin chain into the maximal repeated run, which extends
+  a match line by line both ways, and the whole run is deleted from the later text. This is
+  linear also where one text repeats a line many times over.
 
 Defined cases: a null text stays null with no lines; blank lines neither count nor break a
 run and are kept; rows without an id are returned as they are; a repeated row is returned
-as often as it stands, judged as one document. Extra columns of the input are kept.
-Lines are compared through two independent 64-bit hashes.
+as often as it stands, judged as one document. Very long texts are handled whole, their
+windows as rows. Extra columns of the input are kept. An empty table gives an empty result.
+Lines are compared through two independent 64-bit hashes; equal smallest hashes of a window
+are equal lines, of which the first counts.
 """
 
 from __future__ import annotations
@@ -34,70 +40,69 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _filled(lines: Column) -> Column:
-    """Indices, from 0, of the lines that are not blank."""
-    marked = F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), i))
-    return F.array_compact(marked)
+def _near(array: str, at: str, ahead: bool = True) -> str:
+    """Up to MIN_LINES elements from index ``at`` (from 0) on; slice() would copy the whole array each time."""
+    return f"array_compact(array({', '.join(f'get({array}, int({at}) {"+" if ahead else "-"} {j})' for j in range(MIN_LINES))}))"
 
 
 def _window_sizes(chars: str, sizes: str, ahead: bool) -> str:
     """Lines of the shortest counting window from (or up to) each line; 0 where the text is too short."""
-    part = f"slice({chars}, i, {MIN_LINES})" if ahead else f"reverse(slice({chars}, greatest(1, i - {MIN_LINES - 1}), least(i, {MIN_LINES})))"
-    fold = f"""aggregate({part}, named_struct('s', 0, 'k', 0),
+    fold = f"""aggregate({_near(chars, "i - 1", ahead)}, named_struct('s', 0, 'k', 0),
         (a, x) -> if(a.s >= {MIN_CHARS}, a, named_struct('s', a.s + x, 'k', a.k + 1)),
         a -> if(a.s >= {MIN_CHARS} OR a.k = {MIN_LINES}, a.k, 0))"""
     return f"if({sizes} > 0, transform(sequence(1, {sizes}), i -> {fold}), array())"
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, h, g, chars): two hashes and the size of each non-blank line."""
+    """(doc, h, g, chars, place): two hashes, the size and the index of each non-blank line."""
+    placed = F.transform(_lines(F.col(text_col).cast("string")), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc"), F.filter(_lines(F.col(text_col).cast("string")), lambda x: x.rlike(_WORD)).alias("lines")
+        F.col(id_col).cast("long").alias("doc"), F.filter(placed, lambda s: s.x.rlike(_WORD)).alias("lines")
     )
     return lines.select(
         "doc",
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("lines", lambda x: F.xxhash64(F.lit(97), x)).alias("g"),
-        F.transform("lines", lambda x: F.length(x)).alias("chars"),
+        F.transform("lines", lambda s: F.xxhash64(s.x)).alias("h"),
+        F.transform("lines", lambda s: F.xxhash64(F.lit(97), s.x)).alias("g"),
+        F.transform("lines", lambda s: F.length(s.x)).alias("chars"),
+        F.col("lines.i").alias("place"),
     )
 
 
-def repeated_runs(hashed: DataFrame) -> DataFrame:
-    """(doc, lo, hi): stretches of non-blank lines, counted from 1, that repeat an earlier one."""
+def windows_of(hashed: DataFrame) -> DataFrame:
+    """(doc, w): the windows of each text as structs (at, k, p, print, content, place).
+
+    at, k and p count non-blank lines, from 1; place has the window's line indices in the text.
+    """
     sized = hashed.withColumn("n", F.size("h"))
     sized = sized.withColumn("ahead", F.expr(_window_sizes("chars", "n", True))).withColumn("back", F.expr(_window_sizes("chars", "n", False)))
-    # windows as (first line, lines); one that ends where a shortest opening window ends is the same
+    # one that ends where a shortest opening window ends is the same
     opening = "filter(transform(ahead, (k, i) -> struct(i + 1 AS at, k AS k)), w -> w.k > 0)"
     ending = "filter(transform(back, (k, i) -> struct(i + 2 - k AS at, k AS k)), w -> w.k > 0 AND get(ahead, w.at - 1) <> w.k)"
-    windows = sized.select("doc", "h", "g", F.explode(F.expr(f"concat({opening}, {ending})")).alias("w"))
-    windows = windows.select(
-        "doc", F.col("w.at").alias("at"), F.expr("array_min(slice(h, w.at, w.k))").alias("print"), F.expr("xxhash64(slice(g, w.at, w.k))").alias("content")
-    )
-    first = windows.groupBy("print", "content").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["print", "content"]).where("doc <> first.doc OR at <> first.at")
-    diagonals = later.groupBy("doc", F.col("first.doc").alias("source"), (F.col("at") - F.col("first.at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("at"))
-    # one anchor per unbroken chain of matches
-    anchors = diagonals.withColumn("at", F.expr("filter(at, (x, i) -> i = 0 OR get(at, i - 1) <> x - 1)"))
-    mine = hashed.select("doc", F.col("h").alias("mine"))
-    theirs = hashed.select(F.col("doc").alias("source"), F.col("h").alias("theirs"))
-    both = anchors.join(mine, "doc").join(theirs, "source")
-    # the diagonal as text: 1 where the lines are equal
-    both = both.withColumn("same", F.expr("array_join(transform(mine, (x, i) -> if(x <=> get(theirs, i - shift) AND i >= shift, '1', '0')), '')"))
-    runs = both.select("doc", "same", F.explode("at").alias("at"))
-    left = F.length(F.regexp_extract(F.expr("substring(same, 1, at - 1)"), "1*$", 0))
-    right = F.length(F.regexp_extract(F.expr("substring(same, at)"), "^1*", 0))
-    return runs.select("doc", (F.col("at") - left).alias("lo"), (F.col("at") + right - 1).alias("hi"))
+    lines = f"transform(concat({opening}, {ending}), w -> struct(w.at AS at, w.k AS k, slice({_near('h', 'w.at - 1')}, 1, w.k) AS h, slice({_near('g', 'w.at - 1')}, 1, w.k) AS g, slice({_near('place', 'w.at - 1')}, 1, w.k) AS place))"
+    placed = "transform(w, x -> struct(x.at AS at, x.k AS k, int(x.at + array_position(x.h, array_min(x.h)) - 1) AS p, array_min(x.h) AS print, xxhash64(x.g) AS content, x.place AS place))"
+    return sized.withColumn("w", F.expr(lines)).select("doc", F.expr(placed).alias("w"))
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """(doc, at, k, place): windows that repeat an earlier one."""
+    selected = windows.select(F.explode(F.expr("array_distinct(transform(w, x -> struct(x.print, x.p)))")).alias("x")).select("x.print")
+    several = cut(selected.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
+    rows = windows.select("doc", F.explode("w").alias("x")).select("doc", "x.at", "x.k", "x.print", "x.content", "x.place")
+    rows = cut(rows.join(several, "print", "left_semi"))
+    first = cut(rows.groupBy("print", "content").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return rows.join(first, ["print", "content"]).where("doc <> first.doc OR at <> first.at").select("doc", "at", "k", "place")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with later repeated runs deleted from its text, plus n_lines, n_removed, n_runs."""
-    hashed = cut(line_hashes(docs, id_col, text_col))
-    runs = repeated_runs(hashed).distinct()
-    cuts = runs.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("__gone"), F.count("*").alias("__runs"))
+    found = repeated_windows(cut(windows_of(line_hashes(docs, id_col, text_col))))
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    chains = F.array_sort(gathered(F.expr("sequence(at, at + k - 1)")))
+    cuts = found.groupBy("doc").agg(gathered("place").alias("__gone"), chains.alias("__chain"))
+    cuts = cuts.select("doc", "__gone", F.expr("size(filter(__chain, (x, i) -> i = 0 OR get(__chain, i - 1) <> x - 1))").alias("__runs"))
     joined = docs.join(cuts.withColumnRenamed("doc", "__doc"), F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
     lines = joined.withColumn("__lines", _lines(F.col(text_col).cast("string")))
-    lines = lines.withColumn("__filled", F.when(F.col("__gone").isNotNull(), _filled(F.col("__lines"))))
-    kept = F.expr("array_except(sequence(0, size(__lines) - 1), transform(__gone, k -> get(__filled, k - 1)))")
+    kept = F.expr("array_except(sequence(0, size(__lines) - 1), __gone)")
     text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     return lines.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],

@@ -1,22 +1,26 @@
 """Embedding near-dedup by dual traversal of cover trees: exact cosine threshold pairs.
 
-On unit vectors, cosine >= c is distance <= sqrt(2 - 2c). The top level of one cover tree,
-built on a bounded sample, splits all vectors into cells around at most ``PIVOTS`` centres;
-cells are dealt into blocks, and each block grows its own subtree: nested levels whose radii
-halve, every node with the covering radius that it really has. Pairs of cells, then pairs of
-nodes, are dropped when their centres lie further apart than both covering radii and the
+On unit vectors, cosine >= c is distance <= sqrt(2 - 2c). The top levels of one cover tree
+are nets of a bounded sample, each point as far from those before it as can be; the finest of
+at most ``PIVOTS`` centres, as many as the blocks call for, splits all vectors into cells.
+Each block of a cell grows its own subtree: nested levels whose radii halve, every node with
+the covering radius that it really has. Pairs of cells (before any vector moves), then pairs
+of nodes, are dropped when their centres lie further apart than both covering radii and the
 threshold together; what is left at the leaves is decided by the cosine in double precision.
 
-Scale: equal vectors collapse to one weighted representative first. A cell that holds a
-third of all rows is many blocks. Every surviving pair of blocks is one unit of work, so
-memory per task is two blocks; vectors are sent to the blocks that their cell may touch. In
+Scale: equal vectors collapse to one weighted representative first. A cell that holds more
+rows than a block, as around a frequent vector, is several blocks. Every surviving pair of
+blocks is one unit of work, so memory per task is two blocks; vectors are sent to the blocks
+that their cell may touch. In
 high dimension without clusters bounds prune little and work grows with the square of the
 number of distinct vectors, as any exact method's does. Of links, a task hands on counts
 and one spanning edge per linked vector, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different length do not link; rows without an id are left out; a
-repeated row is one vector. Extra columns are ignored; empty tables work.
+repeated row is one vector. Lengths are taken after division by the largest component, so
+that very large and very small ones neither overflow nor vanish. A cosine of exactly the
+threshold links. Extra columns are ignored; empty tables work.
 """
 
 from __future__ import annotations
@@ -33,11 +37,17 @@ from profloom.llm.common import components, cut, table
 
 COSINE = 0.95
 #: Bounds: vectors of the sample that places the centres, centres, rows of a block, rows of a leaf.
-SAMPLE, PIVOTS, BLOCK, LEAF = 1024, 16, 4096, 64
+SAMPLE, PIVOTS, BLOCK, LEAF = 4096, 256, 4096, 64
 #: Kept from every bound, for rounding.
 SLACK = 1e-9
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row of zeros stays."""
+    x = x / np.where((top := np.abs(x).max(axis=1, initial=0.0)) > 0, top, 1.0)[:, None]
+    return x / np.where((size := np.linalg.norm(x, axis=1)) > 0, size, 1.0)[:, None]
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
@@ -141,9 +151,8 @@ def _place(pivots: np.ndarray | None, dims: int):
             cell, far = np.full(len(rows), -1), np.zeros(len(rows))
             if good:
                 x = np.array([rows[i] for i in good], np.float64)
-                size = np.linalg.norm(x, axis=1)
-                ok = np.isfinite(size) & (size > 0)
-                d = distances(x[ok] / size[ok, None], pivots)
+                ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                d = distances(units(x[ok]), pivots)
                 at = np.array(good)[ok]
                 cell[at], far[at] = d.argmin(1), d.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*batch.schema.names, "cell", "far"])
@@ -169,7 +178,7 @@ def _unpacked(batch: pa.RecordBatch, side: str, i: int) -> tuple[np.ndarray, np.
     get = lambda name: batch.column(batch.schema.get_field_index(f"{name}_{side}"))[i]
     ids, weights = np.asarray(get("ids").values), np.asarray(get("weights").values)
     x = np.frombuffer(get("data").as_buffer(), np.float64).reshape(len(ids), -1)
-    return ids, weights, x / np.linalg.norm(x, axis=1)[:, None]
+    return ids, weights, units(x)
 
 
 def _compare(cosine: float):
@@ -187,10 +196,10 @@ def _compare(cosine: float):
     return run
 
 
-def centres(sample: np.ndarray, most: int) -> np.ndarray:
-    """Farthest-point order: the first k points are a net of the radius at which the k-th was added."""
+def centres(sample: np.ndarray, most: int, least: float) -> np.ndarray:
+    """Farthest-point order: the first k points are a net of the radius at which the k-th was added, ``least`` or more."""
     chosen, away = [0], distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(most, len(sample)) and away.max() > 0.5:
+    while len(chosen) < min(most, len(sample)) and away.max() > least:
         chosen.append(int(away.argmax()))
         away = np.minimum(away, distances(sample, sample[chosen[-1:]])[:, 0])
     return sample[chosen]
@@ -208,21 +217,22 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     sound = F.col("v").isNotNull() & (F.size("v") == dims) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
     classes = rows.where(sound).groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     heads = cut(classes.select(F.col("head").alias("id"), "v", "n"))
-    share = min(1.0, 0.9 * SAMPLE / max(1, heads.count()))
+    limit, total = float(np.sqrt(2 - 2 * cosine)), heads.count()
+    share = min(1.0, 0.9 * SAMPLE / max(1, total))
     drawn = heads.where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1_000_000)) < share * 1_000_000).select("v").limit(SAMPLE)
     sample = np.array([r.v for r in drawn.collect()] or [[1.0] * dims], np.float64)
-    pivots = centres(sample / np.linalg.norm(sample, axis=1)[:, None], PIVOTS)
+    pivots = centres(units(sample), min(PIVOTS, max(16, 2 * -(-total // BLOCK))), limit / 2)
 
     kinds = "id long, v array<double>, n long"
     placed = cut(heads.mapInArrow(_place(pivots, dims), f"{kinds}, cell int, far double").where("cell >= 0"))
-    cells = {r.cell: (r.n, r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most PIVOTS rows
-    parts = F.create_map(*[F.lit(x) for c, (n, _) in sorted(cells.items()) for x in (c, max(1, -(-n // BLOCK)))]) if cells else F.create_map(F.lit(0), F.lit(1))
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.get(F.map_values(F.map_filter(parts, lambda k, _: k == F.col("cell"))), F.lit(0))).cast("int"))
+    about = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("far"))
+    cells = {r.cell: r.far for r in about.collect()}  # at most PIVOTS rows
+    parts = about.select("cell", F.ceil(F.col("rows") / BLOCK).alias("parts"))
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
     blocks = cut(dealt.select("id", "v", "n", "cell", "part").groupBy("cell", "part").applyInArrow(_pack, "cell int, part int, ids array<long>, weights array<long>, data binary"))
 
-    limit = float(np.sqrt(2 - 2 * cosine))
     apart = distances(pivots, pivots)
-    touching = [(a, b) for a in cells for b in cells if a <= b and apart[a, b] <= limit + cells[a][1] + cells[b][1] + SLACK]
+    touching = [(a, b) for a in cells for b in cells if a <= b and apart[a, b] <= limit + cells[a] + cells[b] + SLACK]
     pairs = spark.createDataFrame(touching or [(-1, -1)], "cell_a int, cell_b int")
     meta = blocks.select("cell", "part")
     pairs = pairs.join(meta.select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a")), "cell_a").join(meta.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b")), "cell_b")

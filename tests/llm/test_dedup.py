@@ -103,3 +103,10 @@ def test_line_dedup_keeps_rows_without_id(docs_of):
     found = line_dedup(docs_of([(None, line), (None, line), (1, line)])).collect()
     assert [r.text for r in found] == [line] * 3
     assert line_dedup(docs_of([])).collect() == []
+
+
+def test_line_dedup_of_very_many_equal_lines(docs_of):
+    docs = [(1, "\n".join(["x"] * 20_000)), (2, "\n".join(["a line that is long enough to count as a run all by itself"] * 5_000))]
+    found = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup(docs_of(docs)).collect()}
+    assert found[1] == ("x", 19_999, 1)  # the window of lines 1 to 8 comes again from line 2 on
+    assert found[2] == (docs[1][1].split("\n")[0], 4_999, 1)

@@ -22,3 +22,15 @@ def test_no_vectors(spark):
     assert op02_cover_tree.near_dedup(df).collect() == []
     df = spark.createDataFrame([(1, None), (None, [1.0]), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.id, r.n_links, r.component_id) for r in op02_cover_tree.near_dedup(df).collect()) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = [[1.0, 1.0], [1e200, 1e200], [2e200, 2e200], [1e200, 1e200], [1e-200, 1e-200], [5e-324, 5e-324], [1e308, -1e308]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    found = {r.id: (r.n_links, r.component_id) for r in op02_cover_tree.near_dedup(df).collect()}
+    assert found == {i: (5, 0) for i in range(6)} | {6: (0, 6)}
+
+
+def test_repeated_rows_are_one_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted((r.id, r.n_links, r.component_id) for r in op02_cover_tree.near_dedup(df).collect()) == [(1, 1, 1), (2, 1, 1)]
