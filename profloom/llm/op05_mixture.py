@@ -10,7 +10,7 @@ budget ends inside one, which is cut.
 
 Scale: the tree is an aggregate; prefix sums in a leaf run over 4096 buckets of the seeded
 hash, and only inside a bucket over rows, so a leaf that holds a third of all rows is
-spread like any other.
+spread like any other. What still meets by leaf alone is a row per bucket, 4096 at most.
 
 Defined cases: null keys are the empty string; null or blank texts have no tokens and are
 never taken; budgets round down, so a leaf may miss fewer tokens than its parents have
@@ -79,9 +79,9 @@ def leaf_budgets(sizes: DataFrame, levels: tuple[str, ...] = LEVELS, weights: di
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, lang_col: str = "lang", source_col: str = "source",
-    weights: dict = WEIGHTS, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
+    weights: dict = WEIGHTS, share: int = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, copies, tail_tokens) of the documents taken.
+    """(doc_id, domain, lang, source, n_tokens, copies, tail_tokens) of the documents taken, and the columns to ``carry``.
 
     ``copies``: epochs that take the whole document; ``tail_tokens``: tokens of its beginning
     that the last epoch takes where the budget ends inside it.
@@ -90,8 +90,9 @@ def mix(
     n = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(domain if domain is not None else domain_of(source), F.lit("")).alias("domain"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), source.alias("source"), n.alias("n_tokens"),
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), source.alias("source"), n.alias("n_tokens"), *carry,
     )
+    also = slim.columns[5:]
     slim = cut(slim.where("n_tokens > 0"))
     budgets = leaf_budgets(slim, LEVELS, weights, share, max_epochs).select(*LEVELS, F.expr("budget div supply").alias("epochs"), F.expr("budget % supply").alias("rest"))
     key = F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -105,7 +106,7 @@ def mix(
     room = F.col("rest") - start
     whole = (room >= F.col("n_tokens")).cast("long")
     tail = F.when((room > 0) & (room < F.col("n_tokens")), room).otherwise(F.lit(0)).cast("long")
-    taken = placed.select("doc_id", *LEVELS, "n_tokens", (F.col("epochs") + whole).alias("copies"), tail.alias("tail_tokens"))
+    taken = placed.select("doc_id", *LEVELS, "n_tokens", (F.col("epochs") + whole).alias("copies"), tail.alias("tail_tokens"), *also)
     return taken.where("copies > 0 OR tail_tokens > 0")
 
 
