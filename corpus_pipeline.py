@@ -45,9 +45,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with copies and tail_tokens."""
-    taken = mix(docs).select("doc_id", "domain", "n_tokens", "copies", "tail_tokens").distinct()
-    return docs.join(taken, "doc_id").select(*docs.columns, "domain", "n_tokens", "copies", "tail_tokens")
+    """The documents that the mixture takes, with copies and tail_tokens.
+
+    Texts stay whole: a reader takes a document ``copies`` times and then its first
+    ``tail_tokens`` words. Rows without an id are told apart by their text.
+    """
+    taken = mix(docs, carry=(F.xxhash64("text").alias("print"),)).withColumnRenamed("doc_id", "id")
+    taken = taken.select("id", "print", "domain", "n_tokens", "copies", "tail_tokens").distinct()
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"]) & (F.xxhash64("text") == F.col("print"))).select(*docs.columns, "domain", "n_tokens", "copies", "tail_tokens")
 
 
 STAGES = [
