@@ -250,7 +250,7 @@ def ancestor_baselines(spark, sf_dir):
 @query(sql.NEAREST_VERSION)
 def nearest_version(spark, sf_dir):
     wanted = E(spark, sf_dir).select(F.col("uid"), F.col("moment").cast("timestamp").alias("date"))
-    known = E(spark, sf_dir).where("amount > 60").select("uid", F.col("moment").cast("timestamp").alias("date"), F.col("order").cast("string").alias("checksum"), F.col("order").alias("ordinal"))
+    known = E(spark, sf_dir).select("uid", F.col("moment").cast("timestamp").alias("date"), F.col("order").cast("string").alias("checksum"), F.col("order").alias("ordinal"))
     found = joins.nearest_version(wanted, known, "uid")
     return found.select("uid", F.unix_micros("date").alias("t"), "checksum")
 

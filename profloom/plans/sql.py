@@ -42,7 +42,7 @@ def _dense(source: str, by: str) -> str:
   k CROSS JOIN (SELECT unnest(range(min(snapshot), max(snapshot) + 1)) AS x FROM {source}) LEFT JOIN (SELECT {by} AS "by", snapshot AS x, sum(amount) AS value FROM {source} GROUP BY ALL) f USING ("by", x)"""
 
 
-FLOW = f"""SELECT "by", x, round(value, 4) AS value FROM ({_dense(f"(SELECT * FROM {EVENTS} WHERE version < '2024-01-03')", 'tid')})"""
+FLOW = f"""SELECT "by", x, round(value, 4) AS value FROM ({_dense(EVENTS, 'tid')})"""
 FLOW_ACCUMULATED = f"""SELECT "by", x, round(value, 4) AS value, round(sum(value) OVER (PARTITION BY "by" ORDER BY x), 4) AS accumulated FROM ({_dense(EVENTS, 'uid')})"""
 MEAN_AMOUNT = f"SELECT version, uid, round(avg(amount), 4) AS average FROM {EVENTS} GROUP BY version, uid"
 TRACE_TOTALS = f"SELECT uid, trace, round(amount, 2) AS amount, round(100 * amount / sum(amount) OVER (), 2) AS percent FROM (SELECT uid, trace, sum(amount) AS amount FROM {ORDERS} GROUP BY ALL)"
@@ -65,8 +65,8 @@ VERSION_LOG = f"""SELECT v.checksum, coalesce(n, 0) AS n_profiles, coalesce(repe
   LEFT JOIN (SELECT version, count(*) AS n FROM {PROFILES} GROUP BY version) p ON p.version = v.checksum
   LEFT JOIN (SELECT version, count(*) FILTER (WHERE result = 'Degradation') AS u, count(*) FILTER (WHERE result = 'Optimization') AS d FROM {_CHANGES} GROUP BY version) c ON c.version = v.checksum"""
 DEGRADATION_RATIO = f"SELECT uid, round(avg((result = 'Degradation')::INT), 4) AS ratio FROM {_CHANGES} GROUP BY uid"
-SNAPSHOTS_DENSE = f"""SELECT s::INT AS snapshot, coalesce(n, 0) AS n, round(amount, 4) AS amount FROM (SELECT unnest(range(0, max(snapshot) + 1)) AS s FROM {EVENTS} WHERE snapshot % 3 <> 1)
-  LEFT JOIN (SELECT snapshot, count(*) AS n, sum(amount) AS amount FROM {EVENTS} WHERE snapshot % 3 <> 1 GROUP BY snapshot) ON snapshot = s"""
+SNAPSHOTS_DENSE = f"""SELECT s::INT AS snapshot, coalesce(n, 0) AS n, round(amount, 4) AS amount FROM (SELECT unnest(range(0, max(snapshot) + 1)) AS s FROM {EVENTS})
+  LEFT JOIN (SELECT snapshot, count(*) AS n, sum(amount) AS amount FROM {EVENTS} GROUP BY snapshot) ON snapshot = s"""
 MERGE_PROFILES = f"""SELECT uid, snapshot, subtype, round(sum(amount), 4) AS amount FROM (SELECT uid, amount, snapshot, NULL::VARCHAR AS subtype FROM {EVENTS} UNION ALL
   SELECT uid, amount, NULL, subtype FROM {ORDERS}) GROUP BY ALL"""
 
@@ -91,20 +91,20 @@ COMPARE_TOP_N = f"""SELECT rank, b.uid AS base_uid, b.trace AS base_trace, t.uid
 NTH_PROFILE = f"""SELECT version, profile_id, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY time, profile_id) - 1 AS nth FROM {PROFILES}) WHERE nth BETWEEN 1 AND 2"""
 COMMON_UIDS = f"SELECT tid AS uid FROM {EVENTS} WHERE amount > 99 INTERSECT SELECT tid FROM {EVENTS} WHERE amount < 1"
 _FUNCTIONS = "(SELECT caller AS func, version FROM {0} WHERE {1} UNION SELECT callee, version FROM {0} WHERE {1})"
-NEW_FUNCTIONS = f"""SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1996'")} EXCEPT SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1995' AND caller < 'C'")}"""
+NEW_FUNCTIONS = f"""SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1996'")} EXCEPT SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1995'")}"""
 
 PARENT_BASELINES = f"SELECT target_id, baseline_id FROM {_PARENTS}"
 ANCESTORS = f"""SELECT t.profile_id AS target_id, count(*) AS n, min(b.profile_id) AS oldest FROM {PROFILES} t JOIN {PROFILES} b ON b.version < t.version AND b.type = t.type AND b.cmd = t.cmd
   WHERE list_has_all(t.postprocessors, b.postprocessors) GROUP BY 1"""
-NEAREST_VERSION = f"""SELECT w.uid, epoch_us(w.moment) AS t, v."order"::VARCHAR AS checksum FROM {EVENTS} w ASOF LEFT JOIN (SELECT * FROM {EVENTS} WHERE amount > 60) v ON w.uid = v.uid AND w.moment >= v.moment"""
+NEAREST_VERSION = f"""SELECT w.uid, epoch_us(w.moment) AS t, v."order"::VARCHAR AS checksum FROM {EVENTS} w ASOF LEFT JOIN (SELECT * FROM {EVENTS}) v ON w.uid = v.uid AND w.moment >= v.moment"""
 LATEST_STATS = f"""SELECT name, version, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS k FROM (
-  SELECT version, 'u' || tid AS name, round(sum(amount), 4) AS value FROM {EVENTS} WHERE amount > 50 GROUP BY ALL)) WHERE k = 1"""
+  SELECT version, 'u' || tid AS name, round(sum(amount), 4) AS value FROM {EVENTS} GROUP BY ALL)) WHERE k = 1"""
 UPSERT = f"""SELECT version, uid AS location, 'time' AS type, 'log' AS cmdstr, result, CASE WHEN version >= '2024-01-10' THEN 0 ELSE round(rate, 4) END AS rate FROM {_CHANGES}"""
 _EDGES = f"(SELECT DISTINCT caller, callee FROM {CALL_EDGES})"
 CALLERS_CALLEES = f"""SELECT func, coalesce(string_agg(DISTINCT up, ',' ORDER BY up), '') AS callers, coalesce(string_agg(DISTINCT down, ',' ORDER BY down), '') AS callees FROM (
   SELECT caller AS func, NULL AS up, callee AS down FROM {_EDGES} UNION ALL SELECT callee, caller, NULL FROM {_EDGES}) GROUP BY func"""
 ZIP_TRACES = f"""SELECT "order", i::INT AS i, a[i + 1] AS frame_a, b[i + 1] AS frame_b, coalesce(list_contains(b, a[i + 1]), false) AS a_in_b, coalesce(list_contains(a, b[i + 1]), false) AS b_in_a FROM (
-  SELECT "order", [r_name, n_name] AS a, [uid, subtype, n_name] AS b, unnest(range(0, 3)) AS i FROM {ORDERS} WHERE "order" % 7 IN (0, 3))"""
+  SELECT "order", [r_name, n_name] AS a, [uid, subtype, n_name] AS b, unnest(range(0, 3)) AS i FROM {ORDERS})"""
 
 SMA = f"""SELECT "order", round(CASE WHEN count(*) OVER w >= 4 THEN avg(amount) OVER w END, 4) AS average FROM {EVENTS}
   WINDOW w AS (PARTITION BY uid ORDER BY "order", amount ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)"""
@@ -276,7 +276,7 @@ LEVELS = f"{_REACH} SELECT func, max(level)::INT AS level FROM reach GROUP BY fu
 LEAVES = f"SELECT callee AS func FROM {_EDGES} EXCEPT SELECT caller FROM {_EDGES}"
 TOP_DOWN = f"{_REACH} SELECT func, max(level)::INT AS level FROM reach WHERE func IN (SELECT caller FROM {_EDGES}) GROUP BY func HAVING max(level) < 3"
 BOTTOM_UP = f"""SELECT callee AS func FROM {_EDGES} WHERE callee NOT IN (SELECT caller FROM {_EDGES}) UNION SELECT caller FROM {_EDGES} WHERE callee NOT IN (SELECT caller FROM {_EDGES})"""
-WRAPPERS = f"""WITH c AS (SELECT uid || '-' || tid AS uid, CASE WHEN parent IS NOT NULL THEN parent || '-' || tid END AS parent, amount FROM {_CALLS} WHERE tid % 3 = 0),
+WRAPPERS = f"""WITH c AS (SELECT uid || '-' || tid AS uid, CASE WHEN parent IS NOT NULL THEN parent || '-' || tid END AS parent, amount FROM {_CALLS}),
   e AS (SELECT DISTINCT parent AS caller, uid AS callee FROM c WHERE parent IS NOT NULL), s AS (SELECT uid, count(*) AS n, quantile_cont(amount::DOUBLE, 0.5) AS m FROM c GROUP BY uid),
   f AS (SELECT caller, count(*) AS fan FROM e GROUP BY caller)
   SELECT callee AS func FROM e JOIN f USING (caller) JOIN s a ON a.uid = caller JOIN s b ON b.uid = callee GROUP BY callee HAVING bool_and(fan = 1 AND a.n = b.n AND b.m >= 0.8 * a.m)"""
