@@ -106,7 +106,8 @@ def models_by_group(models: DataFrame, group: str = "model") -> DataFrame:
 
 
 def model_of(models: DataFrame, kind: str, uid: str) -> DataFrame:
-    return models.where((F.col("model") == kind) & (F.col("uid") == uid)).limit(1)
+    """The model of a kind of one function; of several, the best fit on the least range."""
+    return models.where((F.col("model") == kind) & (F.col("uid") == uid)).orderBy(F.desc("r_square"), "x_start", "x_end").limit(1)
 
 
 def drop_allocator_frames(df: DataFrame, names: list[str], sources: list[str]) -> DataFrame:

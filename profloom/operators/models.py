@@ -30,6 +30,18 @@ def _regression(model: str, x: Column, y: Column, at: Column) -> Column:
     )
 
 
+#: Further kinds: name to (f_x, f_y, f_a, f_b), see ``register_model``.
+REGISTERED: dict[str, tuple] = {}
+
+
+def register_model(name: str, f_x, f_y, f_a=lambda a: a, f_b=lambda b: b) -> None:
+    """Add a kind of model: a line through (f_x(x), f_y(y)), whose intercept and slope f_a and f_b turn into b0 and b1.
+
+    All four map Columns to Columns; a null f_x or f_y leaves a point out.
+    """
+    REGISTERED[name] = (f_x, f_y, f_a, f_b)
+
+
 def fit_all(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", method: str = "full") -> DataFrame:
     """(keys, model, method, r_square, x_start, x_end, b0, b1, b2, n): every model of every group."""
     pts = points.select(*keys, F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
@@ -49,6 +61,7 @@ def fit_all(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: st
             _regression("logarithmic", positive(F.ln, X), Y, X),
             _regression("power", positive(F.log10, X), positive(F.log10, Y), X),
             _regression("exponential", X, positive(F.log10, Y), X),
+            *[_regression(name, fx(X), fy(Y), X) for name, (fx, fy, _, _) in REGISTERED.items()],
         ).alias("fits"),
         F.count("*").alias("n"), F.max("mx").alias("mx"), F.max("my").alias("my"), F.min("x").alias("lo"), F.max("x").alias("hi"), *[F.sum(e).alias(k) for k, e in sums.items()],
     )
@@ -56,6 +69,9 @@ def fit_all(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: st
     log = F.col("model").isin("power", "exponential")
     b0 = F.when(log, F.pow(F.lit(10.0), F.col("intercept"))).otherwise(F.col("intercept"))
     b1 = F.when(F.col("model") == "exponential", F.pow(F.lit(10.0), F.col("slope"))).otherwise(F.col("slope"))
+    for name, (_, _, fa, fb) in REGISTERED.items():
+        own = F.col("model") == name
+        b0, b1 = F.when(own, fa(F.col("intercept"))).otherwise(b0), F.when(own, fb(F.col("slope"))).otherwise(b1)
     null = F.lit(None).cast("double")
     shape = lambda model, r2, lo, hi, a, b, q: [F.lit(model).alias("model") if isinstance(model, str) else model, r2.alias("r_square"), lo.alias("x_start"), hi.alias("x_end"), a.alias("b0"), b.alias("b1"), q.alias("b2"), "n"]
     family = line.where((F.col("n") >= MIN_POINTS) & F.col("slope").isNotNull())

@@ -84,8 +84,8 @@ def moving_average_model(points: DataFrame, *keys: str, x: str = "structure_unit
     return found.select(*keys, "x_start", "x_end", "bucket_stats", F.lit(window).alias("window_width"), (1 - F.try_divide(F.col("sse"), F.col("tss"))).alias("r_square"))
 
 
-#: Reach of each kernel in bandwidths; the normal ones are cut where they are below 4e-4 of their top.
-REACH = {"epanechnikov": 1.0, "tricube": 1.0, "normal": 4.0, "epanechnikov4": 1.0, "normal4": 4.0}
+#: Reach of each kernel in bandwidths; beyond it the normal ones are under 1e-16 of their top, too little for a double's sum.
+REACH = {"epanechnikov": 1.0, "tricube": 1.0, "normal": 8.6, "epanechnikov4": 1.0, "normal4": 8.6}
 
 
 def kernel(kind: str, u: Column) -> Column:

@@ -39,8 +39,12 @@ def read_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             pdf["text"] = texts
             yield pdf[["path", "modificationTime", "text"]]
 
-    text = files.mapInPandas(unpack, "path string, modificationTime timestamp, text string")
-    return text.select("path", F.sha1("text").alias("profile_id"), "modificationTime", "text", F.from_json("text", _PROFILE).alias("raw"))
+    return parse_profiles(files.mapInPandas(unpack, "path string, modificationTime timestamp, text string"))
+
+
+def parse_profiles(texts: DataFrame) -> DataFrame:
+    """(path, profile_id, modificationTime, text, raw) of profiles as JSON text."""
+    return texts.select("path", F.sha1("text").alias("profile_id"), "modificationTime", "text", F.from_json("text", _PROFILE).alias("raw"))
 
 
 def profile_catalog(raw: DataFrame, version: str | None = None) -> DataFrame:
@@ -92,7 +96,11 @@ def normalize_legacy(raw: DataFrame) -> DataFrame:
 
 def read_folded_stacks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``cmd;f1;...;fn count`` lines: command, trace without the last frame, uid the last frame, amount."""
-    lines = spark.read.text(paths).where("trim(value) <> ''")
+    return parse_folded(spark.read.text(paths))
+
+
+def parse_folded(lines: DataFrame) -> DataFrame:
+    lines = lines.where("trim(value) <> ''")
     m = lambda g: F.regexp_extract("value", r"^(.*)\s+(\S+)\s*$", g)
     f = F.split(m(1), ";")
     frame = lambda x: F.struct(x.alias("func"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("line"))
@@ -104,7 +112,12 @@ def read_folded_stacks(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 def read_call_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``i|o function timestamp size`` lines as begin and end records of one thread per file."""
-    rows = spark.read.text(paths).select(F.input_file_name().alias("tid"), F.split(F.trim("value"), r"\s+").alias("p")).where("size(p) = 4")
+    return parse_calls(spark.read.text(paths).select(F.input_file_name().alias("tid"), "value"))
+
+
+def parse_calls(lines: DataFrame) -> DataFrame:
+    """``lines``: tid, value."""
+    rows = lines.select("tid", F.split(F.trim("value"), r"\s+").alias("p")).where("size(p) = 4")
     return rows.select(
         "tid", F.when(F.get("p", F.lit(0)) == "i", 1).otherwise(-1).alias("step"), F.get("p", F.lit(1)).alias("probe_id"), F.get("p", F.lit(2)).try_cast("bigint").alias("timestamp"), F.get("p", F.lit(3)).try_cast("double").alias("structure_unit_size")
     )
@@ -161,8 +174,11 @@ def read_alloc_log(spark: SparkSession, paths: str | list[str], interval: float
 
 def read_bounds_report(spark: SparkSession, paths: str | list[str], ruler: str = "-" * 20) -> DataFrame:
     """(func, line, column, bound, class, total): local bounds of functions and each one's total bound."""
-    files = spark.read.text(paths, wholetext=True)
-    blocks = files.select(F.explode(F.split("value", "Function ")).alias("b")).where("b RLIKE '^[A-Za-z_]'")
+    return parse_bounds(spark.read.text(paths, wholetext=True))
+
+
+def parse_bounds(texts: DataFrame) -> DataFrame:
+    blocks = texts.select(F.explode(F.split("value", "Function ")).alias("b")).where("b RLIKE '^[A-Za-z_]'")
     func = F.regexp_extract("b", r"^([A-Za-z_][A-Za-z_0-9]*)", 1)
     found = F.regexp_extract_all("b", F.lit(r"(?s)line\s+\d+\s*/\s*\d+.*?O\([^)]*\)"), 0)
     failed = F.col("b").contains("FAILED")
@@ -177,8 +193,12 @@ def read_bounds_report(spark: SparkSession, paths: str | list[str], ruler: str =
 
 def read_time_output(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``real|user|sys value`` lines: amount in seconds by repetition."""
-    rows = spark.read.text(paths).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    return parse_times(spark.read.text(paths).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")).drop("file")
+
+
+def parse_times(lines: DataFrame) -> DataFrame:
+    """``lines``: file, at (their order), value."""
     m = lambda g: F.regexp_extract("value", r"^\s*(real|user|sys)\s+(?:(\d+)m)?([0-9.]+)s?\s*$", g)
-    rows = rows.where(m(1) != "").select("file", "at", m(1).alias("subtype"), (F.coalesce(m(2).try_cast("double"), F.lit(0.0)) * 60 + m(3).try_cast("double")).alias("amount"))
+    rows = lines.where(m(1) != "").select("file", "at", m(1).alias("subtype"), (F.coalesce(m(2).try_cast("double"), F.lit(0.0)) * 60 + m(3).try_cast("double")).alias("amount"))
     order = F.row_number().over(Window.partitionBy("file", "subtype").orderBy("at"))
-    return rows.select(order.alias("order"), "subtype", "amount")
+    return rows.select("file", order.alias("order"), "subtype", "amount")

@@ -1,6 +1,6 @@
 import pytest
 
-from profloom.plans import catalog
+from profloom.plans import catalog, formats, reports  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
