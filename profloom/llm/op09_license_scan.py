@@ -8,8 +8,10 @@ best unit's. A file without one inherits from the licence file in the nearest di
 it, by joins on directory paths.
 
 Only the templates (fixed, a few rows) are broadcast. Document frequencies are one aggregate
-over the words of all units, which the units are joined to that can still reach the threshold
-when each word that no template has weighs as little as the most frequent of them.
+over the words of all units. Then only those units are cut to words again that hold one of the
+heavy template words, without which no cosine reaches the threshold, and only those joined to
+the frequencies that can still reach it when each word that no template has weighs as little
+as the most frequent of them.
 
 Defined cases: null text has no units; a null path has no directory and inherits nothing; ties
 of cosine go to the template name that sorts first; of two licence files in one directory the
@@ -38,12 +40,12 @@ TEMPLATES = {
 }
 #: Names of licence files, without extension, upper case.
 LICENSE_NAMES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
-_SPLIT = "[^a-z0-9.+]+"
+_WORD = "[a-z0-9.+]+"
 
 
 def _words(text: str) -> str:
     """SQL for the distinct words of a text, dots at the ends of words dropped."""
-    return f"filter(array_distinct(transform(split(lower({text}), '{_SPLIT}'), w -> rtrim('.', w))), w -> w <> '')"
+    return f"filter(array_distinct(transform(regexp_extract_all(lower({text}), '{_WORD}', 0), w -> rtrim('.', w))), w -> w <> '')"
 
 
 def templates(spark: SparkSession, named: dict[str, str]) -> DataFrame:
@@ -59,11 +61,13 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str, nam
     terms = cut(templates(spark, named))
     vocabulary = sorted(r.word for r in terms.select("word").distinct().collect())  # words of the fixed templates
     known = "array(" + ", ".join(f"'{w}'" for w in vocabulary) + ")"
-    units = rows.select("id", "path", "is_file", F.explode(F.expr("if(is_file, array_append(split(text, '\\n', -1), text), split(text, '\\n', -1))")).alias("unit"))
-    units = units.select("id", "path", "is_file", F.expr(_words("unit")).alias("words")).where("size(words) > 0")
-    # '' is no word: it counts the units
-    counts = cut(units.select(F.explode(F.expr("array_append(words, '')")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
-    total = counts.where("word = ''").select(F.col("df").alias("units"))
+    lines = rows.select("id", "path", "is_file", F.explode(F.expr("if(is_file, array_append(split(text, '\\n', -1), text), split(text, '\\n', -1))")).alias("unit"))
+    cut_up = lambda df: df.select("id", "path", "is_file", F.expr(_words("unit")).alias("words")).where("size(words) > 0")
+    # a unit's first word counts the units; no filter on the words, which would cut each unit up twice
+    found = lines.select(F.posexplode(F.expr(_words("unit"))).alias("at", "word"))
+    counts = cut(found.groupBy("word").agg(F.count("*").alias("df"), F.count_if(F.col("at") == 0).alias("units")))
+    total = counts.agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"))
+    counts = counts.select("word", "df")
     idf = F.log((1.0 + F.col("units")) / (1.0 + F.coalesce("df", F.lit(0))))
     weights = F.broadcast(terms.select("word").distinct()).join(counts, "word", "left").crossJoin(F.broadcast(total))  # one row of totals
     weights = cut(weights.select("word", idf.alias("idf")))
@@ -71,10 +75,16 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str, nam
     model = F.broadcast(terms.join(weights, "word").join(norms, "license"))  # a row for each template word
 
     # no template's dot is above the sum of hits, no norm below the least, no other word lighter than the most frequent one
-    others = counts.where(f"word <> '' AND NOT array_contains({known}, word)")
+    others = counts.where(f"NOT array_contains({known}, word)")
     floor = others.groupBy().agg(F.max("df").alias("df")).crossJoin(total).select(idf.alias("idf")).first()
     floor, least_norm = floor.idf if floor else 0.0, norms.agg(F.min("norm")).first()[0] or 0.0
-    squares = "map(" + ", ".join(f"'{r.word}', {r.idf * r.idf!r}D" for r in weights.collect()) + ")"  # a value for each template word
+    weighed = {r.word: r.idf * r.idf for r in weights.collect()}  # a value for each template word
+    squares = "map(" + ", ".join(f"'{w}', {x!r}D" for w, x in weighed.items()) + ")"
+    # the lightest words that reach no cosine even all together; a unit needs one of the others
+    heavy, light = sorted(weighed, key=weighed.get), 0.0
+    while heavy and (light := light + weighed[heavy[0]]) < (least * least_norm) ** 2 * (1 - 1e-9):
+        heavy.pop(0)
+    units = cut_up(lines.where(F.lower("unit").rlike("|".join(w.replace(".", "\\.").replace("+", "\\+") for w in heavy) or "(?!)")))
     units = units.select("id", "path", "is_file", F.expr(f"array_intersect(words, {known})").alias("hits"), F.expr(f"array_except(words, {known})").alias("rest")).where("size(hits) > 0")
     units = units.withColumn("own", F.expr(f"aggregate(hits, 0D, (a, w) -> a + element_at({squares}, w))"))
     bound = F.col("own") * F.col("own") >= (least * least_norm) ** 2 * (1 - 1e-9) * (F.col("own") + F.size("rest") * floor * floor)
@@ -125,7 +135,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
 ORACLE = rf"""
 WITH template(license, statement) AS (VALUES {_VALUES}),
-term AS (SELECT DISTINCT license, rtrim(w, '.') AS word FROM template, unnest(regexp_split_to_array(lower(statement), '{_SPLIT}')) AS u(w) WHERE rtrim(w, '.') <> ''),
+term AS (SELECT DISTINCT license, rtrim(w, '.') AS word FROM template, unnest(regexp_extract_all(lower(statement), '{_WORD}')) AS u(w) WHERE rtrim(w, '.') <> ''),
 file AS (
   SELECT doc_id AS id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CASE WHEN doc_id % 640 = 0 THEN '' ELSE (doc_id // 64) || '/' END
          || CASE WHEN doc_id % 64 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path, doc_id % 64 = 0 AS is_file, text FROM documents
@@ -133,18 +143,18 @@ file AS (
   SELECT id, path, is_file, unnest(CASE WHEN is_file THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END) AS unit FROM file
 ), unit AS (
   SELECT *, row_number() OVER () AS u FROM (
-    SELECT id, path, is_file, list_filter(list_distinct(list_transform(regexp_split_to_array(lower(unit), '{_SPLIT}'), lambda w: rtrim(w, '.'))), lambda w: w <> '') AS words FROM raw) WHERE len(words) > 0
-), hit AS (
-  SELECT u, w AS word FROM unit, unnest(words) AS x(w) WHERE w IN (SELECT word FROM term)
-), weight AS (
-  SELECT t.word, ln((1.0 + n) / (1.0 + coalesce(df, 0))) AS idf, ln(1.0 + n) AS unseen
-  FROM (SELECT DISTINCT word FROM term) t LEFT JOIN (SELECT word, count(*) AS df FROM hit GROUP BY word) h USING (word) CROSS JOIN (SELECT count(*) AS n FROM unit)
-), norm AS (SELECT license, sqrt(sum(idf * idf)) AS norm FROM term JOIN weight USING (word) GROUP BY license),
-own AS (SELECT u, sum(idf * idf) AS own, count(*) AS k, max(unseen) AS unseen FROM hit JOIN weight USING (word) GROUP BY u),
-dot AS (SELECT u, license, sum(idf * idf) AS dot FROM hit JOIN weight USING (word) JOIN term USING (word) GROUP BY u, license),
+    SELECT id, path, is_file, list_filter(list_distinct(list_transform(regexp_extract_all(lower(unit), '{_WORD}'), lambda w: rtrim(w, '.'))), lambda w: w <> '') AS words FROM raw) WHERE len(words) > 0
+), freq AS (
+  SELECT w AS word, count(*) AS df FROM unit, unnest(words) AS x(w) GROUP BY w
+), total AS (SELECT count(*) AS n FROM unit),
+weight AS (SELECT word, ln((1.0 + n) / (1.0 + df)) AS idf FROM freq CROSS JOIN total),
+term_weight AS (SELECT license, word, ln((1.0 + n) / (1.0 + coalesce(df, 0))) AS idf FROM term LEFT JOIN freq USING (word) CROSS JOIN total),
+norm AS (SELECT license, sqrt(sum(idf * idf)) AS norm FROM term_weight GROUP BY license),
+word_of AS (SELECT u, w AS word FROM unit, unnest(words) AS x(w) WHERE list_has_any(words, (SELECT list(word) FROM term))),
+size AS (SELECT u, sqrt(sum(idf * idf)) AS size FROM word_of JOIN weight USING (word) GROUP BY u),
+dot AS (SELECT u, license, sum(idf * idf) AS dot FROM word_of JOIN term_weight USING (word) GROUP BY u, license),
 scored AS (
-  SELECT id, path, is_file, license, round(dot / (sqrt(own + (len(words) - k) * unseen * unseen) * norm), 9) AS cosine
-  FROM unit JOIN own USING (u) JOIN dot USING (u) JOIN norm USING (license)
+  SELECT id, path, is_file, license, round(dot / (size * norm), 9) AS cosine FROM unit JOIN size USING (u) JOIN dot USING (u) JOIN norm USING (license) WHERE size * norm > 0
 ), found AS (
   SELECT id, path, is_file, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY id, path ORDER BY cosine DESC, license) AS r FROM scored WHERE cosine >= {LEAST}) WHERE r = 1
 ), holder AS (
