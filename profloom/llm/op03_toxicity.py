@@ -7,14 +7,14 @@ source and doc_id are never features.
 
 Fitting takes a bounded sample of the labelled training rows (``FIT_TOXIC`` and
 ``FIT_CLEAN``, chosen by hash of the id, weighted back to the classes' sizes); scoring
-takes every row, one pass, no shuffle. The sample is split by hash: one part finds the
-learned list, one grows the trees, one calibrates (all of it does all three while it is
-smaller than ``SPLIT_FROM``, as then a part would be too small to learn from).
+takes every row, one pass, no shuffle. The sample is split by hash, at every size: one part
+finds the learned list, one grows the trees, one calibrates on rows that neither has seen.
 
 Defined cases: null text is empty; empty texts get a score like any other; without both
-classes in training, every score is the share of toxic labels (0 without labels); a label
+classes among the rows for the trees, every score is the share of toxic labels (0 without labels); a label
 that is null or not 0/1 is ignored, a document with several labels is toxic if one is; a
-repeated row is returned as often as it stands. Extra columns are ignored.
+repeated row is returned as often as it stands; very long texts are read whole; texts of equal
+features have equal scores. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from profloom.llm.common import cut, table
 
 FIT_TOXIC, FIT_CLEAN = 8_000, 16_000  # bounds of the fitting sample
-SPLIT_FROM = 2_000
 #: Entries of the learned list at most, least toxic texts of one, least log ratio.
 LEARNED, LEAST_TEXTS, LEAST_RATIO = 2_000, 5, 3.0
 TREES, DEPTH, STEP = 20, 4, 0.2
@@ -181,12 +180,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(100))
     chosen = marked.where(draw < rate).select("doc_id", "label", (1 / rate).alias("weight"), part.alias("part"))
     sample = cut(rows.join(F.broadcast(chosen), "doc_id"))  # at most FIT_TOXIC + FIT_CLEAN ids
-    n = {label: n for label, n in sample.groupBy("label").count().collect()}
-    if len(n) < 2:
+    grown = {r.label for r in sample.where("part >= 45 AND part < 85").select("label").distinct().collect()}
+    if len(grown) < 2:
         share = float(sizes[1] / (sizes[0] + sizes[1]))
         return rows.select("doc_id", kept, F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-    whole = sum(n.values()) < SPLIT_FROM
-    cond = ["true"] * 3 if whole else ["part < 45", "part >= 45 AND part < 85", "part >= 85"]
+    cond = ("part < 45", "part >= 45 AND part < 85", "part >= 85")
 
     first = sample.where(cond[0])
     totals = {label: n for label, n in first.groupBy("label").count().collect()}
@@ -202,6 +200,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = trees.fit(made.where(cond[1]).coalesce(4))
     margin = vector_to_array("probability")[1].alias("margin")
     fitted = model.transform(made.where(cond[2])).select(F.col("label").cast("double").alias("label"), "weight", margin)
+    if fitted.select("label").distinct().count() < 2:  # nothing to calibrate by: the trees' margin stands
+        fitted = fitted.sparkSession.createDataFrame([(float(k), 1.0, float(k)) for k in (0, 1)], "label double, weight double, margin double")
     curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="risk").fit(fitted)
 
     scored = rows.mapInArrow(_feature_rows(learned), f"{schema}, x array<double>").select("doc_id", array_to_vector("x").alias("features"))

@@ -21,7 +21,8 @@ anchors, and about two anchors in ``length - CORE`` bytes stand for all windows.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; equal
 documents and overlapping repeats in one document follow the "starts earlier" rule
-(smaller doc_id, then smaller start); rows without an id count as one document before all
+(smaller doc_id, then smaller start), so of a repeated row's bytes each copy after the first
+goes; very long texts are read whole; rows without an id count as one document before all
 others. Extra columns are ignored; empty tables work.
 """
 

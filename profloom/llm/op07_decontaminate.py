@@ -19,7 +19,8 @@ without text; each stretch of hits brings its words once.
 
 Defined cases: null or empty texts have no words; equal items are compared once and all
 reported; null items and rows without an id are ignored (such documents are never
-flagged); a repeated row is one document. Extra columns are ignored.
+flagged); a repeated row is one document; very long texts are read whole and travel only in
+stretches around hits. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations

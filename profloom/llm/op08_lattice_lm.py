@@ -16,8 +16,9 @@ vocabulary's byte pieces cover what no other piece does.
 
 Defined cases: null text is empty (one end token); a null id is not held out; repeated
 rows train as often as they stand and are returned once (rows without an id together, as
-their mean); an empty table gives an empty
-result; without training rows the first weights hold. Extra columns are ignored.
+their mean); a very long word is summed by itself, in memory of two numbers a byte; an empty
+table gives an empty result; without training rows the first weights hold. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class Pieces:
 
     def __init__(self, surfaces: list[bytes]) -> None:
         self.tables: list[tuple[int, U64, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.known = {s: i for i, s in enumerate(surfaces)}
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(surfaces):
             by_length.setdefault(len(s), []).append(i)
@@ -105,8 +107,8 @@ def read_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
 
 
 def _buckets(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, padded byte matrix, lengths): words of like length together, mark included."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + len(MARK)
+    """(row numbers, padded byte matrix, lengths): words of like length together, mark included, but for very long ones."""
+    sizes = np.fromiter((len(w) if len(w) <= LONG_WORD else -len(MARK) for w in words), np.int64, len(words)) + len(MARK)
     edge, top = 0, 8
     while (sizes > edge).any():
         who = np.flatnonzero((sizes > edge) & (sizes <= top))
@@ -117,6 +119,43 @@ def _buckets(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         edge, top = top, top + max(4, top // 2)
 
 
+class LongWord:
+    """Forward and backward sums of one very long word, piece by piece: two numbers a byte, no arcs kept."""
+
+    def __init__(self, pieces: Pieces, logp: np.ndarray, word: bytes) -> None:
+        self.logp, self.known, self.word = logp, pieces.known, MARK + word
+        self.sizes = sorted({len(s) for s in pieces.known}, reverse=True)
+        self.alpha = [-math.inf] * (len(self.word) + 1)
+        self.alpha[0] = 0.0
+        for end in range(1, len(self.alpha)):
+            self.alpha[end] = self._sum([self.alpha[end - size] + logp[i] for size, i in self._back(end)])
+
+    def _back(self, end: int) -> Iterator[tuple[int, int]]:
+        """(bytes, piece) of the pieces that end here."""
+        for size in self.sizes:
+            if size <= end and (i := self.known.get(self.word[end - size : end])) is not None:
+                yield size, i
+
+    @staticmethod
+    def _sum(logs: list[float]) -> float:
+        top = max(logs, default=-math.inf)
+        return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in logs))
+
+    def expected(self, count: float, into: np.ndarray) -> None:
+        beta: list[list[float]] = [[] for _ in self.alpha]
+        beta[-1].append(0.0)
+        for end in range(len(self.alpha) - 1, 0, -1):
+            onward = self._sum(beta[end])
+            beta[end] = []
+            for size, i in self._back(end) if onward > -math.inf else ():
+                beta[end - size].append(onward + self.logp[i])
+                into[i] += math.exp(self.alpha[end - size] + onward + self.logp[i] - self.alpha[-1]) * count
+
+
+#: Bytes of a word from which it is summed by itself; shorter ones are summed side by side.
+LONG_WORD = 512
+
+
 def _forward(pieces: Pieces, logp: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, list]:
     alpha = np.full((matrix.shape[1] + 1, len(matrix)), -np.inf)
     alpha[0] = 0
@@ -129,6 +168,9 @@ def _forward(pieces: Pieces, logp: np.ndarray, matrix: np.ndarray) -> tuple[np.n
 def word_scores(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Natural log of each word's marginal probability."""
     out = np.zeros(len(words))
+    for i, w in enumerate(words):
+        if len(w) > LONG_WORD:
+            out[i] = LongWord(pieces, logp, w).alpha[-1]
     for who, matrix, sizes in _buckets(words):
         alpha, _ = _forward(pieces, logp, matrix)
         out[who] = alpha[sizes, np.arange(len(who))]
@@ -137,6 +179,9 @@ def word_scores(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndar
 
 def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[bytes], counts: np.ndarray, into: np.ndarray) -> None:
     """Add the expected number of uses of each piece in ``counts`` copies of the words."""
+    for w, count in zip(words, counts, strict=True):
+        if len(w) > LONG_WORD:
+            LongWord(pieces, logp, w).expected(count, into)
     for who, matrix, sizes in _buckets(words):
         alpha, arcs = _forward(pieces, logp, matrix)
         n = np.arange(len(who))

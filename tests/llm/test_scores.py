@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from profloom.llm import op03_toxicity, op08_lattice_lm
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
     surfaces, p = op08_lattice_lm.read_pieces()
     pieces, logp = op08_lattice_lm.Pieces(surfaces), np.log(p)
     known = dict(zip(surfaces, logp, strict=True))
@@ -26,6 +26,13 @@ def test_lattice_sums_all_segmentations():
 
     words = [b"the", b"thntblere", "éréier".encode(), b"x", b"\xff\xfe", b"a" * 70, b"hello,", b"|"]
     assert np.allclose(op08_lattice_lm.word_scores(pieces, logp, words), [slow(w) for w in words], rtol=0, atol=1e-9)
+    long = b"thntblereab" * 60 + bytes(range(128, 250))
+    assert op08_lattice_lm.word_scores(pieces, logp, [long])[0] == pytest.approx(slow(long), abs=1e-6)
+    apart, together = np.zeros(len(p)), np.zeros(len(p))
+    op08_lattice_lm.expected_counts(pieces, logp, [long], np.array([3.0]), apart)
+    monkeypatch.setattr(op08_lattice_lm, "LONG_WORD", 10_000)
+    op08_lattice_lm.expected_counts(pieces, logp, [long], np.array([3.0]), together)
+    assert np.allclose(apart, together, atol=1e-6) and apart.sum() > 30
     into = np.zeros(len(p))
     op08_lattice_lm.expected_counts(pieces, logp, [b"the"], np.array([2.0]), into)
     k = surfaces.index(op08_lattice_lm.MARK + b"the")
@@ -52,6 +59,43 @@ def test_base_score_is_brute_force(docs_of, make, frequent):
         assert r.score < 0
 
 
+def test_score_is_a_forward_sum_over_the_whole_text(docs_of, make):
+    """The end-to-end score against a slow forward pass, with weights re-estimated in plain Python."""
+    docs = [(i, make.text(make.r.randrange(0, 6), 5)) for i in range(30)] + [(100, None), (101, "zz " + "q" * 700)]
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    found = {r.doc_id: r.score for r in op08_lattice_lm.lattice_lm(docs_of(docs), train, frequent=5).collect()}
+    surfaces, p = op08_lattice_lm.read_pieces()
+    at, most = {s: i for i, s in enumerate(surfaces)}, max(map(len, surfaces))
+    tokens = {i: brute.words(t) for i, t in docs}
+    learn = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def sums(word, logp, back=False):
+        w = op08_lattice_lm.MARK + word.encode()
+        arcs = [(i, j, at[w[i:j]]) for j in range(1, len(w) + 1) for i in range(max(0, j - most), j) if w[i:j] in at]
+        a = [0.0] + [-math.inf] * len(w)
+        for i, j, k in arcs:
+            a[j] = np.logaddexp(a[j], a[i] + logp[k])
+        if not back:
+            return a[-1]
+        b = [-math.inf] * len(w) + [0.0]
+        for i, j, k in reversed(arcs):
+            b[i] = np.logaddexp(b[i], b[j] + logp[k])
+        return [(k, math.exp(a[i] + logp[k] + b[j] - a[-1])) for i, j, k in arcs]
+
+    counts = Counter(w for i in learn for w in tokens[i])
+    q, end, prior = p, 0.5, p
+    for _ in range(op08_lattice_lm.ROUNDS):
+        uses = np.zeros(len(p))
+        for w, c in counts.items():
+            for k, n in sums(w, np.log(q), True):
+                uses[k] += c * n
+        total = uses.sum() + len(learn) + op08_lattice_lm.PRIOR
+        q, end = (uses + op08_lattice_lm.PRIOR * prior) / total, len(learn) / total
+    logp = np.log(q * (1 - end) / q.sum())
+    for i, ws in tokens.items():
+        assert found[i] == pytest.approx((sum(sums(w, logp) for w in ws) + math.log(end)) / math.log(10), abs=1e-6)
+
+
 def test_toxicity_finds_planted_texts(spark, docs_of, make):
     docs, labels = [], []
     for i in range(400):
