@@ -432,7 +432,7 @@ def kernel_ridge_grid(spark, sf_dir):
     return rounded(nonparam.kernel_ridge_grid(S(spark, sf_dir), "uid", gammas=[0.001, 0.01, 0.1, 1.0]), 1)
 
 
-@query()
+@query(sql.MOVING_MODEL)
 def moving_average_model(spark, sf_dir):
     found = nonparam.moving_average_model(S(spark, sf_dir).withColumn("x", F.col("order").cast("double")), "uid", x="x", window=9)
     return rounded(found.select("uid", "x_start", "x_end", "window_width", "r_square", F.size("bucket_stats").alias("points")))
@@ -494,7 +494,7 @@ def check_local_stats(spark, sf_dir):
     return rounded(checks.local_statistics(b, t)[0])
 
 
-@query()
+@query(sql.LOCAL_INTERVALS)
 def local_intervals(spark, sf_dir):
     b, t = _series(spark, sf_dir)
     return rounded(checks.local_statistics(b, t)[1])

@@ -244,6 +244,18 @@ _REL = "coalesce((t.{0} - b.{0}) / nullif(b.{0}, 0), 0)"
 CHECK_LOCAL = f"""SELECT uid, round(round(rate, 2), 4) AS rate, {_CLASS.format('rate', 0.1, 0.25)} AS result FROM (SELECT uid, avg(({' + '.join(_REL.format(s) for s in ('int', 'avg', 'med', 'max', 'min', 'sum', 'q1', 'q3'))}) / 8) AS rate
   FROM (SELECT *, {_INT} AS int FROM {_STATS} WHERE profile_id = 'baseline') b JOIN (SELECT *, {_INT} AS int FROM {_STATS} WHERE profile_id = 'target') t USING (uid, block) GROUP BY uid)"""
 
+_ALL_STATS = ("int", "avg", "med", "max", "min", "sum", "q1", "q3")
+_SCORE = "(CASE WHEN abs({0}) <= 0.1 THEN 0 WHEN abs({0}) <= 0.25 THEN sign({0}) * 0.5 ELSE sign({0}) END)"
+LOCAL_INTERVALS = f"""WITH e AS (SELECT uid, block, t.x_start, t.x_end, {', '.join(f'{_REL.format(s)} AS e_{s}' for s in _ALL_STATS)}
+  FROM (SELECT *, {_INT} AS int FROM {_STATS} WHERE profile_id = 'baseline') b JOIN (SELECT *, {_INT} AS int FROM {_STATS} WHERE profile_id = 'target') t USING (uid, block)),
+  c AS (SELECT uid, x_start, x_end, ({' + '.join(f'e_{s}' for s in _ALL_STATS)}) / 8 AS rate, {' + '.join(_SCORE.format(f'e_{s}') for s in _ALL_STATS)} AS total FROM e),
+  r AS (SELECT *, {_CLASS.format('total', 1.6, 4.0)} AS result FROM c), m AS (SELECT *, (coalesce(lag(result) OVER (PARTITION BY uid ORDER BY x_start) <> result, true))::INT AS fresh FROM r),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY x_start) AS island FROM m)
+  SELECT uid, result, round(min(x_start), 4) AS x_start, round(max(x_end), 4) AS x_end, round(avg(rate), 4) AS rate FROM g WHERE result <> 'NoChange' GROUP BY uid, island, result"""
+MOVING_MODEL = f"""WITH r AS (SELECT uid, "order"::DOUBLE AS x, amount AS y, CASE WHEN count(*) OVER w = 9 THEN avg(amount) OVER w ELSE 0 END AS fit, avg(amount) OVER (PARTITION BY uid) AS my
+  FROM {SALES} WINDOW w AS (PARTITION BY uid ORDER BY "order", amount ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
+  SELECT uid, min(x) AS x_start, max(x) AS x_end, 9 AS window_width, round(1 - sum((y - fit) * (y - fit)) / sum((y - my) * (y - my)), 4) AS r_square, count(*)::INT AS points FROM r GROUP BY uid"""
+
 _EXCLUSIVE = f"""(WITH b AS (SELECT uid, location, sum(y * 1000) / 1e6 AS base FROM {_XY} WHERE profile_id = 'baseline' GROUP BY ALL),
   t AS (SELECT uid, location, sum(y * 1000) / 1e6 AS target FROM {_XY} WHERE profile_id = 'target' AND NOT (uid LIKE 'E%' AND location = 'A') GROUP BY ALL)
   SELECT uid, location, base, target, coalesce(target, 0) - coalesce(base, 0) AS delta, 100 * (coalesce(target, 0) - coalesce(base, 0)) / sum(target) OVER () AS share FROM b FULL JOIN t USING (uid, location))"""
