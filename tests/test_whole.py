@@ -59,3 +59,28 @@ def test_levels_have_no_limit(spark, monkeypatch):
     edges = [("main", "f0"), *((f"f{i}", f"f{i + 1}") for i in range(6))]
     found = {r.func: r.level for r in graph.graph_levels(spark.createDataFrame(edges, "caller string, callee string")).collect()}
     assert found == {"main": 0, **{f"f{i}": i + 1 for i in range(7)}}
+
+
+def test_local_cubic_is_weighted_least_squares(spark):
+    import numpy as np
+
+    from profloom.operators import nonparam
+
+    r = random.Random(3)
+    rows = [("f", float(x), r.random() * 10 + x * x / 50) for x in range(1, 41) for _ in range(r.randrange(1, 4))]
+    sizes = nonparam.distinct_sizes(spark.createDataFrame(rows, "uid string, structure_unit_size double, amount double"), "uid")
+    found = {p.x: p.estimate for p in nonparam.kernel_estimate(sizes, "uid", h=9.0, kind="tricube", order=3).collect()}
+    x, y = (np.array([p[i] for p in rows]) for i in (1, 2))
+    for at, estimate in found.items():
+        u = np.abs((x - at) / 9.0)
+        w = np.where(u < 1, (1 - u**3) ** 3, 0.0)
+        assert abs(np.polyfit(x - at, y, 3, w=np.sqrt(w))[-1] - estimate) < 1e-6
+    assert len(found) == 40
+
+
+def test_model_of_takes_the_best_fit(spark):
+    from profloom.operators import fields
+
+    rows = [("f", "linear", 0.2, 1.0, 9.0), ("f", "linear", 0.7, 1.0, 5.0), ("f", "power", 0.9, 1.0, 9.0), ("g", "linear", 0.99, 1.0, 9.0)]
+    found = fields.model_of(spark.createDataFrame(rows, "uid string, model string, r_square double, x_start double, x_end double"), "linear", "f").collect()
+    assert [(r.r_square, r.x_end) for r in found] == [(0.7, 5.0)]
