@@ -7,8 +7,6 @@ domain are skipped for that model alone.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,8 @@ from profloom.operators.windows import best_model_per_uid
 MIN_POINTS = 3
 #: Slope (as an angle over 90) from which a constant is judged by the slope and not by its lack.
 FLAT = 0.01
+#: Determinant of the parabola, as a share of the fourth moment, that rounding alone can leave.
+UNDETERMINED = 1e-10
 
 
 def _regression(model: str, x: Column, y: Column, at: Column) -> Column:
@@ -43,18 +43,15 @@ def register_model(name: str, f_x, f_y, f_a=lambda a: a, f_b=lambda b: b) -> Non
 
 
 def fit_all(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", method: str = "full") -> DataFrame:
-    """(keys, model, method, r_square, x_start, x_end, b0, b1, b2, n): every model of every group."""
+    """(keys, model, method, r_square, x_start, x_end, b0, b1, b2, n): every model of every group.
+
+    One scan and one aggregation: the parabola takes its central sums from variance, skewness,
+    kurtosis and covariances, which add up without large cancelling sums. It is left out where
+    fewer than three distinct sizes leave it undetermined.
+    """
     pts = points.select(*keys, F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     X, Y = F.col("x"), F.col("y")
     positive = lambda f, c: F.when(c > 0, f(c))
-    means = pts.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    if keys:
-        same = reduce(lambda a, b: a & b, [F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
-        pts = pts.alias("p").join(means.alias("m"), same).select(*[F.col(f"p.{k}").alias(k) for k in keys], "x", "y", "mx", "my")
-    else:
-        pts = pts.join(means)  # one row of means
-    c, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    sums = {"s2": c * c, "s3": c * c * c, "s4": c * c * c * c, "sxy": c * v, "sx2y": c * c * v, "syy": v * v}
     found = pts.groupBy(*keys).agg(
         F.array(
             _regression("linear", X, Y, X),
@@ -63,34 +60,49 @@ def fit_all(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: st
             _regression("exponential", X, positive(F.log10, Y), X),
             *[_regression(name, fx(X), fy(Y), X) for name, (fx, fy, _, _) in REGISTERED.items()],
         ).alias("fits"),
-        F.count("*").alias("n"), F.max("mx").alias("mx"), F.max("my").alias("my"), F.min("x").alias("lo"), F.max("x").alias("hi"), *[F.sum(e).alias(k) for k, e in sums.items()],
+        F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"), F.covar_pop("x", "y").alias("cxy"), F.covar_pop(X * X, Y).alias("cx2y"),
     )
-    line = found.select(*keys, F.explode("fits").alias("f")).select(*keys, "f.*")
-    log = F.col("model").isin("power", "exponential")
-    b0 = F.when(log, F.pow(F.lit(10.0), F.col("intercept"))).otherwise(F.col("intercept"))
-    b1 = F.when(F.col("model") == "exponential", F.pow(F.lit(10.0), F.col("slope"))).otherwise(F.col("slope"))
+    kinds = F.concat(F.transform(F.filter("fits", lambda f: (f.n >= MIN_POINTS) & f.slope.isNotNull()), _line), _flat(F.col("fits")[0]), _parabola())
+    rows = found.select(*keys, F.explode(F.filter(kinds, lambda f: f.r_square.isNotNull())).alias("f"))
+    return rows.select(*keys, "f.*").withColumn("method", F.lit(method))
+
+
+def _model(model, r2, lo, hi, b0, b1, b2, n) -> Column:
+    of = lambda c, name: c.cast("double").alias(name)
+    return F.struct(model.alias("model"), of(r2, "r_square"), of(lo, "x_start"), of(hi, "x_end"), of(b0, "b0"), of(b1, "b1"), of(b2, "b2"), n.alias("n"))
+
+
+def _line(f: Column) -> Column:
+    """A fitted line as a model: what its kind makes of intercept and slope."""
+    log = f.model.isin("power", "exponential")
+    b0 = F.when(log, F.pow(F.lit(10.0), f.intercept)).otherwise(f.intercept)
+    b1 = F.when(f.model == "exponential", F.pow(F.lit(10.0), f.slope)).otherwise(f.slope)
     for name, (_, _, fa, fb) in REGISTERED.items():
-        own = F.col("model") == name
-        b0, b1 = F.when(own, fa(F.col("intercept"))).otherwise(b0), F.when(own, fb(F.col("slope"))).otherwise(b1)
-    null = F.lit(None).cast("double")
-    shape = lambda model, r2, lo, hi, a, b, q: [F.lit(model).alias("model") if isinstance(model, str) else model, r2.alias("r_square"), lo.alias("x_start"), hi.alias("x_end"), a.alias("b0"), b.alias("b1"), q.alias("b2"), "n"]
-    family = line.where((F.col("n") >= MIN_POINTS) & F.col("slope").isNotNull())
-    rows = family.select(*keys, *shape(F.col("model"), F.col("r2"), F.col("x_start"), F.col("x_end"), b0, b1, null))
-
-    turn = F.atan2(F.abs(F.col("slope") * F.col("x_end")), F.abs(F.col("x_end") - F.col("x_start"))) / 90
-    r_flat = F.when(turn > FLAT, F.col("r2") * (1 - turn)).otherwise(1 - F.col("r2"))
-    flat = family.where("model = 'linear'").select(*keys, *shape("constant", F.greatest(F.lit(0.0), F.least(F.lit(1.0), r_flat)), F.col("x_start"), F.col("x_end"), F.col("mean"), F.lit(0.0), null))
-
-    det = F.col("s4") - F.try_divide(F.col("s2") * F.col("s2"), F.col("n")) - F.try_divide(F.col("s3") * F.col("s3"), F.col("s2"))
-    d = F.try_divide(F.col("sx2y") - F.try_divide(F.col("s3") * F.col("sxy"), F.col("s2")), det)
-    quad = found.where(F.col("n") >= MIN_POINTS).withColumn("d", d).withColumn("e", F.try_divide(F.col("sxy") - F.col("s3") * F.col("d"), F.col("s2")))
-    quad = quad.withColumn("a", -F.col("s2") * F.col("d") / F.col("n")).where("d IS NOT NULL AND e IS NOT NULL")
-    m = F.col("mx")
-    r2 = F.try_divide(F.col("e") * F.col("sxy") + F.col("d") * F.col("sx2y"), F.col("syy"))
-    quad = quad.select(
-        *keys, *shape("quadratic", r2, F.col("lo"), F.col("hi"), F.col("a") + F.col("my") - F.col("e") * m + F.col("d") * m * m, F.col("e") - 2 * F.col("d") * m, F.col("d"))
-    )
-    return rows.unionByName(flat).unionByName(quad).where("r_square IS NOT NULL").withColumn("method", F.lit(method))
+        b0, b1 = F.when(f.model == name, fa(f.intercept)).otherwise(b0), F.when(f.model == name, fb(f.slope)).otherwise(b1)
+    return _model(f.model, f.r2, f.x_start, f.x_end, b0, b1, F.lit(None), f.n)
+
+
+def _flat(line: Column) -> Column:
+    """The constant model of a linear fit, as an array of one or none."""
+    turn = F.atan2(F.abs(line.slope * line.x_end), F.abs(line.x_end - line.x_start)) / 90
+    r2 = F.when(turn > FLAT, line.r2 * (1 - turn)).otherwise(1 - line.r2)
+    flat = _model(F.lit("constant"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), r2)), line.x_start, line.x_end, line["mean"], F.lit(0.0), F.lit(None), line.n)
+    return F.filter(F.array(flat), lambda f: (f.n >= MIN_POINTS) & line.slope.isNotNull())
+
+
+def _parabola() -> Column:
+    """The quadratic model from the moments of a group, as an array of one or none."""
+    n, mx = F.col("n"), F.col("mx")
+    s2, sxy, syy = n * F.col("vx"), n * F.col("cxy"), n * F.col("vy")
+    s3, s4 = F.col("skew") * s2 * F.sqrt("vx"), (F.col("kurt") + 3) * s2 * F.col("vx")
+    sx2y = n * F.col("cx2y") - 2 * mx * sxy
+    det = s4 - F.try_divide(s2 * s2, n) - F.try_divide(s3 * s3, s2)
+    d = F.when(det > UNDETERMINED * s4, F.try_divide(sx2y - F.try_divide(s3 * sxy, s2), det))
+    e = F.try_divide(sxy - s3 * d, s2)
+    r2 = F.try_divide(e * sxy + d * sx2y, syy)
+    model = _model(F.lit("quadratic"), r2, F.col("lo"), F.col("hi"), F.col("my") - s2 * d / n - e * mx + d * mx * mx, e - 2 * d * mx, d, n)
+    return F.filter(F.array(model), lambda f: (f.n >= MIN_POINTS) & f.b2.isNotNull())
 
 
 def fit(points: DataFrame, kind: str, *keys: str, **axes: str) -> DataFrame:
