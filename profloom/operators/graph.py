@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 from profloom.functions.scalars import complexity_rank
 
 
-def _keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
 def breadth_first(roots: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, level): least number of steps from a root (whose level is given)."""
-    seen = frontier = _keep(roots.select(key, "level").distinct())
+    seen = frontier = keep(roots.select(key, "level").distinct())
     step = edges.select("caller", "callee").distinct()
     while True:
         reach = frontier.join(step, F.col(key) == F.col("caller")).select(F.col("callee").alias(key), (F.col("level") + 1).alias("level")).distinct()
-        frontier = _keep(reach.join(seen, key, "left_anti"))
+        frontier = keep(reach.join(seen, key, "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _keep(seen.unionByName(frontier))
+        seen = keep(seen.unionByName(frontier))
 
 
 def reachable_from(edges: DataFrame, root: str) -> DataFrame:
@@ -61,13 +61,13 @@ def back_edges(edges: DataFrame, root: str = "main") -> DataFrame:
         return down.select("caller", "callee").union(edges.where("caller = callee").select("caller", "callee").distinct())
     # a candidate is in a cycle when its target reaches its source
     start = down.select(F.struct("callee", "caller").alias("e"), F.col("callee").alias("at")).distinct()
-    seen = frontier = _keep(start)
+    seen = frontier = keep(start)
     while True:
         reach = frontier.join(mine.select(F.col("caller").alias("at"), "callee"), "at").select("e", F.col("callee").alias("at")).distinct()
-        frontier = _keep(reach.join(seen, ["e", "at"], "left_anti"))
+        frontier = keep(reach.join(seen, ["e", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _keep(seen.unionByName(frontier))
+        seen = keep(seen.unionByName(frontier))
     cyclic = seen.where("at = e.caller").select(F.col("e.caller").alias("caller"), F.col("e.callee").alias("callee"))
     return cyclic.union(edges.where("caller = callee").select("caller", "callee")).distinct()
 
@@ -79,18 +79,18 @@ def graph_levels(edges: DataFrame, root: str = "main") -> DataFrame:
     """
     known = reachable_from(edges, root).select("func")
     forward = edges.select("caller", "callee").distinct().join(back_edges(edges, root), ["caller", "callee"], "left_anti")
-    forward = _keep(forward.join(known.withColumnRenamed("func", "caller"), "caller", "left_semi"))
-    done = _keep(edges.sparkSession.createDataFrame([(root, 0)], "func string, level int"))
-    left = _keep(known.where(F.col("func") != root))
+    forward = keep(forward.join(known.withColumnRenamed("func", "caller"), "caller", "left_semi"))
+    done = keep(edges.sparkSession.createDataFrame([(root, 0)], "func string, level int"))
+    left = keep(known.where(F.col("func") != root))
     while True:
         if left.isEmpty():
             return done
         into = forward.join(left.withColumnRenamed("func", "callee"), "callee", "left_semi").join(done.select(F.col("func").alias("caller"), "level"), "caller", "left")
         ready = into.groupBy(F.col("callee").alias("func")).agg((F.max("level") + 1).alias("level"), F.count("level").alias("have"), F.count("*").alias("all"))
-        ready = _keep(ready.where("have = all").select("func", "level"))
+        ready = keep(ready.where("have = all").select("func", "level"))
         if ready.isEmpty():
             return done
-        done, left = _keep(done.unionByName(ready)), _keep(left.join(ready, "func", "left_anti"))
+        done, left = keep(done.unionByName(ready)), keep(left.join(ready, "func", "left_anti"))
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def bottom(edges: DataFrame, root: str = "main") -> DataFrame:
 
 def top(edges: DataFrame, root: str = "main") -> DataFrame:
     """The chain of single calls from the root, and what its last function calls that nothing else among them calls."""
-    forward = _keep(edges.select("caller", "callee").distinct().join(back_edges(edges, root), ["caller", "callee"], "left_anti"))
+    forward = keep(edges.select("caller", "callee").distinct().join(back_edges(edges, root), ["caller", "callee"], "left_anti"))
     n_out = forward.groupBy("caller").agg(F.count("*").alias("k"), F.first("callee").alias("only"))
     spark = edges.sparkSession
     chain = spark.createDataFrame([(root, 0)], "func string, level int")
@@ -129,12 +129,12 @@ def project_top_down(levels: DataFrame, k: int, edges: DataFrame | None = None,
 def project_bottom_up(edges: DataFrame, levels: DataFrame, k: int, root: str = "main") -> DataFrame:
     """Functions that reach a bottom function within k - 1 calls, at most k / 2 levels away from it."""
     low = bottom(edges, root).join(levels, "func").select("func", F.col("level").alias("bottom_level"))
-    seen = frontier = _keep(low)
+    seen = frontier = keep(low)
     for _ in range(k - 1):
         up = frontier.join(edges.select(F.col("callee").alias("func"), "caller"), "func").select(F.col("caller").alias("func"), "bottom_level").distinct()
         up = up.join(levels, "func").where(F.abs(F.col("level") - F.col("bottom_level")) <= k / 2).select("func", "bottom_level")
-        frontier = _keep(up.join(seen, ["func", "bottom_level"], "left_anti"))
-        seen = _keep(seen.unionByName(frontier))
+        frontier = keep(up.join(seen, ["func", "bottom_level"], "left_anti"))
+        seen = keep(seen.unionByName(frontier))
     return seen.select("func").distinct()
 
 
@@ -162,12 +162,12 @@ def remove_filtered(edges: DataFrame, filtered: DataFrame, changed: DataFrame |
     drop = filtered.select("func").distinct()
     if changed is not None:
         drop = drop.join(changed.select("func"), "func", "left_anti")
-    drop = _keep(drop)
+    drop = keep(drop)
     while True:
-        gone = _keep(leaves(edges).join(drop, "func", "left_semi"))
+        gone = keep(leaves(edges).join(drop, "func", "left_semi"))
         if gone.isEmpty():
             return edges
-        edges = _keep(edges.join(gone.withColumnRenamed("func", "callee"), "callee", "left_anti").select("caller", "callee"))
+        edges = keep(edges.join(gone.withColumnRenamed("func", "callee"), "callee", "left_anti").select("caller", "callee"))
 
 
 def filter_complexity(bounds: DataFrame, levels: DataFrame, limit: int, keep_top: int = 1) -> DataFrame:

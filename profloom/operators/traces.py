@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profloom.operators.graph import keep
+
 THRESHOLD = 2.0
 
 
@@ -48,37 +52,75 @@ def first_frames(trace: Column, n: int = 2) -> Column:
     return F.array_join(F.slice(trace, 1, n), ",")
 
 
+def close_traces(traces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(stratum, a, b, distance): pairs of the distinct traces (stratum, t, frames) of a stratum within the threshold, a < b by text.
+
+    An edit of cost c changes at most c times as many words as both traces have in their widest
+    frames. So the words of a trace that its partner lacks are bounded, and the rarest words up
+    to one more than that bound hold a common one: pairs are joined on those, and on their
+    lengths. Only traces that have no more words than the bound can be close without a common
+    word; they are joined with each other by stratum and length.
+    """
+    words = F.transform("frames", lambda f: F.array_distinct(F.split(f, "_")))
+    wide = F.coalesce(F.array_max(F.transform("words", lambda w: F.size(w))), F.lit(0))
+    sized = traces.withColumn("words", words).withColumn("wide", wide)
+    most = sized.groupBy("stratum").agg(F.max("wide").alias("most"))
+    slack = F.floor(threshold * (F.col("wide") + F.col("most")) + 1e-9)
+    sized = sized.join(most, "stratum").select("stratum", "t", "frames", F.flatten("words").alias("words"), slack.alias("slack"))
+    node = ["stratum", "t", "frames", "slack"]
+    counted = sized.select(*node, F.explode("words").alias("word")).groupBy(*node, "word").agg(F.count("*").alias("times"))
+    tokens = counted.select(*node, "word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
+    key = ["stratum", "word", "nth"]
+    common = tokens.groupBy(*key).agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("stratum", "t").orderBy("df", "word", "nth"))
+    rare = tokens.join(common, key).withColumn("rank", rank).where("df > 1 AND rank <= slack + 1").select(*key, "t", "frames")
+    short = sized.where("size(words) <= slack").select("stratum", F.lit(None).cast("string").alias("word"), F.lit(0).alias("nth"), "t", "frames")
+    # a row for each length that a partner may have, so that lengths are an equal key as well
+    band = int(threshold)
+    keyed = rare.unionByName(short).withColumn("word", F.coalesce("word", F.lit(""))).withColumn("length", F.size("frames"))
+    left = keyed.select(*key, F.col("t").alias("a"), F.col("frames").alias("fa"), F.explode(F.sequence(F.col("length") - band, F.col("length") + band)).alias("length"))
+    right = keyed.select(*key, F.col("t").alias("b"), F.col("frames").alias("fb"), "length")
+    pairs = left.join(right, [*key, "length"]).where("a < b").select("stratum", "a", "b", "fa", "fb").dropDuplicates(["stratum", "a", "b"])
+
+    def run(batches):
+        for pdf in batches:
+            pdf["distance"] = [distance(list(x), list(y), threshold) for x, y in zip(pdf["fa"], pdf["fb"], strict=True)]
+            yield pdf.loc[pdf["distance"] <= threshold, ["stratum", "a", "b", "distance"]]
+
+    return pairs.mapInPandas(run, "stratum string, a string, b string, distance double")
+
+
 def cluster_traces(df: DataFrame, trace: str, threshold: float = THRESHOLD, strategy: str = "first-fit", stratum: Column | None = None) -> DataFrame:
     """Rows with ``cluster``: the pivot trace (as text) of the cluster that theirs belongs to.
 
     Distinct traces of a stratum (by default those with the same first two frames), in the order
-    of their text, join the first (or nearest) pivot within the threshold or become one. Strata
-    are further split by nothing: a trace may only join pivots of its own.
+    of their text, join the first (or nearest, of those the last) pivot within the threshold or
+    become one; rows without a trace are left out. Pivots are settled in rounds of joins over the
+    close pairs: a trace without a smaller undecided neighbour is one, and its neighbours are not.
     """
-    text = F.array_join(F.col(trace), ",")
-    rows = df.withColumn("__t", text)
-    distinct = rows.select("__t", F.col(trace).alias("frames"), (first_frames(F.col(trace)) if stratum is None else stratum).alias("stratum")).dropDuplicates(["__t", "stratum"])
-
-    def run(pdf):
-        pdf = pdf.sort_values("__t")
-        pivots: list[tuple[str, list[str]]] = []
-        out = []
-        for t, frames in zip(pdf["__t"], pdf["frames"], strict=True):
-            frames = list(frames)
-            best, near = None, threshold
-            for name, pivot in pivots:
-                if abs(len(pivot) - len(frames)) <= threshold and (d := distance(frames, pivot, near)) <= near:
-                    best, near = name, d
-                    if strategy == "first-fit" or d == 0:
-                        break
-            if best is None:
-                best = t
-                pivots.append((t, frames))
-            out.append(best)
-        return pdf[["__t"]].assign(cluster=out)
-
-    placed = distinct.groupBy("stratum").applyInPandas(run, "__t string, cluster string")
-    return rows.join(placed, "__t").drop("__t")
+    of = first_frames(F.col(trace)) if stratum is None else stratum
+    rows = df.withColumn("__t", F.array_join(F.col(trace), ",")).withColumn("__s", F.to_json(F.struct(of.alias("s"))))
+    distinct = rows.where("__t IS NOT NULL").select(F.col("__s").alias("stratum"), F.col("__t").alias("t"), F.col(trace).alias("frames")).dropDuplicates(["stratum", "t"])
+    links = keep(close_traces(distinct, threshold))
+    side = lambda e, c: e.select("stratum", F.col(c).alias("t")).distinct()
+    open_, left, pivots = keep(side(links, "a").union(side(links, "b")).distinct()), links, []
+    while not open_.isEmpty():
+        found = keep(open_.join(side(left, "b"), ["stratum", "t"], "left_anti"))
+        pivots.append(found)
+        near = left.join(found.withColumnRenamed("t", "a"), ["stratum", "a"], "left_semi")
+        open_ = keep(open_.join(found.union(side(near, "b")), ["stratum", "t"], "left_anti"))
+        for end in ("a", "b"):
+            left = left.join(open_.withColumnRenamed("t", end), ["stratum", end], "left_semi")
+        left = keep(left)
+    placed = distinct.select("stratum", "t")
+    if pivots:
+        joined = links.join(reduce(DataFrame.union, pivots).withColumnRenamed("t", "a"), ["stratum", "a"], "left_semi")
+        pick = F.min("a") if strategy == "first-fit" else F.max_by("a", F.struct(-F.col("distance"), F.col("a")))
+        placed = placed.join(joined.groupBy("stratum", F.col("b").alias("t")).agg(pick.alias("pivot")), ["stratum", "t"], "left")
+    else:
+        placed = placed.withColumn("pivot", F.lit(None).cast("string"))
+    placed = placed.select(F.col("stratum").alias("__s"), F.col("t").alias("__t"), F.coalesce("pivot", "t").alias("cluster"))
+    return rows.join(placed, ["__s", "__t"]).drop("__s", "__t")
 
 
 def fold_stacks(df: DataFrame, *keys: str) -> DataFrame:

@@ -27,6 +27,31 @@ def test_clusters(spark, strategy):
     assert {",".join(r.t): r.cluster for r in found.collect()} == {"m,f,a_b": "m,f,a_b", "m,f,a_c": "m,f,a_b", "m,f,x,y,z,w": "m,f,x,y,z,w", "m,g,a_b": "m,g,a_b"}
 
 
+@pytest.mark.parametrize("strategy", ["first-fit", "nearest"])
+@pytest.mark.parametrize("threshold", [0.4, 1.0, 2.0])
+def test_clusters_equal_one_pass(spark, strategy, threshold):
+    r = random.Random(11)
+    frame = lambda: "_".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 4)))
+    seen = [["m", "f" + str(r.randrange(2))] + [frame() for _ in range(r.randrange(0, 5))] for _ in range(60)]
+    seen += [[x if r.random() < 0.8 else frame() for x in t] for t in seen] + seen[:5] + [["m"], [], ["m", "f0", "b_a"], ["m", "f0", "a_b"]]
+    wanted, pivots = {}, {}
+    for t in sorted({",".join(x) for x in seen}):
+        frames = next(x for x in seen if ",".join(x) == t)
+        near = [(traces.distance(frames, p), p) for p in pivots.setdefault(",".join(frames[:2]), [])]
+        near = [(d, p) for d, p in near if d <= threshold]
+        if not near:
+            pivots[",".join(frames[:2])].append(frames)
+            wanted[t] = t
+        elif strategy == "first-fit":
+            wanted[t] = ",".join(near[0][1])
+        else:
+            wanted[t] = ",".join(max(near, key=lambda x: (-x[0], ",".join(x[1])))[1])
+    found = traces.cluster_traces(spark.createDataFrame([(x,) for x in seen] + [(None,)], "t array<string>"), "t", threshold, strategy).collect()
+    assert len(found) == len(seen)
+    assert {",".join(x.t): x.cluster for x in found} == wanted
+    assert len(set(wanted.values())) < len(wanted)
+
+
 def random_thread(r, tid, broken):
     out, stack, t = [], [], 0
     while len(out) < 60 or stack:
