@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from profloom.functions.scalars import classify_change, growth_rank, integral_param, integral_points, model_value, safe_div
 from profloom.operators.aggregates import NS_PER_MS, mean_amount_by_uid, total_by_location
+from profloom.operators.graph import keep
 from profloom.operators.joins import join_averages, join_baseline_target, join_model_quadruple, join_models
 from profloom.operators.models import fit_all
 from profloom.operators.windows import best_model_per_uid, local_windows, merge_intervals
@@ -73,7 +74,7 @@ def general_detection(baseline: DataFrame, target: DataFrame, *keys: str, kind:
     Kinds: ``polynomial_regression``, ``linear_regression``, ``fast_check``.
     """
     pts = error_points(baseline, target, *keys)
-    pts = pts if kind is None else pts.cache()
+    pts = pts if kind is None else keep(pts)
     same = reduce(lambda a, c: a & (F.abs(F.col(f"target_{c}") - F.col(f"base_{c}")) <= SAME_COEFFICIENTS * F.abs(F.col(f"base_{c}"))), ("b0", "b1"), F.lit(True))
     head = lambda c: F.first(c).alias(c)
     sums = pts.withColumn("same", same).groupBy(*keys, "uid").agg(

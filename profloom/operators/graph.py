@@ -14,6 +14,7 @@ from profloom.functions.scalars import complexity_rank
 
 
 def keep(df: DataFrame) -> DataFrame:
+    """A round's rows, written where a checkpoint folder is set, else cached."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from profloom.operators.graph import keep
 from profloom.operators.windows import best_model_per_uid
 
 
@@ -113,13 +114,11 @@ def ancestors(versions: DataFrame) -> DataFrame:
     Path doubling: each round joins the closure with itself, so a history of n versions takes
     log n rounds; a round that finds nothing new is the last.
     """
-    spark = versions.sparkSession
-    reach = versions.select(F.col("checksum").alias("version"), F.explode("parents").alias("parent")).distinct().cache()
+    reach = keep(versions.select(F.col("checksum").alias("version"), F.explode("parents").alias("parent")).distinct())
     n = reach.count()
     while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.parent") == F.col("b.version")).select("a.version", "b.parent")
-        grown = reach.union(further).distinct()
-        grown = grown.checkpoint() if spark.sparkContext.getCheckpointDir() else grown.cache()
+        grown = keep(reach.union(further).distinct())
         if (now := grown.count()) == n:
             return reach
         reach, n = grown, now
