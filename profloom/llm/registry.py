@@ -13,6 +13,7 @@ from profloom.llm import (
     op08_lattice_lm,
     op09_license_scan,
     op10_url_filter,
+    op12_spelling,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_lattice_lm": op08_lattice_lm.op8_lattice_lm,
     "op9_license_scan": op09_license_scan.op9_license_scan,
     "op10_url_filter": op10_url_filter.op10_url_filter,
+    "op12_spelling": op12_spelling.op12_spelling,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op5_mixture": op05_mixture.ORACLE,
     "op9_license_scan": op09_license_scan.ORACLE,
     "op10_url_filter": op10_url_filter.ORACLE,
+    "op12_spelling": op12_spelling.ORACLE,
 }
