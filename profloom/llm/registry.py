@@ -14,6 +14,7 @@ from profloom.llm import (
     op09_license_scan,
     op10_url_filter,
     op12_spelling,
+    op13_warc,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_license_scan": op09_license_scan.op9_license_scan,
     "op10_url_filter": op10_url_filter.op10_url_filter,
     "op12_spelling": op12_spelling.op12_spelling,
+    "op13_warc": op13_warc.op13_warc,
 }
 
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op9_license_scan": op09_license_scan.ORACLE,
     "op10_url_filter": op10_url_filter.ORACLE,
     "op12_spelling": op12_spelling.ORACLE,
+    "op13_warc": op13_warc.ORACLE,
 }
