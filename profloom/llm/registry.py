@@ -13,6 +13,7 @@ from profloom.llm import (
     op08_lattice_lm,
     op09_license_scan,
     op10_url_filter,
+    op11_collocations,
     op12_spelling,
     op13_warc,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_lattice_lm": op08_lattice_lm.op8_lattice_lm,
     "op9_license_scan": op09_license_scan.op9_license_scan,
     "op10_url_filter": op10_url_filter.op10_url_filter,
+    "op11_collocations": op11_collocations.op11_collocations,
     "op12_spelling": op12_spelling.op12_spelling,
     "op13_warc": op13_warc.op13_warc,
 }
@@ -37,6 +39,7 @@ ORACLES = {
     "op5_mixture": op05_mixture.ORACLE,
     "op9_license_scan": op09_license_scan.ORACLE,
     "op10_url_filter": op10_url_filter.ORACLE,
+    "op11_collocations": op11_collocations.ORACLE,
     "op12_spelling": op12_spelling.ORACLE,
     "op13_warc": op13_warc.ORACLE,
 }
