@@ -213,11 +213,18 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def is_record(file, at: int, size: int) -> bool:
-    """Does the candidate member at ``at`` inflate to a WARC header?"""
+    """Does the candidate member at ``at`` inflate to a WARC header? Fed in small pieces, so that damage further on does not hide one."""
+    z, head = zlib.decompressobj(31), b""
     try:
-        return _Member(file, at, size).until(b"\r\n\r\n", HEAD_BYTES).startswith(b"WARC/")
-    except (ValueError, zlib.error):
+        while b"\r\n\r\n" not in head:
+            raw = file.read_at(min(64, size - at), at)
+            if not raw or z.eof or len(head) > HEAD_BYTES or head and not head.startswith(b"WARC/"[: len(head)]):
+                return False
+            head += z.decompress(raw)
+            at += len(raw)
+    except zlib.error:
         return False
+    return head.startswith(b"WARC/")
 
 
 def find_record(file, at: int, stop: int, size: int) -> int | None:
