@@ -18,7 +18,7 @@ and one spanning edge per linked vector, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different length do not link; rows without an id are left out; a
-repeated row is one vector. Lengths are taken after division by the largest component, so
+repeated row is one vector, different vectors under one id are vectors of their own. Lengths are taken after division by the largest component, so
 that very large and very small ones neither overflow nor vanish. A cosine of exactly the
 threshold links. Extra columns are ignored; empty tables work.
 """
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profloom.llm.common import components, cut, table
@@ -205,19 +205,27 @@ def centres(sample: np.ndarray, most: int, least: float) -> np.ndarray:
     return sample[chosen]
 
 
-def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(id, n_links, component_id) of every vector."""
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id"])
-    sizes = [n for (n,) in rows.where("size(v) > 0").select(F.size("v")).groupBy("size(v)").count().orderBy(F.desc("count")).limit(1).select("size(v)").collect()]
-    alone = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if not sizes:
-        return alone
-    dims = sizes[0]  # the common length; other lengths link with nothing
-    sound = F.col("v").isNotNull() & (F.size("v") == dims) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    classes = rows.where(sound).groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("n"))
-    heads = cut(classes.select(F.col("head").alias("id"), "v", "n"))
-    limit, total = float(np.sqrt(2 - 2 * cosine)), heads.count()
+def _sound(v: Column) -> Column:
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
+
+
+def _links_of_few(cosine: float):
+    """All links among the vectors of one length, where they make no more than a block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+        x = units(np.array(rows.column("v").to_pylist(), np.float64))
+        found, _, label = linked(x, n, x, n, cosine, True)
+        keep = np.flatnonzero(found > 0)
+        return pa.table({"id": ids[keep], "n": found[keep], "to": ids[label[keep]]})
+
+    return run
+
+
+def _links_of_many(heads: DataFrame, dims: int, total: int, cosine: float) -> DataFrame:
+    """(id, n, to): counts of links and spanning edges among ``heads(id, v, n)``, all of one length, by cells and blocks."""
+    spark = heads.sparkSession
+    limit = float(np.sqrt(2 - 2 * cosine))
     share = min(1.0, 0.9 * SAMPLE / max(1, total))
     drawn = heads.where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1_000_000)) < share * 1_000_000).select("v").limit(SAMPLE)
     sample = np.array([r.v for r in drawn.collect()] or [[1.0] * dims], np.float64)
@@ -241,14 +249,32 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         side = blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns])
         pairs = pairs.join(side, [f"cell_{s}", f"part_{s}"])
     spread = pairs.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "cell_a", "part_a", "cell_b", "part_b")
-    found = cut(spread.mapInArrow(_compare(cosine), "id long, n long, to long"))
+    return spread.mapInArrow(_compare(cosine), "id long, n long, to long")
+
+
+def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(id, n_links, component_id) of every vector.
+
+    Lengths that make no more than a block are compared a length a group; each of the others by cells.
+    """
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id", "v"])
+    sound = _sound(F.col("v"))
+    classes = rows.where(sound).groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+    # numbered in the order of their smallest ids, so that a component's smallest number has its smallest id
+    classes = cut(classes.orderBy("head").select(F.monotonically_increasing_id().alias("id"), "head", "v", F.col("copies").alias("n"), F.size("v").alias("dims")))
+    lengths = classes.groupBy("dims").count()
+    few = classes.join(lengths.where(F.col("count") <= BLOCK), "dims").select("dims", "id", "v", "n")
+    found = few.groupBy("dims").applyInArrow(_links_of_few(cosine), "id long, n long, to long")
+    for dims, total in lengths.where(F.col("count") > BLOCK).collect():  # a length each with more than a block of vectors
+        found = found.unionByName(_links_of_many(classes.where(F.col("dims") == dims).select("id", "v", "n"), dims, total, cosine))
+    found = cut(found)
     counts = found.groupBy("id").agg(F.sum("n").alias("n_far"))
     groups = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    of_head = heads.select(F.col("id").alias("head"), "v", F.col("n").alias("copies"))
-    named = rows.where(sound).join(of_head, "v").select("id", "head", "copies")
-    named = named.join(counts.withColumnRenamed("id", "head"), "head", "left").join(groups.withColumnRenamed("id", "head"), "head", "left")
-    named = named.select("id", (F.coalesce("n_far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "head").alias("component_id"))
-    return named.unionByName(alone.join(rows.where(~F.coalesce(sound, F.lit(False))).select("id"), "id", "left_semi"))
+    groups = groups.join(classes.select(F.col("id").alias("component_id"), F.col("head").alias("least")), "component_id").select("id", "least")
+    named = classes.join(counts, "id", "left").join(groups, "id", "left")
+    named = named.select("v", (F.coalesce("n_far", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "head").alias("component_id"))
+    alone = rows.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return rows.where(sound).join(named, "v").select("id", "n_links", "component_id").unionByName(alone)
 
 
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

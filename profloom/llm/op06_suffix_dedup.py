@@ -21,9 +21,10 @@ anchors, and about two anchors in ``length - CORE`` bytes stand for all windows.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all bytes; equal
 documents and overlapping repeats in one document follow the "starts earlier" rule
-(smaller doc_id, then smaller start), so of a repeated row's bytes each copy after the first
-goes; very long texts are read whole; rows without an id count as one document before all
-others. Extra columns are ignored; empty tables work.
+(smaller doc_id, then smaller start); rows without an id come before all others. Different texts
+under one id, or without one, are documents of their own, in the order of their texts' SHA-256;
+rows of equal id and text are one document and keep the same bytes. Very long texts are read
+whole. Extra columns are ignored; empty tables work.
 """
 
 from __future__ import annotations
@@ -373,11 +374,21 @@ def _at(rows: DataFrame, anchors_: DataFrame) -> DataFrame:
     return rows.join(anchors_.groupBy("doc").agg(F.collect_list(F.struct("pos", "core")).alias("at")), "doc").select("doc", "body", "at")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows(doc, id, body)`` with a number for ``doc`` that tells texts of one id apart and keeps their order; only where an id has several texts."""
+    several = rows.groupBy("doc").agg(F.min(F.xxhash64("body")).alias("lo"), F.max(F.xxhash64("body")).alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        return rows
+    marked = rows.withColumn("mark", F.sha2("body", 256))
+    order = cut(marked.select("doc", "mark").distinct().orderBy("doc", "mark").withColumn("number", F.monotonically_increasing_id()))
+    return cut(marked.join(order, ["doc", "mark"]).select(F.col("number").alias("doc"), "id", "body"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept, kept_sha256) per document."""
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body")
-    )
+    own = F.col(id_col).cast("long")
+    rows = _numbered(docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), own.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body")))
+    named, rows = rows, rows.select("doc", "body")
     found = rows.mapInArrow(_anchor_rows(length, core), "core long, pos int, doc long")  # what changes from row to row side by side: it packs better
     repeated = cut(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     digests = _at(rows, found.join(repeated, "core")).mapInArrow(_digests(length, core), "h1 long, h2 long, core long, doc long, pos int, lo int, hi int, shut boolean")
@@ -397,10 +408,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         later = windows.join(earliest, ["k1", "k2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
         spans = spans.union(later.select("doc", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
     cuts = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    done = rows.join(cuts, "doc", "left").select("doc", "body", "spans").mapInArrow(
+    return named.join(cuts, "doc", "left").select("id", "body", "spans").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string"
     )
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

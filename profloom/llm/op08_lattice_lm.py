@@ -15,8 +15,8 @@ and the frequent words (bounded) come to the driver. Any byte string has a latti
 vocabulary's byte pieces cover what no other piece does.
 
 Defined cases: null text is empty (one end token); a null id is not held out; repeated
-rows train as often as they stand and are returned once (rows without an id together, as
-their mean); a very long word is summed by itself, in memory of two numbers a byte; an empty
+rows train as often as they stand, and every row is returned, also of ids that repeat or are
+null; a very long word is summed by itself, in memory of two numbers a byte; an empty
 table gives an empty result; without training rows the first weights hold. Extra columns are
 ignored.
 """
@@ -238,6 +238,7 @@ def lattice_lm(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("body"), F.coalesce(train, F.lit(True)).alias("train"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # ids may repeat or be null
     kind = rows.schema["doc"].dataType.simpleString()
     words = cut(rows.mapInArrow(_count, "word binary, c long, total long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
     n_docs = rows.where("train").count()
@@ -293,12 +294,12 @@ def lattice_lm(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             look = known.value
             out: list[list] = [[] for _ in range(7)]
-            ids, trains, bodies = batch.column(0), batch.column(2).to_pylist(), batch.column(1)
+            ids, trains, bodies, numbers = batch.column(0), batch.column(2).to_pylist(), batch.column(1), batch.column(3)
             of: list[int] = []
 
-            def done(out: list[list] = out, of: list[int] = of, ids: pa.Array = ids) -> pa.RecordBatch:
+            def done(out: list[list] = out, of: list[int] = of, ids: pa.Array = ids, numbers: pa.Array = numbers) -> pa.RecordBatch:
                 kinds = (pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                got = pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc", "train", "word", "tf", "n", "known", "base", "score"])
+                got = pa.RecordBatch.from_arrays([numbers.take(pa.array(of, pa.int64())), ids.take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["row", "doc", "train", "word", "tf", "n", "known", "base", "score"])
                 for col in (*out, of):
                     col.clear()
                 return got
@@ -316,32 +317,30 @@ def lattice_lm(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
                             col.append(v)
                 # the text's own row goes through the join as well, under a key that no word has
                 of.append(i)
-                for col, v in zip(out, (train, f" {ids[i]}".encode(), 0, n, int(k), base, total), strict=True):
+                for col, v in zip(out, (train, f" {numbers[i]}".encode(), 0, n, int(k), base, total), strict=True):
                     col.append(v)
                 if len(of) > 100_000:
                     yield done()
             yield done()
 
-    parts = rows.mapInArrow(texts, f"doc {kind}, train boolean, word binary, tf long, n long, known long, base double, score double")
+    parts = numbered.mapInArrow(texts, f"row long, doc {kind}, train boolean, word binary, tf long, n long, known long, base double, score double")
     rare = scored.select("word", F.col("c").alias("wc"), F.col("base").alias("wb"), F.col("score").alias("ws"))
     joined = parts.join(rare, "word", "left")
     more = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.col("tf")
-    summed = joined.groupBy("doc", "train").agg(
-        F.count_if(F.col("n") > 0).alias("rows"),
+    summed = joined.groupBy("row", "doc", "train").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("known") + F.when(F.col("wc") > 0, F.col("tf")).otherwise(0)).alias("known"),
         F.sum(F.col("base") + more("wb")).alias("base"),
         F.sum(F.col("score") + more("ws")).alias("score"),
     )
-    n_tokens = F.expr("n div rows")
     return summed.select(
         F.col("doc").alias(id_col),
         (~F.col("train")).alias("held_out"),
-        n_tokens.alias("n_tokens"),
-        F.expr("known div rows").alias("n_known"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows") - n_tokens * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"),
-        (F.col("score") / F.col("rows")).alias("score"),
+        (F.col("base") - F.col("n") * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"),
+        "score",
     )
 
 
