@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from profloom.operators import scan
 from profloom.operators.graph import keep
 from profloom.operators.windows import best_model_per_uid
 
@@ -129,18 +130,16 @@ def ancestor_baselines(targets: DataFrame, versions: DataFrame, profiles: DataFr
     return _compatible(targets.join(ancestors(versions), "version"), profiles)
 
 
-def nearest_version(wanted: DataFrame, versions: DataFrame, *keys: str) -> DataFrame:
+def nearest_version(wanted: DataFrame, versions: DataFrame, *keys: str, crowd: int | None = None) -> DataFrame:
     """For each (keys, date) wanted, the newest version not younger than it; equal dates by ordinal.
 
     Both sides are merged in date order and the last version seen is carried forward, so it
-    costs one sort and not a range join.
+    costs one sort and not a range join. Groups of more than ``crowd`` rows are spread over tasks.
     """
     order = "ordinal" if "ordinal" in versions.columns else "checksum"
     v = versions.select(*keys, "date", F.struct(F.col(order).alias("o"), F.col("checksum").alias("c"), F.col("date").alias("d")).alias("v"), F.lit(0).alias("side"))
     w = wanted.select(*keys, "date", F.lit(None).cast(v.schema["v"].dataType).alias("v"), F.lit(1).alias("side"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    line = part.orderBy("date", "side", F.col("v.o")).rowsBetween(Window.unboundedPreceding, 0)
-    found = v.union(w).withColumn("last", F.last("v", ignorenulls=True).over(line)).where("side = 1")
+    found = scan.last_known(v.union(w), *keys, order=["date", "side", F.col("v.o")], value="v", name="last", crowd=crowd).where("side = 1")
     return found.select(*keys, "date", F.col("last.c").alias("checksum"), F.col("last.d").alias("version_date"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profloom.functions.scalars import integral_points, model_rank
+from profloom.operators import scan
+from profloom.operators.graph import keep
 
 #: Longest truncated window of an exponential mean that is built from array functions.
 LONGEST_EMA = 512
@@ -43,54 +45,46 @@ def weights(kind: str, n: int) -> list[float]:
     return [sum((-1) ** k * a * cos(i, k) for k, a in enumerate(sums[kind])) for i in range(n)]
 
 
-def _ordered(keys: tuple[str, ...], x: str, y: str):
-    return Window.partitionBy(*keys).orderBy(x, y)
-
-
 def moving_average(
     df: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", method: str = "sma", window: int = 5, center: bool = True,
-    min_periods: int | None = None, window_type: str | None = None, alpha: float | None = None, eps: float = 1e-12,
+    min_periods: int | None = None, window_type: str | None = None, alpha: float | None = None, eps: float = 1e-12, crowd: int | None = None,
 ) -> DataFrame:
     """``average`` beside each point of a group sorted by (x, y), by rows.
 
     ``sma`` (plain, or weighted by ``window_type``), ``smm`` (median) and ``ema`` (adjusted
-    exponential weights of ``alpha``). Null where fewer than ``min_periods`` points are in the frame.
+    exponential weights of ``alpha``; points without y are left out). Null where fewer than
+    ``min_periods`` points are in the frame. Groups of more than ``crowd`` rows are spread over tasks.
     """
     least = window if min_periods is None else min_periods
     ahead = (window - 1) // 2 if center and method != "ema" else 0
-    frame = _ordered(keys, x, y).rowsBetween(-(window - 1 - ahead), ahead)
+    over = {"order": [x, y], "name": "average", "crowd": crowd}
+    frame = over | {"before": window - 1 - ahead, "after": ahead}
+    enough = lambda value: lambda w: F.when(F.count(y).over(w) >= least, value(w))
     if method == "sma" and window_type is None:
-        value: Column = F.avg(y).over(frame)
-    elif method == "sma":
-        w = weights(window_type, window)
-        total = F.aggregate(F.zip_with(F.collect_list(y).over(frame), F.array(*map(F.lit, w)), lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v)
-        value, least = total / sum(w), window
-    elif method == "smm":
-        value = F.percentile(y, F.lit(0.5)).over(frame)
-    elif method == "ema":
-        keep = max(1, math.ceil(math.log(eps) / math.log(1 - alpha))) if alpha < 1 else 1
-        if keep > LONGEST_EMA:
-            return _long_ema(df, keys, x, y, alpha, least)
-        frame = _ordered(keys, x, y).rowsBetween(-(keep - 1), 0)
-        terms = F.collect_list(y).over(frame)
-        sums = F.aggregate(
-            terms, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, v: F.struct((a["s"] * (1 - alpha) + v).alias("s"), (a["w"] * (1 - alpha) + 1).alias("w")), lambda a: a["s"] / a["w"]
-        )
-        seen = F.count(y).over(_ordered(keys, x, y).rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn("average", F.when(seen >= least, sums))
-    else:
+        return scan.framed(df, *keys, **frame, value=enough(lambda w: F.avg(y).over(w)))
+    if method == "sma":
+        wt = weights(window_type, window)
+        products = lambda w: F.zip_with(F.collect_list(y).over(w), F.array(*map(F.lit, wt)), lambda v, k: v * k)
+        least = window
+        return scan.framed(df, *keys, **frame, value=enough(lambda w: F.aggregate(products(w), F.lit(0.0), lambda t, v: t + v) / sum(wt)))
+    if method == "smm":
+        return scan.framed(df, *keys, **frame, value=enough(lambda w: F.percentile(y, F.lit(0.5)).over(w)))
+    if method != "ema":
         raise ValueError(f"unknown moving average: {method}")
-    return df.withColumn("average", F.when(F.count(y).over(frame) >= least, value))
-
-
-def _long_ema(df: DataFrame, keys: tuple[str, ...], x: str, y: str, alpha: float, least: int) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", average double"
-
-    def run(pdf):
-        pdf = pdf.sort_values([x, y], kind="stable")
-        return pdf.assign(average=pdf[y].ewm(alpha=alpha, min_periods=least).mean())
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    seen = F.col("row") + 1 >= least
+    keep = max(1, math.ceil(math.log(eps) / math.log(1 - alpha))) if alpha < 1 else 1
+    calm, hot = scan.split_crowded(df, *keys, crowd=crowd) if keep <= LONGEST_EMA else (None, df)
+    out = None
+    if calm is not None:
+        fold = lambda a, v: F.struct((a["s"] * (1 - alpha) + v).alias("s"), (a["w"] * (1 - alpha) + 1).alias("w"))
+        line = Window.partitionBy(*keys).orderBy(x, y)
+        terms = F.collect_list(y).over(line.rowsBetween(-(keep - 1), 0))
+        mean = F.aggregate(terms, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), fold, lambda a: a["s"] / a["w"])
+        out = calm.where(F.col(y).isNotNull()).withColumn("average", F.when(F.row_number().over(line) >= least, mean))
+    if hot is None:
+        return out
+    spread = scan.decayed(hot, *keys, value=y, alpha=alpha, **over).withColumn("average", F.when(seen, F.col("average"))).drop("row", "rows")
+    return spread if out is None else out.unionByName(spread)
 
 
 def ema_alpha(com: float | None = None, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:
@@ -106,25 +100,135 @@ def ema_alpha(com: float | None = None, span: float | None = None, halflife: flo
     raise ValueError("decay is missing or out of range")
 
 
-def auto_window(df: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", start: float = 0.05, least: float = 0.88) -> DataFrame:
-    """(keys, width, r_square): from 5 % of the x range down to the width whose centred mean fits well enough."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
+#: Share of the x range that the first width takes, how fast it shrinks, and the fit at which it stops.
+FIRST_WIDTH, SHRINK, FITS = 0.05, 0.15, 0.88
+
 
-    def run(key, pdf):
-        import pandas as pd
+def next_width(width: int, r_square: float) -> int:
+    """The next width to try: less by what the fit lacks, by one at least and nine tenths at most."""
+    return max(1, width - max(1, int(min(0.9 * width - 1, SHRINK * (width - 1) * (FITS - r_square)))))
 
-        pdf = pdf.sort_values([x, y], kind="stable")
-        values = pdf[y]
-        total = float(((values - values.mean()) ** 2).sum())
-        width = max(1, int(start * (pdf[x].max() - pdf[x].min())))
-        while True:
-            fit = values.rolling(width, center=True, min_periods=1).mean()
-            r2 = 1 - float(((values - fit) ** 2).sum()) / total if total else 1.0
-            if r2 >= least or width == 1:
-                return pd.DataFrame([(*key, width, r2)], columns=[*keys, "width", "r_square"])
-            width = max(1, int(width * 0.9))
 
-    return df.select(*keys, x, y).groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "width int, r_square double"]))
+def auto_window(df: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", stretch: int = 100_000, crowd: int | None = None) -> DataFrame:
+    """(keys, width, r_square): the width, from 5 % of the x range down, whose centred mean first fits well enough, and its fit.
+
+    A group of up to ``stretch`` points is one array and settled at once. A larger one is rows of
+    ``stretch`` points and their running sums; a round tries one width for all groups still open:
+    each row meets the rows that hold the sums at both ends of its windows, and adds its squared
+    errors. Nothing larger than a few rows comes together, however wide the window.
+    """
+    pts = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pts.select(*keys).schema)
+    named = [F.col(k).alias(f"_i_{k}") for k in keys]
+    info = keep(pts.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(FIRST_WIDTH * (F.max("x") - F.min("x"))).cast("int")).alias("width"), F.avg("y").alias("mean"), F.var_pop("y").alias("spread")))
+    info = info.select(*named, "width", "mean", "spread")
+    rows = keep(scan.stretches(pts, *keys, order=["x", "y"], value="y", length=stretch, crowd=crowd))
+    small = rows.where(F.col("rows") <= stretch)
+    small = small.join(info, scan.same_keys(small, info, keys, "_i_")).select(*keys, "width", "mean", "ys")
+    found = small.mapInArrow(_narrow(len(keys)), f"{types}, width int, r_square double")
+    large = rows.where(F.col("rows") > stretch)
+    if large.isEmpty():
+        return found
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.join(info, scan.same_keys(large, info, keys, "_i_"))
+    large = large.withColumn("ys", F.transform("ys", lambda v: v - F.col("mean")))
+    large = keep(large.withColumn("ahead", F.coalesce(F.sum(F.aggregate("ys", F.lit(0.0), lambda a, v: a + v)).over(before), F.lit(0.0))).select(*keys, "rows", "stretch", "ys", "ahead", "width", "spread"))
+    open_ = keep(large.groupBy(*keys, "rows", "spread").agg(F.first("width").alias("width")))
+    while not open_.isEmpty():
+        tried = keep(_squared_errors(large.drop("width", "spread"), open_, keys, stretch))
+        r2 = F.when(F.col("spread") > 0, 1 - F.col("sse") / (F.col("rows") * F.col("spread"))).otherwise(1.0)
+        tried = tried.withColumn("r_square", r2)
+        # as in next_width; integer division of positive numbers drops the fraction
+        change = F.greatest(F.lit(1), F.least(0.9 * F.col("width") - 1, SHRINK * (F.col("width") - 1) * (FITS - F.col("r_square"))).cast("int"))
+        tried = tried.withColumn("next", F.greatest(F.lit(1), F.col("width") - change))
+        done = (F.col("r_square") >= FITS) | (F.col("next") == F.col("width"))
+        found = found.unionByName(tried.where(done).select(*keys, "width", "r_square"))
+        open_ = keep(tried.where(~done).select(*keys, "rows", "spread", F.col("next").alias("width")))
+    return found
+
+
+def _fit_of_width(sums, ys, width: int):
+    """Squared errors of the centred mean; ``sums``: those of the first 0, 1, ... values."""
+    import numpy as np
+
+    n = len(ys)
+    ahead = (width - 1) // 2
+    i = np.arange(n)
+    hi, lo = np.minimum(i + ahead + 1, n), np.maximum(i - (width - 1 - ahead), 0)
+    return float(((ys - (sums[hi] - sums[lo]) / (hi - lo)) ** 2).sum())
+
+
+def _narrow(n_keys: int):
+    """Settle groups that are one array: rows (keys, width, mean, ys)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            widths, fits = [], []
+            for width, mean, ys in zip(*(batch.column(n_keys + i) for i in range(3)), strict=True):
+                ys, width = np.asarray(ys.values) - mean.as_py(), width.as_py()
+                sums, total = np.concatenate(([0.0], np.cumsum(ys))), float((ys * ys).sum())
+                while True:
+                    r2 = 1 - _fit_of_width(sums, ys, width) / total if total else 1.0
+                    if r2 >= FITS or (to := next_width(width, r2)) == width:
+                        break
+                    width = to
+                widths.append(width)
+                fits.append(r2)
+            names = [*batch.schema.names[:n_keys], "width", "r_square"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], pa.array(widths, pa.int32()), pa.array(fits, pa.float64())], names)
+
+    return run
+
+
+def _squared_errors(rows: DataFrame, open_: DataFrame, keys: tuple[str, ...], stretch: int) -> DataFrame:
+    """``open_`` with ``sse``, the squared errors of its ``width``, over ``rows(keys, rows, stretch, ys, ahead)``."""
+    widths = open_.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "width", "spread")
+    here = rows.join(widths, scan.same_keys(rows, widths, keys, "_w_")).drop(*[f"_w_{k}" for k in keys])
+    ahead, last = F.expr("(width - 1) div 2"), F.floor((F.col("rows") - 1) / stretch)
+    begin = F.col("stretch") * stretch
+    up, down = F.floor((begin + ahead + 1) / stretch), F.floor((begin - (F.col("width") - 1 - ahead)) / stretch)
+    inside = lambda c: F.least(last, F.greatest(F.lit(0), c))
+    wanted = F.array_distinct(F.array(*[inside(c) for c in (up, up + 1, down, down + 1)]))
+    needs = here.select(*keys, "rows", "width", "spread", F.col("stretch").alias("target"), F.explode(wanted).alias("source"))
+    held = rows.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("stretch").alias("_s_source"), "ys", "ahead")
+    met = needs.join(held, scan.same_keys(needs, held, (*keys, "source"), "_s_")).groupBy(*keys, "rows", "width", "spread", "target").agg(F.collect_list(F.struct("source", "ys", "ahead")).alias("parts"))
+    own = rows.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("stretch").alias("_o_target"), F.col("ys").alias("own"))
+    met = met.join(own, scan.same_keys(met, own, (*keys, "target"), "_o_")).select(*keys, "rows", "width", "spread", "target", "parts", "own")
+    at = len(keys)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            errors = []
+            for n, width, target, parts, ys in zip(*(batch.column(at + i) for i in (0, 1, 3, 4, 5)), strict=True):
+                n, width, target, ys = n.as_py(), width.as_py(), target.as_py(), np.asarray(ys.values)
+                sums = {}
+                for p in parts:
+                    values = np.asarray(p["ys"].values)
+                    sums[p["source"].as_py()] = p["ahead"].as_py() + np.concatenate(([0.0], np.cumsum(values)))
+
+                def of(j, sums=sums):
+                    """The sum of the first ``j`` values."""
+                    block = np.minimum(j // stretch, max(sums))
+                    out = np.empty(len(j))
+                    for k in np.unique(block):
+                        mine = block == k
+                        out[mine] = sums[int(k)][j[mine] - int(k) * stretch]
+                    return out
+
+                half = (width - 1) // 2
+                i = target * stretch + np.arange(len(ys))
+                hi, lo = np.minimum(i + half + 1, n), np.maximum(i - (width - 1 - half), 0)
+                errors.append(float(((ys - (of(hi) - of(lo)) / (hi - lo)) ** 2).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 3], pa.array(errors, pa.float64())], [*batch.schema.names[: at + 3], "sse"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(*keys, "rows", "width", "spread").schema)
+    return met.mapInArrow(run, f"{types}, sse double").groupBy(*keys, "rows", "width", "spread").agg(F.sum("sse").alias("sse"))
 
 
 def trace_sequence(records: DataFrame, step: Column | int = 1) -> DataFrame:
@@ -175,4 +279,4 @@ def percent_of_total(df: DataFrame, *keys: str, value: str = "amount") -> DataFr
 
 def sort_and_split(df: DataFrame, n: int, *keys: str, x: str = "structure_unit_size", y: str = "amount") -> DataFrame:
     """Points of a group sorted by x and dealt into n nearly equal parts, numbered from 1."""
-    return df.withColumn("part", F.ntile(n).over(Window.partitionBy(*keys).orderBy(x, y)))
+    return scan.dealt(df, n, *keys, order=[x, y])

@@ -304,6 +304,11 @@ def sma_triangular(spark, sf_dir):
     return rounded(windows.moving_average(E(spark, sf_dir), "uid", x="order", window=5, window_type="triang").select("order", "average"))
 
 
+@query(sql.AUTO_WINDOW)
+def auto_window(spark, sf_dir):
+    return rounded(windows.auto_window(E(spark, sf_dir), "uid", x="order"))
+
+
 @query(sql.SORT_AND_SPLIT)
 def sort_and_split(spark, sf_dir):
     parts = windows.sort_and_split(E(spark, sf_dir), 7, "uid", x="order")
@@ -361,17 +366,17 @@ def fit_interval(spark, sf_dir):
     return rounded(found.select("uid", "part", "n", "x_start", "x_end"))
 
 
-@query()
+@query(sql.FIT_ITERATIVE)
 def fit_iterative(spark, sf_dir):
     return rounded(models.fit_iterative(S(spark, sf_dir), 4, "uid").select("uid", "model", "r_square", "b0", "b1"))
 
 
-@query()
+@query(sql.FIT_INITIAL_GUESS)
 def fit_initial_guess(spark, sf_dir):
     return rounded(models.fit_initial_guess(S(spark, sf_dir), 4, "uid").select("uid", "model", "r_square", "b0", "b1"))
 
 
-@query()
+@query(sql.FIT_BISECTION)
 def fit_bisection(spark, sf_dir):
     return rounded(models.fit_bisection(S(spark, sf_dir), "uid").select("uid", "segment", "model", "x_start", "x_end"))
 

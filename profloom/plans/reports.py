@@ -141,11 +141,8 @@ def align_nonparam(spark, sf_dir):
   SELECT uid, regr_r2(y, sqrt(x)) AS r_square, regr_intercept(y, sqrt(x)) AS b0, regr_slope(y, sqrt(x)) * 2 AS b1 FROM {_XY} GROUP BY uid)""")
 def registered_model(spark, sf_dir):
     """A kind of the user's own: a line over the root of the size, whose slope is told for a fourfold size."""
-    models.register_model("root", F.sqrt, lambda y: y, f_b=lambda b: b * 2)
-    try:
-        found = models.fit(S(spark, sf_dir), "root", "uid")
-    finally:
-        del models.REGISTERED["root"]
+    root = models.Kind("root", F.sqrt, lambda y: y, f_b=lambda b: b * 2)
+    found = models.fit(S(spark, sf_dir), root, "uid")
     return rounded(found.select("uid", "r_square", "b0", "b1"))
 
 

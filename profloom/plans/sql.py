@@ -147,7 +147,7 @@ def models(source: str, keys: str) -> str:
     return f"""(WITH fam AS ({_family(source, keys)}),
   c AS (SELECT {', '.join(f'p.{k}' for k in keys.split(', '))}, x, y, x - mx AS c, y - my AS v, mx, my FROM {source} p JOIN (SELECT {keys}, avg(x) AS mx, avg(y) AS my FROM {source} GROUP BY {keys}) m ON {on}),
   s AS (SELECT {keys}, count(*) AS n, max(mx) AS mx, max(my) AS my, min(x) AS lo, max(x) AS hi, sum(c*c) AS s2, sum(c*c*c) AS s3, sum(c*c*c*c) AS s4, sum(c*v) AS sxy, sum(c*c*v) AS sx2y, sum(v*v) AS syy FROM c GROUP BY {keys}),
-  d AS (SELECT *, (sx2y - s3 * sxy / nullif(s2, 0)) / nullif(s4 - s2 * s2 / n - s3 * s3 / nullif(s2, 0), 0) AS d FROM s), e AS (SELECT *, (sxy - s3 * d) / nullif(s2, 0) AS e FROM d)
+  t AS (SELECT *, s4 - s2 * s2 / n - s3 * s3 / nullif(s2, 0) AS det FROM s), d AS (SELECT *, CASE WHEN det > 1e-10 * s4 THEN (sx2y - s3 * sxy / nullif(s2, 0)) / det END AS d FROM t), e AS (SELECT *, (sxy - s3 * d) / nullif(s2, 0) AS e FROM d)
   SELECT {keys}, model, r_square, x_start, x_end, b0, b1, b2, n FROM fam UNION ALL
   SELECT {keys}, 'constant', greatest(0.0, least(1.0, CASE WHEN turn > 0.01 THEN r_square * (1 - turn) ELSE 1 - r_square END)), x_start, x_end, mean, 0.0, NULL, n
     FROM (SELECT *, atan2(abs(slope * x_end), abs(x_end - x_start)) / 90 AS turn FROM fam WHERE model = 'linear') UNION ALL
@@ -174,6 +174,41 @@ def _best(source: str, keys: str) -> str:
 BEST_MODEL = f"SELECT profile_id, uid, model, round(r_square, 4) AS r_square FROM {_best(_FITS, 'profile_id, uid')}"
 _EVENT_XY = f"(SELECT uid || '-' || version AS uid, structure_unit_size AS x, amount AS y FROM {EVENTS})"
 BEST_MODEL_COUNTS = f"SELECT CASE WHEN r_square > 0.5 THEN model ELSE 'undefined' END AS model, count(*) AS n FROM {_best(models(_EVENT_XY, 'uid'), 'uid')} GROUP BY 1"
+_SHUFFLED = f"""(SELECT uid, x, y, part, unnest(range(part, 5)) AS step FROM (SELECT uid, structure_unit_size AS x, amount AS y,
+  ntile(4) OVER (PARTITION BY uid ORDER BY (("order" % 2147483647) * 16807) % 2147483647, "order") AS part FROM {SALES}))"""
+_PREFIXES = models(_SHUFFLED, "uid, step")
+_CHOSEN = "SELECT uid, model, round(r_square, 4) AS r_square, round(b0, 4) AS b0, round(b1, 4) AS b1 FROM f JOIN won USING (uid, model) WHERE step = 4"
+FIT_INITIAL_GUESS = f"WITH f AS (SELECT * FROM {_PREFIXES}), won AS (SELECT uid, model FROM {_best('(SELECT * FROM f)', 'uid, step')} WHERE step = 1) {_CHOSEN}"
+FIT_ITERATIVE = f"""WITH f AS (SELECT * FROM {_PREFIXES}), raced AS (SELECT uid, model, CASE WHEN count(*) = 4 THEN min(r_square) ELSE '-Infinity'::DOUBLE END AS worst FROM f GROUP BY ALL),
+  won AS (SELECT uid, first(model ORDER BY worst DESC, model) AS model FROM raced GROUP BY uid) {_CHOSEN}"""
+
+
+def bisection(levels: int) -> str:
+    """Segments halved level by level; ``levels`` as many as the largest group can need."""
+    out = [f"o0 AS MATERIALIZED (SELECT uid, '0' AS segment, structure_unit_size AS x, amount AS y FROM {SALES})", f"b0 AS MATERIALIZED (SELECT * FROM {_best(models('o0', 'uid, segment'), 'uid, segment')})"]
+    for d in range(levels):
+        out += [
+            f"h{d} AS MATERIALIZED (SELECT uid, segment, segment || '.' || ntile(2) OVER (PARTITION BY uid, segment ORDER BY x, y) AS half, x, y FROM o{d})",
+            f"f{d} AS MATERIALIZED (SELECT regexp_replace(half, '.[12]$', '') AS segment, * FROM {_best(models(f'h{d}', 'uid, half'), 'uid, half')})",
+            f"""s{d} AS MATERIALIZED (SELECT uid, segment FROM b{d} JOIN (SELECT uid, segment, list(DISTINCT model) AS kinds FROM f{d} GROUP BY ALL HAVING count(*) = 2) USING (uid, segment)
+              WHERE NOT (len(kinds) = 1 AND list_contains(kinds, model)))""",
+            f"b{d + 1} AS MATERIALIZED (SELECT uid, half AS segment, model, x_start, x_end FROM f{d} SEMI JOIN s{d} USING (uid, segment))",
+            f"o{d + 1} AS MATERIALIZED (SELECT uid, half AS segment, x, y FROM h{d} SEMI JOIN s{d} USING (uid, segment))",
+        ]
+    leaves = " UNION ALL ".join(f"SELECT uid, segment, model, x_start, x_end FROM b{d} ANTI JOIN s{d} USING (uid, segment)" for d in range(levels))
+    return f"WITH {', '.join(out)} SELECT uid, segment, model, round(x_start, 4) AS x_start, round(x_end, 4) AS x_end FROM ({leaves})"
+
+
+FIT_BISECTION = bisection(18)
+AUTO_WINDOW = f"""WITH RECURSIVE pts AS MATERIALIZED (SELECT uid, amount AS y, "order" AS x, row_number() OVER (PARTITION BY uid ORDER BY "order", amount) AS i FROM {EVENTS}),
+  g AS MATERIALIZED (SELECT uid, count(*) AS n, avg(y) AS m, var_pop(y) AS v, greatest(1, floor(0.05 * (max(x) - min(x))))::INT AS w0 FROM pts GROUP BY uid),
+  p AS MATERIALIZED (SELECT uid, i, sum(y - m) OVER (PARTITION BY uid ORDER BY i) AS s, y - m AS y, n, v, w0 FROM pts JOIN g USING (uid)),
+  tries AS (SELECT *, unnest(range(1, w0 + 1)) AS w FROM p),
+  ends AS (SELECT uid, w, n, v, y, least(i + (w - 1) // 2, n) AS hi, greatest(i - (w - 1 - (w - 1) // 2) - 1, 0) AS lo FROM tries),
+  fits AS MATERIALIZED (SELECT e.uid, e.w, CASE WHEN any_value(e.v) > 0 THEN 1 - sum((e.y - (h.s - coalesce(l.s, 0)) / (e.hi - e.lo)) ** 2) / (any_value(e.n) * any_value(e.v)) ELSE 1 END AS r
+    FROM ends e JOIN p h ON h.uid = e.uid AND h.i = e.hi LEFT JOIN p l ON l.uid = e.uid AND l.i = e.lo GROUP BY e.uid, e.w),
+  walk AS (SELECT uid, w0 AS w FROM g UNION ALL SELECT uid, greatest(1, w - greatest(1, trunc(least(0.9 * w - 1, 0.15 * (w - 1) * (0.88 - r)))))::INT AS w FROM walk JOIN fits USING (uid, w) WHERE r < 0.88 AND w > 1)
+  SELECT uid, w AS width, round(r, 4) AS r_square FROM (SELECT uid, min(w)::INT AS w FROM walk GROUP BY uid) JOIN fits USING (uid, w)"""
 FIT_INTERVAL = f"""SELECT uid, part::INT AS part, count(*) AS n, min(x) AS x_start, max(x) AS x_end FROM (SELECT uid, "order"::DOUBLE + 1 AS x,
   ntile(4) OVER (PARTITION BY uid ORDER BY "order", structure_unit_size) AS part FROM {SALES}) GROUP BY ALL"""
 _UID_FITS = models(_XY, "uid")
