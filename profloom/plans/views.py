@@ -13,7 +13,10 @@ SPLIT_DAY = "1998-07-01"
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources of the event log: a profile and version per day, a function per event type."""
-    e = table(spark, sf_dir, "events")
+    return resources_of(table(spark, sf_dir, "events"))
+
+
+def resources_of(e: DataFrame) -> DataFrame:
     day = F.date_format("ts", "yyyy-MM-dd")
     return e.select(
         day.alias("profile_id"), day.alias("version"), F.hour("ts").alias("snapshot"), F.col("event_type").alias("uid"), F.col("user_id").alias("tid"),

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from profloom.operators.calls import CORRUPT
 from profloom.sources.readers import parse_trace_records
 
 _CALL = "tid long, uid string, depth int, begin long, end long, amount long, exclusive long, sequence long"
+_PROVIDER, _ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state processors need; the session's own choice comes back."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def stream_trace_records(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -20,10 +33,13 @@ def stream_trace_records(spark: SparkSession, path: str, files_per_trigger: int
     return parse_trace_records(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
-def _fold(state: dict, rows: list[tuple[int, int, str]]) -> Iterator[tuple]:
-    """Calls closed by (timestamp, step, probe) rows; ``state`` is the thread's open stack and per-probe sequence."""
-    stack, seq = state["stack"], state["seq"]
+def _fold(stack: list[list], seq: dict[str, int], rows: list[tuple[int, int, str]]) -> Iterator[tuple]:
+    """Calls closed by (timestamp, step, probe) rows; ``stack`` and ``seq``, the thread's open calls and per-probe numbers, are moved on."""
     for timestamp, step, probe in rows:
+        if step == 0:  # the thread ends: what is open never closes, and a later thread of this id begins anew
+            stack.clear()
+            seq.clear()
+            continue
         if step > 0:
             stack.append([probe, timestamp, 0, seq.get(probe, 0)])
             seq[probe] = seq.get(probe, 0) + 1
@@ -40,40 +56,102 @@ def _fold(state: dict, rows: list[tuple[int, int, str]]) -> Iterator[tuple]:
         yield probe, depth, begin, timestamp, amount, amount - inner, number
 
 
-def stream_pair_calls(records: DataFrame, idle: str | None = None) -> DataFrame:
-    """Calls as they end, per thread: a stack, a sequence per probe and open callees' time as state.
+class CallPairing(StatefulProcessor):
+    """A thread's open calls, per-probe numbers and the records that the watermark has not reached yet.
 
-    ``records``: tid, timestamp, step (+1 begin, -1 end, 0 end of the thread), probe_id. Rows of a
-    batch are put in time order. A thread's state goes when it ends or, in a continuous query, when
-    it has been idle for ``idle`` (like "1 hour"; a replay that stops at the end of its input takes none).
+    Records wait until the watermark has passed them, so that those which come late, but within
+    its delay, take their place in time order; a timer in event time then folds them.
     """
-    ms = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
-    wait = None
-    if idle is not None:
-        n, unit = idle.split()
-        wait = int(n) * ms[unit.rstrip("s")]
-    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
-
-    def run(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {"stack": [], "seq": {}}
-        pdf = pd.concat(list(parts)).sort_values(["timestamp", "step", "probe_id"], kind="stable")
-        ended = bool((pdf["step"] == 0).any())
-        pdf = pdf[pdf["step"] != 0]
-        rows = [(key[0], *c) for c in _fold(held, list(zip(pdf["timestamp"].tolist(), pdf["step"].tolist(), pdf["probe_id"].tolist(), strict=True)))]
-        if ended:
-            state.remove()
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, timestamp long, step int, probe string")
+        self.stack = handle.getListState("stack", "probe string, begin long, inner long, number long")
+        self.sequence = handle.getMapState("sequence", "probe string", "number long")
+        self.last = handle.getValueState("last", "at long")
+
+    def _over(self, last: int | None, now: int) -> bool:
+        """Did nothing come for so long that the thread counts as over?"""
+        return self.idle_ms is not None and last is not None and last + self.idle_ms <= now
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = [(r.at_ms, r.timestamp, r.step, r.probe_id) for r in rows]
+        if fresh:
+            self.held.appendList(fresh)
+            self.handle.registerTimer(max(r[0] for r in fresh))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(r) for r in self.held.get()]
+        due = sorted((r[1:] + (r[0],) for r in waiting if r[0] <= mark), key=lambda r: r[:3])
+        stack = [list(r) for r in self.stack.get()]
+        seq = {k[0]: v[0] for k, v in self.sequence.iterator()}
+        known = dict(seq)
+        last = self.last.get()[0] if self.last.exists() else None
+        rows = []
+        for *row, at in due:
+            if self._over(last, at):
+                rows.append((row[0], 0, ""))
+            rows.append(tuple(row))
+            last = at if last is None else max(last, at)
+        out = [Row(tid=key[0], uid=c[0], depth=c[1], begin=c[2], end=c[3], amount=c[4], exclusive=c[5], sequence=c[6]) for c in _fold(stack, seq, rows)]
+        left = [r for r in waiting if r[0] > mark]
+        if self._over(last, mark):
+            stack, seq = [], {}
+        for state, rows in ((self.held, left), (self.stack, [tuple(r) for r in stack])):
+            state.put(rows) if rows else state.clear()
+        if seq:
+            for probe, n in seq.items():
+                if known.get(probe) != n:
+                    self.sequence.updateValue((probe,), (n,))
+            for probe in known.keys() - seq.keys():
+                self.sequence.removeKey((probe,))
+        else:
+            self.sequence.clear()
+        if seq or stack:
+            self.last.update((last,))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last + self.idle_ms)
         else:
-            state.update((json.dumps(held),))
-            if wait is not None:
-                state.setTimeoutDuration(wait)
-        yield pd.DataFrame(rows, columns=["tid", "uid", "depth", "begin", "end", "amount", "exclusive", "sequence"])
+            self.last.clear()
+        return iter(out)
 
-    return records.select("tid", "timestamp", "step", "probe_id").groupBy("tid").applyInPandasWithState(run, _CALL, "held string", "append", timeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_pair_calls(records: DataFrame, time: str = "at", late: str = "10 minutes", idle: str | None = None) -> DataFrame:
+    """Calls as they end, per thread, in event time.
+
+    ``records``: tid, timestamp, step (+1 begin, -1 end, 0 end of the thread), probe_id and the event
+    time ``time``. Records up to ``late`` behind the newest take their place in order, later ones
+    are left out. A thread's state goes when it ends or, if ``idle`` (like "1 hour") is given, when
+    no record came for so long. Start the stream inside ``state_in_rocksdb``.
+    """
+    units = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+    wait = None if idle is None else int(idle.split()[0]) * units[idle.split()[1].rstrip("s")]
+    rows = records.select("tid", "timestamp", F.col("step").cast("int").alias("step"), "probe_id", F.col(time).cast("timestamp").alias("at")).withColumn("at_ms", F.unix_millis("at"))
+    return rows.withWatermark("at", late).groupBy("tid").transformWithState(CallPairing(wait), _CALL, "append", "eventTime")
+
+
+def replay(folder: str, build: Callable[[DataFrame], DataFrame], batches: Iterable[DataFrame]) -> DataFrame:
+    """The rows that a stream made by ``build`` has appended after all ``batches``, which arrive one after the other.
+
+    ``folder``: a path that all executors reach; source, checkpoint and sink get folders of their
+    own below it. For every batch the stream starts anew from its checkpoint, as after a failure.
+    """
+    base = f"{folder}/{uuid.uuid4().hex}"
+    for batch in batches:
+        spark = batch.sparkSession
+        batch.write.mode("append").parquet(f"{base}/in")
+        built = build(spark.readStream.schema(batch.schema).parquet(f"{base}/in"))
+        with state_in_rocksdb(spark):
+            stream_resources(built, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(built.schema).parquet(f"{base}/out")
 
 
 def stream_resources(calls: DataFrame, path: str, checkpoint: str, available_now: bool = True):
@@ -100,3 +178,12 @@ def split_corrupt(good: Callable[[DataFrame, int], None], bad: Callable[[DataFra
             df.unpersist()
 
     return batch
+
+
+def stream_corrupt(records: DataFrame, good: str, bad: str, checkpoint: str):
+    """Write sound records below ``good`` and corrupt ones below ``bad``; the returned query is running.
+
+    A batch has a folder of its own in both, written over if the batch is run again.
+    """
+    into = lambda path: lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return records.writeStream.foreachBatch(split_corrupt(into(good), into(bad))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

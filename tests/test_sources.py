@@ -135,27 +135,6 @@ def test_banded_pairs_need_no_nested_loop(spark):
     assert all(abs(r.estimate - 3 * r.x) < 1e-6 for r in line.collect())
 
 
-def test_stream_replay_equals_batch(spark, tmp_path):
-    from profloom.operators import calls
-
-    from test_traces import random_thread
-    import random
-
-    r = random.Random(5)
-    rows = [x for tid in range(4) for x in random_thread(r, tid, False)]
-    source = tmp_path / "in"
-    source.mkdir()
-    schema = "tid long, timestamp long, step int, probe_id string"
-    for lo in (0, 40, 80):
-        spark.createDataFrame([x for x in rows if lo <= x[1] < (lo + 40 if lo < 80 else 10**9)], schema).coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    ended = ops.stream_resources(ops.stream_pair_calls(stream), str(tmp_path / "out"), str(tmp_path / "check"))
-    ended.awaitTermination()
-    found = {(c.tid, c.uid, c.depth, c.begin, c.end, c.exclusive) for c in spark.read.parquet(str(tmp_path / "out")).collect()}
-    batch = calls.exclusive_time(calls.pair_calls(spark.createDataFrame(rows, schema)))
-    assert found == {(c.tid, c.uid, c.depth, c.begin, c.end, c.exclusive) for c in batch.collect()}
-
-
 def test_stream_splits_corrupt_records(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("0 1 5;f\nbad line\n1 1 9;f\n")
