@@ -109,25 +109,67 @@ def _compatible(targets: DataFrame, profiles: DataFrame) -> DataFrame:
     return t.join(b, [*keys, "parent"]).where(F.size(F.array_except("bp", "tp")) == 0).select("target_id", "baseline_id")
 
 
-def ancestors(versions: DataFrame) -> DataFrame:
-    """(version, parent): every version with each of its ancestors.
+def chain_cover(versions: DataFrame) -> DataFrame:
+    """(version, chain, pos): the history cut into chains of first parents, counted from each chain's oldest version.
 
-    Path doubling: each round joins the closure with itself, so a history of n versions takes
-    log n rounds; a round that finds nothing new is the last.
+    A parent's chain goes on with one of the children whose first parent it is. Chains are numbered by
+    pointer doubling: each round every version learns the place of the one it points to, so a
+    chain of n versions takes log n joins of one row a version.
     """
-    reach = keep(versions.select(F.col("checksum").alias("version"), F.explode("parents").alias("parent")).distinct())
-    n = reach.count()
+    edges = versions.select(F.col("checksum").alias("version"), F.posexplode("parents").alias("nth", "parent"))
+    nodes = versions.select(F.col("checksum").alias("version")).union(edges.select("parent")).distinct()
+    links = edges.where("nth = 0").groupBy(F.col("parent").alias("to")).agg(F.min("version").alias("version"))
+    at = nodes.join(links, "version", "left").select("version", F.coalesce("to", "version").alias("to"), F.col("to").isNotNull().cast("long").alias("pos"))
+    at = keep(at)
     while True:
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.parent") == F.col("b.version")).select("a.version", "b.parent")
-        grown = keep(reach.union(further).distinct())
-        if (now := grown.count()) == n:
-            return reach
-        reach, n = grown, now
+        far = at.select(F.col("version").alias("to"), F.col("to").alias("further"), F.col("pos").alias("more"))
+        moved = keep(at.join(far, "to").select("version", F.col("further").alias("to"), (F.col("pos") + F.col("more")).alias("pos"), (F.col("more") > 0).alias("open")))
+        done = moved.where("open").isEmpty()
+        at = moved.drop("open")
+        if done:
+            return at.select("version", F.col("to").alias("chain"), "pos")
+
+
+def _stairs(steps: DataFrame) -> DataFrame:
+    """Steps (chain, pos, to, top) without those that an earlier one of the same chains makes superfluous."""
+    before = Window.partitionBy("chain", "to").orderBy("pos", F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn("had", F.max("top").over(before)).where("had IS NULL OR top > had").drop("had")
+
+
+def chain_steps(versions: DataFrame, places: DataFrame) -> DataFrame:
+    """(chain, pos, to, top): from ``pos`` of a chain on, versions have those of chain ``to`` up to ``top`` as ancestors.
+
+    The closure runs over chains, not versions: steps are joined with themselves until none is new.
+    """
+    edges = versions.select(F.col("checksum").alias("version"), F.explode("parents").alias("parent"))
+    up = places.select(F.col("version").alias("parent"), F.col("chain").alias("to"), F.col("pos").alias("top"))
+    steps = keep(_stairs(edges.join(places, "version").join(up, "parent").where("chain <> to").select("chain", "pos", "to", "top")))
+    state = None
+    while True:
+        now = steps.agg(F.count("*"), F.sum(F.xxhash64("chain", "pos", "to", "top").cast("decimal(38,0)"))).first()
+        if now == state:
+            return steps
+        state = now
+        on = steps.select(F.col("chain").alias("to"), F.col("pos").alias("from"), F.col("to").alias("end"), F.col("top").alias("last"))
+        longer = steps.join(on, "to").where("from <= top AND end <> chain").select("chain", "pos", F.col("end").alias("to"), F.col("last").alias("top"))
+        steps = keep(_stairs(steps.unionByName(longer)))
 
 
 def ancestor_baselines(targets: DataFrame, versions: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Compatible profiles of all ancestors."""
-    return _compatible(targets.join(ancestors(versions), "version"), profiles)
+    """(target_id, baseline_id): for each target profile, compatible profiles of all ancestors of its version.
+
+    A version's ancestors are the lower part of its own chain and of each chain it steps to, so
+    profiles meet by an equi join on configuration and chain, and no table of ancestors is built.
+    """
+    places = keep(chain_cover(versions))
+    steps = chain_steps(versions, places)
+    keys = ["type", "cmd", "workload", "collector"]
+    t = targets.select(*keys, F.col("profile_id").alias("target_id"), F.col("postprocessors").alias("tp"), "version").join(places, "version").drop("version")
+    far = t.join(steps.withColumnRenamed("pos", "from"), "chain").where("from <= pos").groupBy(*keys, "target_id", "tp", "to").agg(F.max("top").alias("top"))
+    reach = t.select(*keys, "target_id", "tp", F.col("chain").alias("to"), (F.col("pos") - 1).alias("top")).unionByName(far)
+    b = profiles.select(*keys, F.col("profile_id").alias("baseline_id"), F.col("postprocessors").alias("bp"), "version").join(places, "version").withColumnRenamed("chain", "to")
+    found = reach.join(b, [*keys, "to"]).where("pos <= top").where(F.size(F.array_except("bp", "tp")) == 0)
+    return found.select("target_id", "baseline_id")
 
 
 def nearest_version(wanted: DataFrame, versions: DataFrame, *keys: str, crowd: int | None = None) -> DataFrame:

@@ -49,11 +49,6 @@ def test_locations_match_like_all_pairs(spark, least):
     assert any(a[:2] != b[:2] for a, b in found)
 
 
-def test_all_ancestors(spark):
-    rows = [(str(i), [str(i - 1)] if i else []) for i in range(150)]
-    assert joins.ancestors(spark.createDataFrame(rows, "checksum string, parents array<string>")).count() == 150 * 149 // 2
-
-
 def test_levels_have_no_limit(spark, monkeypatch):
     monkeypatch.setattr(graph, "MAX_DEPTH", 3, raising=False)
     edges = [("main", "f0"), *((f"f{i}", f"f{i + 1}") for i in range(6))]
