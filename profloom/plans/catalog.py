@@ -474,6 +474,7 @@ def _typed(kind: str) -> None:
         return rounded(found.select("uid", "rate", "result", "change_type"))
 
     QUERIES[f"check_{kind}"] = run
+    ORACLES[f"check_{kind}"] = sql.off_ties(f"SELECT uid, rate, result, change_type FROM ({sql.CHECK_TYPED[kind]})")
 
 
 for _kind in ("polynomial_regression", "linear_regression", "fast_check"):

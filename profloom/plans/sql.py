@@ -260,6 +260,22 @@ CHECK_GENERAL = f"""WITH q AS (SELECT uid, i, b.model AS base_model, t.model AS
   l AS (SELECT uid, least(b.r_square, t.r_square) AS confidence FROM {_BOTH.format(f"(SELECT * FROM {_FITS} WHERE model = 'linear' AND r_square > 0)")})
   SELECT uid, base_model, target_model, round(rate, 4) AS rate, round(confidence, 4) AS confidence, CASE WHEN same THEN 'NoChange' WHEN total > 0 THEN CASE WHEN rate > 25 THEN 'Degradation' ELSE 'MaybeDegradation' END
     ELSE CASE WHEN rate < -25 THEN 'Optimization' ELSE 'MaybeOptimization' END END AS result FROM s JOIN l USING (uid)"""
+_LINEAR_FITS = f"(SELECT * FROM {_FITS} WHERE model = 'linear' AND r_square > 0)"
+_ERRORS = f"""lin AS (SELECT uid, b.b0 AS bb0, b.b1 AS bb1, b.x_start AS bs, b.x_end AS be, t.b0 AS tb0, t.b1 AS tb1, t.x_start AS ts, t.x_end AS te FROM {_BOTH.format(_LINEAR_FITS)}),
+  e AS (SELECT uid, i, b.model AS base_model, t.model AS target_model, {_AT.format('b')} AS x, {_Y.format('t', _AT.format('t'))} - {_Y.format('b', _AT.format('b'))} AS y
+    FROM {_BOTH.format(_BEST)} CROSS JOIN (SELECT unnest(range(0, 1000)) AS i)),
+  le AS (SELECT e.*, (i - 499.5) / 500 AS u, bb1, tb1, tb0 + tb1 * (ts + i * (te - ts) / 999) - bb0 - bb1 * (bs + i * (be - bs) / 999) AS l FROM e JOIN lin USING (uid)),
+  kinds AS (SELECT uid, model FROM {_best(models('e', 'uid'), 'uid')})"""
+_POLYNOMIAL = f"""WITH {_ERRORS}, m AS (SELECT avg(u ** 2) AS m2, avg(u ** 4) AS m4 FROM (SELECT DISTINCT i, u FROM le)),
+  g AS (SELECT uid, l, u, u * u - m2 AS p2, u ** 3 - m4 / m2 * u AS p3 FROM le CROSS JOIN m),
+  r AS (SELECT uid, sum(l * l) AS yy, sum(l) ** 2 / count(*) AS c0, sum(u * l) ** 2 / sum(u * u) AS c1, sum(p2 * l) ** 2 / sum(p2 * p2) AS c2 FROM g GROUP BY uid)
+  SELECT uid, CASE WHEN yy - c0 < 1e8 THEN 'CONSTANT' WHEN yy - c0 - c1 < 1e8 THEN 'LINEAR' WHEN yy - c0 - c1 - c2 < 1e8 THEN 'QUADRATIC' ELSE 'CUBIC' END AS change_type FROM r"""
+_LINEAR_TYPE = f"""WITH {_ERRORS}, r AS (SELECT uid, any_value(base_model) AS base_model, any_value(target_model) AS target_model, any_value(bb1) AS bb1, any_value(tb1 - bb1) AS d, regr_slope(l, x) AS s, regr_intercept(l, x) AS c, max(y) AS top
+    FROM le GROUP BY uid)
+  SELECT uid, upper(CASE WHEN abs(d) <= 1e-9 * (1 + abs(bb1)) THEN 'constant' WHEN abs(s - d) <= 1e-6 * (1 + abs(d)) AND abs(c) <= abs(0.05 * top) THEN 'linear'
+    WHEN base_model = target_model THEN coalesce(model, 'quadratic') ELSE target_model END) AS change_type FROM r LEFT JOIN kinds USING (uid)"""
+_FAST_TYPE = f"WITH {_ERRORS} SELECT uid, upper(model) AS change_type FROM kinds"
+CHECK_TYPED = {kind: f"SELECT * FROM ({CHECK_GENERAL}) LEFT JOIN ({types}) USING (uid)" for kind, types in (("polynomial_regression", _POLYNOMIAL), ("linear_regression", _LINEAR_TYPE), ("fast_check", _FAST_TYPE))}
 _CLASS = "CASE WHEN abs({0}) <= {1} THEN 'NoChange' WHEN abs({0}) <= {2} THEN CASE WHEN {0} < 0 THEN 'MaybeOptimization' ELSE 'MaybeDegradation' END ELSE CASE WHEN {0} < 0 THEN 'Optimization' ELSE 'Degradation' END END"
 _LINE_AREA = "({0}.b0 * ({0}.x_end - {0}.x_start) + {0}.b1 * ({0}.x_end * {0}.x_end - {0}.x_start * {0}.x_start) / 2)"
 CHECK_INTEGRAL = f"""SELECT uid, round(ba, 2) AS base_area, round(ta, 2) AS target_area, round((ta - ba) / ba, 2) AS rate, {_CLASS.format('((ta - ba) / ba)', 0.1, 0.25)} AS result FROM (
