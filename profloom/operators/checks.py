@@ -6,6 +6,8 @@ a whole version history is one job over all pairs: see ``check_history``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -244,19 +246,47 @@ def outlier_report(baseline: DataFrame, target: DataFrame, *keys: str, **options
 
 
 LEAST_MODEL = 0.15
+#: Strategies that are two others, one after the other.
+BOTH = {"best-both": ("best-param", "best-nonparam"), "all-models": ("all-param", "all-nonparam")}
+
+
+def _is_param() -> Column:
+    return F.col("b0").isNotNull()
+
+
+def any_integral_comparison(baseline: DataFrame, target: DataFrame, *keys: str) -> DataFrame:
+    """Relative difference of the areas under models of any kind, one a function and side: curves by antiderivative, buckets by their points."""
+    step = F.try_divide(F.col("x_end") - F.col("x_start"), (F.size("bucket_stats") - 1).cast("double"))
+    points = F.transform("bucket_stats", lambda y, i: F.struct((F.col("x_start") + i * F.coalesce(step, F.lit(0.0))).alias("x"), y.alias("y")))
+    curve = integral_param(*[F.col(c) for c in ("model", "b0", "b1", "b2", "x_start", "x_end")])
+    area = F.when(_is_param(), curve).otherwise(integral_points(points))
+    side = lambda m, p: m.select(*keys, "uid", F.col("model").alias(f"{p}_model"), area.alias(f"{p}_area"))
+    both = side(baseline, "base").join(side(target, "target"), [*keys, "uid"])
+    rate = F.coalesce(safe_div(F.col("target_area") - F.col("base_area"), F.col("base_area")), F.lit(0.0))
+    return both.select(*keys, "uid", "base_model", "target_model", F.round(rate, 2).alias("rate"), classify_change(rate, *INTEGRAL).alias("result"))
 
 
 def run_with_models(baseline: DataFrame, target: DataFrame, *keys: str, strategy: str = "best-param", check=None) -> DataFrame:
-    """A model check on the best or all parametric models of sufficient fit."""
+    """A check over models of sufficient fit, chosen by strategy.
+
+    ``best-param`` and ``best-nonparam`` compare each function's best model of the group, ``all-`` those of
+    equal kind (then ``kind`` is a key), ``best-model`` the best of both groups, which may differ in
+    kind; ``best-both`` and ``all-models`` are both groups' rows (keys, strategy, uid, rate, result).
+    ``check``, for parametric models, takes two frames and keys (default: ``integral_comparison``).
+    """
+    if strategy in BOTH:
+        parts = [run_with_models(baseline, target, *keys, strategy=s, check=check).select(*keys, F.lit(s).alias("strategy"), "uid", "rate", "result") for s in BOTH[strategy]]
+        return parts[0].unionByName(parts[1])
     which, group = strategy.split("-")
-    fit = lambda m: m.where(F.col("r_square") >= LEAST_MODEL)
-    if group in ("nonparam", "both"):
-        nonparam = integral_comparison_nonparam(fit(baseline.where("bucket_stats IS NOT NULL")), fit(target.where("bucket_stats IS NOT NULL")), *keys)
-        if group == "nonparam":
-            return nonparam
-        return run_with_models(baseline, target, *keys, strategy=f"{which}-param", check=check).select(*keys, "uid", "rate", "result").unionByName(nonparam)
-    b, t = fit(baseline.where("b0 IS NOT NULL")), fit(target.where("b0 IS NOT NULL"))
-    check = check or integral_comparison
+    if which not in ("best", "all") or group not in ("param", "nonparam", "model") or strategy == "all-model":
+        raise ValueError(f"unknown strategy: {strategy}")
+    fits = F.col("r_square") >= LEAST_MODEL
+    if group == "model":
+        best = lambda m: best_model_per_uid(m.where(fits), *keys, "uid")
+        return any_integral_comparison(best(baseline), best(target), *keys)
+    of_group = _is_param() if group == "param" else F.col("bucket_stats").isNotNull()
+    b, t = baseline.where(fits & of_group), target.where(fits & of_group)
+    check = integral_comparison_nonparam if group == "nonparam" else check or integral_comparison
     if which == "best":
         return check(best_model_per_uid(b, *keys, "uid"), best_model_per_uid(t, *keys, "uid"), *keys)
     by_kind = lambda m: m.withColumn("kind", F.col("model"))
@@ -270,8 +300,9 @@ def check_history(pairs: DataFrame, rows: DataFrame, check, *, id_col: str = "pr
     return check(side("baseline_id"), side("target_id"), "pair_id")
 
 
-def check_profiles(baseline: DataFrame, target: DataFrame, check) -> DataFrame:
-    return check(baseline, target)
+def check_profiles(baseline: DataFrame, target: DataFrame, check, *keys: str) -> DataFrame:
+    """One check, given as a function or by its name, over two sides."""
+    return (CHECKS[check] if isinstance(check, str) else check)(baseline, target, *keys)
 
 
 #: Checks by name, for rules and plug-ins.
@@ -287,8 +318,20 @@ CHECKS = {
 }
 
 
+@contextmanager
+def registered_check(name: str, check) -> Iterator[None]:
+    """Inside, ``name`` is a check: a function of two frames and key names that returns changes."""
+    register_check(name, check)
+    try:
+        yield
+    finally:
+        del CHECKS[name]
+
+
 def register_check(name: str, check) -> None:
-    """Add a check: a function of two frames and key names that returns changes."""
+    """Add a check under a free name."""
+    if name in CHECKS:
+        raise ValueError(f"there is a check of this name: {name}")
     CHECKS[name] = check
 
 

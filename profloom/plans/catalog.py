@@ -224,7 +224,7 @@ def nth_profile(spark, sf_dir):
 @query(sql.COMMON_UIDS)
 def common_uids(spark, sf_dir):
     e = E(spark, sf_dir)
-    return ranking.common_uids(e.where("amount > 99").select(F.col("tid").alias("uid")), e.where("amount < 1").select(F.col("tid").alias("uid")))
+    return ranking.common_uids(e.where("amount >= 50").select(F.col("tid").alias("uid")), e.where("amount < 50").select(F.col("tid").alias("uid")))
 
 
 @query(sql.NEW_FUNCTIONS)
@@ -514,7 +514,7 @@ def local_windows(spark, sf_dir):
 
 def _exclusive(spark, sf_dir):
     rows = S(spark, sf_dir).withColumn("exclusive", F.col("amount") * 1000)
-    return rows.where("profile_id = 'baseline'"), rows.where("profile_id = 'target' AND NOT (uid LIKE 'E%' AND location = 'A')")
+    return rows.where("profile_id = 'baseline'"), rows.where("profile_id = 'target'").withColumn("uid", F.expr("if(uid LIKE 'E%' AND location = 'A', concat(uid, '_v2'), uid)"))
 
 
 @query(sql.CHECK_OUTLIERS)
@@ -670,16 +670,17 @@ def sync_catalog(spark, sf_dir):
 
 @query(sql.RUNNING_BEST)
 def thread_spans(spark, sf_dir):
-    e = E(spark, sf_dir).where("uid IN ('click', 'view')")
-    records = e.select(F.when(F.col("uid") == "click", calls.THREAD_BEGIN).otherwise(calls.THREAD_END).alias("record_type"), "tid", F.lit("t").alias("probe_id"), F.col("order").alias("timestamp"))
+    e = E(spark, sf_dir)
+    records = e.select(F.when(F.col("uid").isin("click", "purchase", "signup"), calls.THREAD_BEGIN).otherwise(calls.THREAD_END).alias("record_type"), "tid", F.lit("t").alias("probe_id"), F.col("order").alias("timestamp"))
     return calls.thread_spans(records).select("tid", "begin", "end", "amount")
 
 
 @query(sql.STATS_UPDATE)
 def update_stats(spark, sf_dir):
     e = E(spark, sf_dir)
-    one = lambda rows, key: rows.groupBy("version", F.col("uid").alias("name")).agg(F.count("*").cast("string").alias("n")).select("version", "name", F.lit("calls").alias("stat_id"), F.create_map(F.lit(key), "n", F.lit("k"), F.lit(key)).alias("value"))
-    found = sinks.update_stats(one(e.where("snapshot < 12"), "am"), one(e.where("snapshot >= 12 AND version > '2024-01-05'"), "pm"))
+    moved = F.expr("if(snapshot >= 12 AND version <= '2024-01-05', concat(uid, '_moved'), uid)")
+    one = lambda rows, key: rows.groupBy("version", moved.alias("name")).agg(F.count("*").cast("string").alias("n")).select("version", "name", F.lit("calls").alias("stat_id"), F.create_map(F.lit(key), "n", F.lit("k"), F.lit(key)).alias("value"))
+    found = sinks.update_stats(one(e.where("snapshot < 12"), "am"), one(e.where("snapshot >= 12"), "pm"))
     get = lambda k: F.try_element_at("value", F.lit(k)).alias(k)
     return found.select("version", "name", get("am"), get("pm"), get("k"))
 

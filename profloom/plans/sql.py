@@ -89,7 +89,7 @@ TOP_N = f"SELECT version, uid, trace, round(amount, 2) AS amount, rank FROM {_RA
 COMPARE_TOP_N = f"""SELECT rank, b.uid AS base_uid, b.trace AS base_trace, t.uid AS target_uid, t.trace AS target_trace, round(coalesce(t.amount, 0) - coalesce(b.amount, 0), 2) AS delta
   FROM (SELECT * FROM {_RANKED} WHERE rank <= 10 AND version = '1996') b FULL JOIN (SELECT * FROM {_RANKED} WHERE rank <= 10 AND version = '1997') t USING (rank)"""
 NTH_PROFILE = f"""SELECT version, profile_id, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY version ORDER BY time, profile_id) - 1 AS nth FROM {PROFILES}) WHERE nth BETWEEN 1 AND 2"""
-COMMON_UIDS = f"SELECT tid AS uid FROM {EVENTS} WHERE amount > 99 INTERSECT SELECT tid FROM {EVENTS} WHERE amount < 1"
+COMMON_UIDS = f"SELECT tid AS uid FROM {EVENTS} WHERE amount >= 50 INTERSECT SELECT tid FROM {EVENTS} WHERE amount < 50"
 _FUNCTIONS = "(SELECT caller AS func, version FROM {0} WHERE {1} UNION SELECT callee, version FROM {0} WHERE {1})"
 NEW_FUNCTIONS = f"""SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1996'")} EXCEPT SELECT func FROM {_FUNCTIONS.format(CALL_EDGES, "version = '1995'")}"""
 
@@ -308,7 +308,7 @@ MOVING_MODEL = f"""WITH r AS (SELECT uid, "order"::DOUBLE AS x, amount AS y, CAS
   SELECT uid, min(x) AS x_start, max(x) AS x_end, 9 AS window_width, round(1 - sum((y - fit) * (y - fit)) / sum((y - my) * (y - my)), 4) AS r_square, count(*)::INT AS points FROM r GROUP BY uid"""
 
 _EXCLUSIVE = f"""(WITH b AS (SELECT uid, location, sum(y * 1000) / 1e6 AS base FROM {_XY} WHERE profile_id = 'baseline' GROUP BY ALL),
-  t AS (SELECT uid, location, sum(y * 1000) / 1e6 AS target FROM {_XY} WHERE profile_id = 'target' AND NOT (uid LIKE 'E%' AND location = 'A') GROUP BY ALL)
+  t AS (SELECT CASE WHEN uid LIKE 'E%' AND location = 'A' THEN uid || '_v2' ELSE uid END AS uid, location, sum(y * 1000) / 1e6 AS target FROM {_XY} WHERE profile_id = 'target' GROUP BY ALL)
   SELECT uid, location, base, target, coalesce(target, 0) - coalesce(base, 0) AS delta, 100 * (coalesce(target, 0) - coalesce(base, 0)) / sum(target) OVER () AS share FROM b FULL JOIN t USING (uid, location))"""
 EXCLUSIVE_DIFF = f"SELECT uid, location, round(base, 3) AS base, round(target, 3) AS target, round(delta, 3) AS delta, round(share, 3) AS share FROM {_EXCLUSIVE}"
 LOCATION_TOTALS = f"""SELECT location, round(base, 3) AS base, round(target, 3) AS target, round(delta, 3) AS delta, round(share, 3) AS share, CASE WHEN share > 0 THEN 'TotalDegradation' ELSE 'TotalOptimization' END AS result FROM (
@@ -363,6 +363,7 @@ PROMOTE = f"SELECT snapshot::DOUBLE AS hour, sum(structure_unit_size) AS size, c
 UID_ORDER = f"SELECT n_name || ':' || uid || ':' || subtype || ':' || version AS uid, count(*) AS n FROM {ORDERS} GROUP BY 1"
 RULES = f"""SELECT profile_id, CASE WHEN type = 'time' THEN 'aat' WHEN list_contains(postprocessors, 'fit') THEN 'bmoe' ELSE 'eto' END AS method FROM {PROFILES} WHERE type = 'time' OR list_contains(postprocessors, 'fit') OR cmd = 'error'"""
 LAST_OF_DAY = f"SELECT version, profile_id AS path, type FROM {PROFILES} WHERE (type <> 'mixed' AND cmd <> 'click') OR (cmd <> 'click' AND type = 'mixed')"
-RUNNING_BEST = f"""SELECT tid, b AS begin, e AS end, e - b AS amount FROM (SELECT tid, min("order") FILTER (WHERE uid = 'click') AS b, max("order") FILTER (WHERE uid = 'view') AS e FROM {EVENTS} GROUP BY tid) WHERE b IS NOT NULL AND e IS NOT NULL"""
-STATS_UPDATE = f"""WITH a AS (SELECT version, uid AS name, count(*) FILTER (WHERE snapshot < 12) AS am, count(*) FILTER (WHERE snapshot >= 12 AND version > '2024-01-05') AS pm FROM {EVENTS} GROUP BY ALL)
-  SELECT version, name, CASE WHEN am > 0 THEN am::VARCHAR END AS am, CASE WHEN pm > 0 THEN pm::VARCHAR END AS pm, CASE WHEN pm > 0 THEN 'pm' ELSE 'am' END AS k FROM a WHERE am > 0 OR pm > 0"""
+RUNNING_BEST = f"""SELECT tid, b AS begin, e AS end, e - b AS amount FROM (SELECT tid, min("order") FILTER (WHERE uid IN ('click', 'purchase', 'signup')) AS b, max("order") FILTER (WHERE uid IN ('view', 'error')) AS e FROM {EVENTS} GROUP BY tid) WHERE b IS NOT NULL AND e IS NOT NULL"""
+STATS_UPDATE = f"""WITH m AS (SELECT version, CASE WHEN snapshot >= 12 AND version <= '2024-01-05' THEN uid || '_moved' ELSE uid END AS name, snapshot FROM {EVENTS}),
+  a AS (SELECT version, name, count(*) FILTER (WHERE snapshot < 12) AS am, count(*) FILTER (WHERE snapshot >= 12) AS pm FROM m GROUP BY ALL)
+  SELECT version, name, CASE WHEN am > 0 THEN am::VARCHAR END AS am, CASE WHEN pm > 0 THEN pm::VARCHAR END AS pm, CASE WHEN pm > 0 THEN 'pm' ELSE 'am' END AS k FROM a"""

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from profloom.functions.scalars import severity
+from profloom.operators.fields import flatten_fields
 from profloom.operators.traces import folded_lines
 
 
@@ -22,6 +24,11 @@ def write_resources(df: DataFrame, path: str) -> None:
     df.repartition("version").sortWithinPartitions("version", "uid").write.mode("append").partitionBy("version").parquet(path)
 
 
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """Append catalogue entries by version; a scan of one version reads its folder only."""
+    entries.repartition("version").write.mode("append").partitionBy("version").parquet(path)
+
+
 def register_profile(catalog: DataFrame, fresh: DataFrame) -> DataFrame:
     """The catalogue with new entries; an entry with the same version, path and time is there already."""
     keys = ["version", "path", "time"]
@@ -83,6 +90,22 @@ def table_of(df: DataFrame, columns: list[str], path: str | None = None, sort: s
     return out
 
 
+def _nan_for_missing(df: DataFrame) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(f"`{f.name}`").cast("double"), F.lit(float("nan"))).alias(f.name) if isinstance(f.dataType, NumericType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def resource_frame(df: DataFrame, snapshot: str = "snapshot") -> DataFrame:
+    """Resources as one flat frame: every field a column, ``snapshots`` the number of the snapshot (0 without one), NaN for numbers that a resource lacks."""
+    rows = df if snapshot in df.columns else df.withColumn(snapshot, F.lit(0))
+    flat = _nan_for_missing(flatten_fields(rows.withColumn(snapshot, F.coalesce(snapshot, F.lit(0)))))
+    return flat.withColumn(snapshot, F.col(f"`{snapshot}`").cast("int")).withColumnRenamed(snapshot, "snapshots")
+
+
+def model_frame(models: DataFrame) -> DataFrame:
+    """Model rows as one flat frame, with NaN for coefficients and statistics that a kind lacks."""
+    return _nan_for_missing(flatten_fields(models))
+
+
 def save_stats(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return _latest([stored, fresh], ["version", "name", "stat_id"])
 

@@ -1,6 +1,6 @@
 import pytest
 
-from profloom.plans import catalog, formats, reports, streams  # noqa: F401
+from profloom.plans import catalog, formats, profiles, reports, streams  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
