@@ -106,6 +106,69 @@ def complexity_rank(bound: Column) -> Column:
     return reduce(lambda acc, kv: F.when(bound == kv[1], kv[0]).otherwise(acc), enumerate(COMPLEXITY), F.lit(len(COMPLEXITY)))
 
 
+_NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+_INNER = r"\([^()]*\)"
+#: A power's base (a logarithm, a sum in parentheses, a name, a number) and its exponent.
+_FACTOR = rf"(log[0-9]*{_INNER}|{_INNER}|[a-z_][a-z_0-9]*|{_NUMBER})(?:\^([a-z_0-9.]+|{_INNER}))?"
+
+
+def _factors(term: Column, sums) -> Column:
+    """Growth of a product: exponents of its powers add up. ``sums`` gives that of a sum in parentheses."""
+
+    def one(f: Column) -> Column:
+        base, power = F.regexp_extract(f, f"^{_FACTOR}$", 1), F.regexp_extract(f, f"^{_FACTOR}$", 2)
+        exponent = F.when(power == "", 1.0).otherwise(F.regexp_replace(power, r"[()]", "").try_cast("double"))
+        inner = sums(F.regexp_extract(base, r"^\((.*)\)$", 1))
+        number, log = base.rlike(f"^{_NUMBER}$"), base.rlike(r"^log([0-9]*\(|$)")
+        grows = F.lit(1).cast("int")
+        return (
+            F.when(number, F.struct(F.when(exponent.isNull() & (base.cast("double") > 1), grows).otherwise(0).alias("exponential"), F.lit(0.0).alias("degree"), F.lit(0.0).alias("logs")))
+            .when(exponent.isNull(), F.struct(grows.alias("exponential"), F.lit(0.0).alias("degree"), F.lit(0.0).alias("logs")))
+            .when(log, F.struct(F.lit(0).alias("exponential"), F.lit(0.0).alias("degree"), F.when((base == "log") | F.regexp_extract(base, r"\((.*)\)", 1).rlike("[a-z]"), exponent).otherwise(0.0).alias("logs")))
+            .when(base.startswith("("), F.struct(inner["exponential"].alias("exponential"), (inner["degree"] * exponent).alias("degree"), (inner["logs"] * exponent).alias("logs")))
+            .otherwise(F.struct(F.lit(0).alias("exponential"), exponent.alias("degree"), F.lit(0.0).alias("logs")))
+        )
+
+    found = F.transform(F.regexp_extract_all(term, F.lit(_FACTOR), F.lit(0)), one)
+    nothing = F.struct(F.lit(0).alias("exponential"), F.lit(0.0).alias("degree"), F.lit(0.0).alias("logs"))
+    add = lambda a, f: F.struct(F.greatest(a["exponential"], f["exponential"]).alias("exponential"), (a["degree"] + f["degree"]).alias("degree"), (a["logs"] + f["logs"]).alias("logs"))
+    return F.aggregate(found, nothing, add)
+
+
+def _terms(text: Column) -> Column:
+    """The terms of a sum; those in parentheses stay together."""
+    return F.regexp_extract_all(text, F.lit(rf"(?:{_INNER}|[^-+()])+"), F.lit(0))
+
+
+def bound_growth(bound: Column) -> Column:
+    """(exponential, degree, logs) of a cost bound such as ``O(3*n^2 + n*log(m))``; structs order as the bounds grow.
+
+    Sums, products, powers, logarithms and ``max(a, b)`` of numbers and names, with parentheses that
+    hold no others but logarithms; every name counts as a size. Null for what does not fit this.
+    """
+    text = F.regexp_replace(F.lower(bound), r"\s+|^o\(|\)\s*$", "")
+    text = F.when(F.lower(F.trim(bound)).rlike(r"^o\(.*\)$"), text).otherwise(F.regexp_replace(F.lower(bound), r"\s+", ""))
+    text = F.regexp_replace(F.regexp_replace(text, r"\*\*", "^"), r"max\(", "(")
+    text = F.regexp_replace(text, ",", "+")
+    logs = F.regexp_replace(text, r"log[0-9]*\([^()]*[a-z][^()]*\)", "log")  # inside parentheses a logarithm is a word
+    flat = F.when(logs.rlike(r"\([^()]*log[^()]*\)"), logs).otherwise(text)
+    nothing = F.struct(F.lit(0).alias("exponential"), F.lit(0.0).alias("degree"), F.lit(0.0).alias("logs"))
+    inner = lambda f: F.array_max(F.transform(_terms(f), lambda t: _factors(t, lambda _: nothing)))
+    whole = F.array_max(F.transform(_terms(flat), lambda t: _factors(t, inner)))
+    sound = flat.rlike(rf"^-?{_FACTOR}(?:[-+*]{_FACTOR})*$")
+    return F.when(sound, whole)
+
+
+def complexity_of(bound: Column) -> Column:
+    """The class of a bound by its greatest term: ``O(1)``, ``O(n^k)``, with a factor of ``log(n)^j``, or ``O(c^n)``; null if it cannot be read."""
+    g = bound_growth(bound)
+    short = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    power = F.when(g["degree"] > 0, F.concat(F.lit("n^"), short(g["degree"])))
+    logs = F.when(g["logs"] > 0, F.concat(F.lit("log(n)"), F.when(g["logs"] != 1, F.concat(F.lit("^"), short(g["logs"]))).otherwise("")))
+    poly = F.concat(F.lit("O("), F.coalesce(F.nullif(F.concat_ws(" ", power, logs), F.lit("")), F.lit("1")), F.lit(")"))
+    return F.when(g["exponential"] > 0, "O(c^n)").otherwise(F.when(g.isNotNull(), poly))
+
+
 def growth_rank(model: Column) -> Column:
     return reduce(lambda acc, kv: F.when(model == kv[1], kv[0]).otherwise(acc), enumerate(GROWTH), F.lit(None).cast("int"))
 

@@ -183,6 +183,18 @@ def trace_distance(spark, sf_dir):
     return rounded(found.select(F.array_join("a", ",").alias("a"), F.array_join("b", ",").alias("b"), "distance"))
 
 
+@query(f"""WITH g AS (SELECT uid, version, snapshot // 2 AS part, snapshot % 4 AS s, dayofyear(version::DATE) % 2 = 1 AS odd FROM {EVENTS}),
+  d AS (SELECT uid, version, part, CASE WHEN odd THEN greatest(s, 1) ELSE s END AS degree, CASE WHEN odd AND s <= 1 THEN 1 ELSE 0 END AS logs FROM g)
+  SELECT uid, version, part::INT AS part, CASE WHEN m.degree = 0 THEN 'O(1)' WHEN m.logs = 1 THEN 'O(n^1 log(n))' ELSE 'O(n^' || m.degree || ')' END AS worst FROM (
+    SELECT uid, version, part, max({{'degree': degree, 'logs': logs}}) AS m FROM d GROUP BY ALL)""")
+def bound_growth(spark, sf_dir):
+    """The greatest of the polynomial bounds of each function's hours."""
+    more = F.when(F.dayofyear("version") % 2 == 1, " + n*log(n)").otherwise(" + 2*(1 + 3)")
+    rows = E(spark, sf_dir).select("uid", "version", F.expr("snapshot div 2").cast("int").alias("part"), F.concat(F.lit("3*n^"), (F.col("snapshot") % 4).cast("string"), more).alias("bound"))
+    worst = rows.groupBy("uid", "version", "part").agg(F.max_by("bound", scalars.bound_growth(F.col("bound"))).alias("bound"))
+    return worst.select("uid", "version", "part", scalars.complexity_of(F.col("bound")).alias("worst"))
+
+
 @query(f"""SELECT 'O(n^' || snapshot % 7 || ')' AS bound, CASE snapshot % 7 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END AS rank, count(*) AS n FROM {EVENTS} GROUP BY ALL""")
 def complexity_of(spark, sf_dir):
     bound = F.concat(F.lit("O(n^"), (F.col("snapshot") % 7).cast("string"), F.lit(")"))
