@@ -434,7 +434,8 @@ def kernel_local_cubic(spark, sf_dir):
 
 @query(sql.KERNEL_RIDGE)
 def kernel_ridge_grid(spark, sf_dir):
-    return rounded(nonparam.kernel_ridge_grid(S(spark, sf_dir), "uid", gammas=[0.001, 0.01, 0.1, 1.0]), 1)
+    found = nonparam.kernel_ridge_grid(S(spark, sf_dir), "uid", gammas=[0.001, 0.01, 0.1, 1.0])
+    return rounded(found.select("uid", "gamma", (F.col("mse") / 1e6).alias("mse")))
 
 
 @query(sql.MOVING_MODEL)

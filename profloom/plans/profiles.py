@@ -131,3 +131,10 @@ def _best_param_sql() -> str:
 @query(f"SELECT 'best-param' AS strategy, uid, {_RATED} FROM {_best_param_sql()} UNION ALL SELECT 'best-nonparam', uid, {_RATED} FROM {_NONPARAM}")
 def run_with_both_models(spark, sf_dir):
     return rounded(checks.run_with_models(*_of_both_groups(spark, sf_dir), strategy="best-both"), 2)
+
+
+@query(sql.KERNEL_RIDGE_MODEL)
+def kernel_ridge_model(spark, sf_dir):
+    found = nonparam.kernel_ridge_model(S(spark, sf_dir), "uid", gammas=[0.001, 0.01, 0.1, 1.0])
+    stats = F.col("bucket_stats")
+    return rounded(found.select("uid", "gamma", "x_start", "x_end", F.size(stats).alias("points"), F.array_min(stats).alias("lowest"), F.array_max(stats).alias("highest"), "r_square"))

@@ -123,9 +123,10 @@ def kernel_model(spark, sf_dir):
 @query(f"""WITH z AS (SELECT uid, x, count(*) AS m, sum(y) AS sy, sum(y * y) AS syy FROM {_XY} GROUP BY uid, x), g AS (SELECT unnest([1.0, 3.0, 9.0])::DOUBLE AS h),
   k AS (SELECT a.uid, a.x, h, sum(exp(-(b.x - a.x) * (b.x - a.x) / (2 * h * h)) * b.sy) AS sa, sum(exp(-(b.x - a.x) * (b.x - a.x) / (2 * h * h)) * b.m) AS sb FROM z a JOIN z b ON a.uid = b.uid CROSS JOIN g GROUP BY ALL),
   e AS (SELECT uid, h, sum((1 + 1 / (sb - 1)) * (1 + 1 / (sb - 1)) * syy - 2 * (1 + 1 / (sb - 1)) * (sa / (sb - 1)) * sy + m * (sa / (sb - 1)) * (sa / (sb - 1))) / sum(m) AS mse FROM k JOIN z USING (uid, x) GROUP BY uid, h)
-  SELECT uid, arg_min(h, mse) AS h, round(min(mse), 0) AS mse FROM e GROUP BY uid""")
+  SELECT uid, arg_min(h, mse) AS h, round(min(mse) / 1e6, 4) AS mse FROM e GROUP BY uid""")
 def bandwidth_by_cv(spark, sf_dir):
-    return rounded(nonparam.bandwidth_by_cv(S(spark, sf_dir), "uid", grid=[1.0, 3.0, 9.0]), 0)
+    found = nonparam.bandwidth_by_cv(S(spark, sf_dir), "uid", grid=[1.0, 3.0, 9.0])
+    return rounded(found.select("uid", "h", (F.col("mse") / 1e6).alias("mse")))
 
 
 @query(f"""SELECT uid, (b.bucket)::INT AS bucket, b.stat AS base, t.stat AS target FROM ({sql.regressogram('avg').replace(SALES, f"(SELECT * FROM {SALES} WHERE profile_id = 'baseline')")}) b

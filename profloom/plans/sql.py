@@ -239,7 +239,12 @@ KERNEL_RIDGE = f"""WITH z AS (SELECT uid, x, count(*) AS m, sum(y) AS sy, sum(y
   s AS (SELECT a.uid, g, a.x, any_value(a.m) AS m, any_value(a.sy) AS sy, any_value(a.syy) AS syy, sum(exp(-g * (a.x - b.x) * (a.x - b.x)) * b.sy) AS p, sum(exp(-g * (a.x - b.x) * (a.x - b.x)) * b.m) - 1 AS r
     FROM z a JOIN z b ON a.uid = b.uid CROSS JOIN (SELECT unnest([0.001, 0.01, 0.1, 1.0]) AS g) GROUP BY ALL),
   e AS (SELECT uid, g AS gamma, sum((1 + 1 / r) * (1 + 1 / r) * syy - 2 * (1 + 1 / r) * (p / r) * sy + m * (p / r) * (p / r)) / sum(m) AS mse FROM s GROUP BY ALL)
-  SELECT uid, round(gamma, 1) AS gamma, round(mse, 1) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY mse, gamma) AS k FROM e) WHERE k = 1"""
+  SELECT uid, round(gamma, 4) AS gamma, round(mse / 1e6, 4) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY mse, gamma) AS k FROM e) WHERE k = 1"""
+KERNEL_RIDGE_MODEL = KERNEL_RIDGE.replace("SELECT uid, round(gamma, 4) AS gamma, round(mse / 1e6, 4) AS mse FROM", """, best AS (SELECT uid, gamma FROM""").replace("WHERE k = 1", """WHERE k = 1),
+  p AS (SELECT a.uid, a.x, gamma, any_value(a.m) AS m, any_value(a.sy) AS sy, any_value(a.syy) AS syy, sum(exp(-gamma * (a.x - b.x) ** 2) * b.sy) / sum(exp(-gamma * (a.x - b.x) ** 2) * b.m) AS v
+    FROM z a JOIN z b ON a.uid = b.uid JOIN best ON best.uid = a.uid GROUP BY ALL)
+  SELECT uid, round(gamma, 4) AS gamma, min(x) AS x_start, max(x) AS x_end, count(*)::INT AS points, round(min(v), 4) AS lowest, round(max(v), 4) AS highest,
+    round(1 - sum(syy - 2 * v * sy + m * v * v) / (sum(syy) - sum(sy) ** 2 / sum(m)), 4) AS r_square FROM p GROUP BY uid, gamma""")
 BANDWIDTH = f"""SELECT uid, round(1.059 * s * power(n, -0.2), 4) AS scott, round(0.9 * least(s, q / 1.349) * power(n, -0.2), 4) AS silverman FROM (
   SELECT uid, count(*) AS n, stddev_samp(x) AS s, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS q FROM {_XY} GROUP BY uid)"""
 
