@@ -280,3 +280,20 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE all_rows AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL),
+sound AS (
+  SELECT vec_id, e, list_max(list_transform(e, lambda c: abs(c))) AS top FROM all_rows
+  WHERE len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0
+), scaled AS (SELECT vec_id, list_transform(e, lambda c: c / top) AS e FROM sound
+), v AS MATERIALIZED (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM scaled
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95
+), links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach(id, stop) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.stop),
+least AS (SELECT id, min(stop) AS m FROM reach GROUP BY id), counted AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, m IS NULL OR m >= vec_id AS kept
+FROM all_rows LEFT JOIN least ON least.id = vec_id LEFT JOIN counted ON counted.id = vec_id
+"""

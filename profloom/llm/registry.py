@@ -36,7 +36,10 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": op01_line_dedup.ORACLE,
+    "op2_cover_tree": op02_cover_tree.ORACLE,
+    "op4_ngram_join": op04_ngram_join.ORACLE,
     "op5_mixture": op05_mixture.ORACLE,
+    "op6_suffix_dedup": op06_suffix_dedup.ORACLE,
     "op9_license_scan": op09_license_scan.ORACLE,
     "op10_url_filter": op10_url_filter.ORACLE,
     "op11_collocations": op11_collocations.ORACLE,
