@@ -90,7 +90,7 @@ def graph_levels(edges: DataFrame, root: str = "main") -> DataFrame:
         ready = into.groupBy(F.col("callee").alias("func")).agg((F.max("level") + 1).alias("level"), F.count("level").alias("have"), F.count("*").alias("all"))
         ready = keep(ready.where("have = all").select("func", "level"))
         if ready.isEmpty():
-            return done
+            raise ValueError("functions without a level: a cycle is left")  # cannot be once back edges are gone
         done, left = keep(done.unionByName(ready)), keep(left.join(ready, "func", "left_anti"))
 
 

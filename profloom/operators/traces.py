@@ -34,14 +34,41 @@ def distance(a: list[str], b: list[str], bound: float | None = None) -> float:
     return row[-1]
 
 
+def distances(left: list, right: list, bound: float | None = None):
+    """``distance`` of many pairs at once: costs once for each pair of frames, then one table for all pairs of equal lengths."""
+    import numpy as np
+
+    out = np.full(len(left), np.inf)
+    number: dict[str, int] = {}
+    ids = [[np.array([number.setdefault(f, len(number)) for f in x], np.int64) for x in side] for side in (left, right)]
+    names = list(number)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(*ids, strict=True)):
+        if bound is None or abs(len(a) - len(b)) <= bound:
+            shapes.setdefault((len(a), len(b)), []).append(k)
+    for (n, m), rows in shapes.items():
+        row = np.tile(np.arange(m + 1.0), (len(rows), 1))
+        if n and m:
+            a, b = (np.stack([side[k] for k in rows]) for side in ids)
+            codes, at = np.unique(a[:, :, None] * len(names) + b[:, None, :], return_inverse=True)
+            costs = np.array([0.0 if c // len(names) == c % len(names) else frame_cost(names[c // len(names)], names[c % len(names)]) for c in codes.tolist()])[at].reshape(len(rows), n, m)
+        for i in range(1, n + 1):
+            new = np.empty_like(row)
+            new[:, 0] = i
+            for j in range(1, m + 1):
+                new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + costs[:, i - 1, j - 1])
+            row = new
+        out[rows] = row[:, m]
+    return out if bound is None else np.where(out <= bound, out, np.inf)
+
+
 def trace_distance(pairs: DataFrame, a: str, b: str, bound: float | None = None) -> DataFrame:
     """Pairs of traces with their distance (null above the bound); each distinct pair is computed once."""
     distinct = pairs.select(a, b).distinct()
 
     def run(batches):
         for pdf in batches:
-            found = [distance(list(x), list(y), bound) for x, y in zip(pdf[a], pdf[b], strict=True)]
-            pdf["distance"] = [None if d == float("inf") else d for d in found]
+            pdf["distance"] = [None if d == float("inf") else d for d in distances(pdf[a].tolist(), pdf[b].tolist(), bound).tolist()]
             yield pdf
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
@@ -84,7 +111,7 @@ def close_traces(traces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            pdf["distance"] = [distance(list(x), list(y), threshold) for x, y in zip(pdf["fa"], pdf["fb"], strict=True)]
+            pdf["distance"] = distances(pdf["fa"].tolist(), pdf["fb"].tolist(), threshold)
             yield pdf.loc[pdf["distance"] <= threshold, ["stratum", "a", "b", "distance"]]
 
     return pairs.mapInPandas(run, "stratum string, a string, b string, distance double")

@@ -15,6 +15,18 @@ def test_distances():
     assert traces.distance(["a", "b", "c"], ["x", "y", "z"], 2.0) == float("inf")
 
 
+@pytest.mark.parametrize("bound", [None, 1.0, 2.5])
+def test_distances_of_many_pairs(bound):
+    r = random.Random(2)
+    trace = lambda: ["_".join(r.choice("abcd") for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(6))]
+    left, right = ([trace() for _ in range(300)] for _ in range(2))
+    right[:20] = left[:20]
+    one = [traces.distance(x, y) for x, y in zip(left, right, strict=True)]
+    wanted = [d if bound is None or d <= bound else float("inf") for d in one]
+    assert traces.distances(left, right, bound).tolist() == pytest.approx(wanted)
+    assert traces.distances([], [], bound).tolist() == []
+
+
 def test_trace_distance_frame(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "c"]), (["a", "b"], ["a", "c"]), (["a"], ["a"] * 6)], "a array<string>, b array<string>")
     assert sorted((r.distance is None, r.distance) for r in traces.trace_distance(df, "a", "b", 2.0).collect()) == [(False, 1.0), (False, 1.0), (True, None)]
