@@ -28,7 +28,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,33 +66,48 @@ def member(head: bytes, payload: bytes = b"") -> bytes:
     return z.compress(head) + z.compress(payload) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def name_of(row: int, key: str | None) -> str:
-    return f"urn:record:{row}:{quote(key or '', safe='')}"
+def name_of(mark: Column, copy: Column | int, key: Column) -> Column:
+    """A record's name: what its row holds, which of several equal rows it is, and its id."""
+    return F.concat(F.lit("urn:record:"), mark, F.lit("."), F.lit(copy).cast("string") if isinstance(copy, int) else copy.cast("string"), F.lit(":"), F.coalesce(F.url_encode(key), F.lit("")))
+
+
+RECORD = pa.schema([("mark", pa.string()), ("member", pa.binary())])
 
 
 def _responses(date: str):
-    """Each row's payload size and digest, and its member as if it were a response."""
+    """The member of each row (mark, name, uri, payload) as a response."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("key", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("member", pa.binary())])
         for batch in batches:
-            out, held = [], 0
-            for row, key, uri, payload in zip(*(batch.column(i) for i in range(4)), strict=True):
-                row, key, uri, payload = row.as_py(), key.as_py(), uri.as_py(), payload.as_py() or b""
-                digest = base32_sha1(hashlib.sha1(payload).digest())
-                out.append((row, key, uri, len(payload), digest, member(record_head("response", name_of(row, key), uri, date, digest, len(payload)), payload)))
-                held += len(out[-1][-1])
+            marks, members, held = [], [], 0
+            for mark, name, uri, payload in zip(*(batch.column(i) for i in range(4)), strict=True):
+                payload = payload.as_py()
+                head = record_head("response", name.as_py(), uri.as_py(), date, base32_sha1(hashlib.sha1(payload).digest()), len(payload))
+                marks.append(mark.as_py())
+                members.append(member(head, payload))
+                held += len(members[-1])
                 if held >= SEND_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(members, pa.binary())], schema=RECORD)
+                    marks, members, held = [], [], 0
+            if marks:
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(members, pa.binary())], schema=RECORD)
+
+    return run
+
+
+def _revisits(date: str):
+    """The member of each row (name, uri, payload_bytes, sha1, refers_to) as a revisit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [member(record_head("revisit", r["name"], r["uri"], date, base32_sha1(bytes.fromhex(r["sha1"])), r["payload_bytes"], r["refers_to"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
 
     return run
 
 
-def _append(folder: str, date: str, archive_bytes: int):
-    """Write the rows of a task into archives; a manifest row for each."""
+def _append(folder: str, archive_bytes: int):
+    """Write the members of a task into archives; a manifest row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -106,14 +120,13 @@ def _append(folder: str, date: str, archive_bytes: int):
             return pa.RecordBatch.from_pydict({"path": [path], "length": [size], "records": [n]}, schema=pa.schema([("path", pa.string()), ("length", pa.int64()), ("records", pa.int64())]))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                data = r["member"] or member(record_head("revisit", name_of(r["row"], r["key"]), r["uri"], date, r["digest"], r["payload_bytes"], name_of(r["to_row"], r["to_key"])))
+            for data in batch.column(0):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     path, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
-                out.write(data)
-                size, n = size + len(data), n + 1
+                out.write(data.as_buffer())
+                size, n = size + len(data.as_buffer()), n + 1
                 if size >= archive_bytes:
                     yield close()
                     out = None
@@ -126,19 +139,30 @@ def _append(folder: str, date: str, archive_bytes: int):
 def write_warc(df: DataFrame, id_col: str, uri_col: str, payload_col: str, folder: str, least_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row below ``folder``, a path or URI that all executors reach; the manifest (path, length, records) is a written table.
 
-    Payloads are text in UTF-8 or bytes; equal ones of at least ``least_bytes`` are stored once.
+    Payloads are text in UTF-8 or bytes; equal ones of at least ``least_bytes`` are stored once. Who is
+    response is settled on rows without payloads; payloads are read again, and compressed before
+    they are shuffled to meet the verdict.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("key"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("binary").alias("payload"))
-    kind = rows.schema["id"].dataType.simpleString()
-    made = rows.select("row", "key", "uri", "payload").mapInArrow(_responses(date), "row long, key string, uri string, payload_bytes long, digest string, member binary")
-    made = cut(made)  # row numbers stand still from here on
-    best = made.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct(F.col("key").cast(kind).alias("id"), F.col("row").alias("to_row"), F.col("key").alias("to_key"))).alias("best"))
-    slim = made.drop("member")
-    later = slim.where(F.col("payload_bytes") >= least_bytes).join(best.select("digest", "best.to_row", "best.to_key"), "digest").where("row <> to_row")
-    first = made.join(later.select("row"), "row", "left_anti").select("row", "key", "uri", "payload_bytes", "digest", F.lit(None).cast("long").alias("to_row"), F.lit(None).cast("string").alias("to_key"), "member")
-    both = first.unionByName(later.select("row", "key", "uri", "payload_bytes", "digest", "to_row", "to_key", F.lit(None).cast("binary").alias("member")))
-    manifest = cut(both.mapInArrow(_append(folder, date, archive_bytes), "path string, length long, records long"))
-    discard(made)
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    rows = df.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("key"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("mark", F.md5(F.to_json(F.struct("key", "uri", "sha1")).cast("binary")))
+    equal = rows.groupBy("mark", "id", "key", "uri", "sha1", F.octet_length("payload").cast("long").alias("payload_bytes")).agg(F.count("*").alias("copies"))
+    equal = cut(equal.where(F.col("payload_bytes") >= least_bytes))
+    best = cut(equal.groupBy("sha1").agg(F.max(F.struct("id", "uri", "mark", "key")).alias("best")).select("sha1", F.col("best.mark").alias("best"), name_of(F.col("best.mark"), 0, F.col("best.key")).alias("refers_to")))
+    copies = F.explode(F.sequence(F.when(F.col("mark") == F.col("best"), F.lit(1)).otherwise(0).cast("long"), F.col("copies") - 1))
+    later = equal.join(best, "sha1").where("mark <> best OR copies > 1").withColumn("copy", copies)
+    later = later.select(name_of(F.col("mark"), F.col("copy"), F.col("key")).alias("name"), "uri", "payload_bytes", "sha1", "refers_to").mapInArrow(_revisits(date), "member binary")
+
+    as_response = lambda r, name: r.select("mark", name.alias("name"), "uri", "payload").mapInArrow(_responses(date), "mark string, member binary")
+    grouped = as_response(rows.where(F.octet_length("payload") >= least_bytes), name_of(F.col("mark"), 0, F.col("key")))
+    grouped = grouped.join(best.select(F.col("best").alias("mark")), "mark", "left_semi").dropDuplicates(["mark"]).select("member")
+    both = grouped.unionByName(later)
+    if least_bytes > 0:  # nothing refers to these, so any name of their own will do
+        small = rows.where(F.octet_length("payload") < least_bytes)
+        both = both.unionByName(as_response(small, name_of(F.col("mark"), F.uuid(), F.col("key"))).select("member"))
+    manifest = cut(both.mapInArrow(_append(folder, archive_bytes), "path string, length long, records long"))
+    discard(equal)
+    discard(best)
     return manifest
 
 
@@ -376,7 +400,7 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool =
 
 def key_of(record_id: Column) -> Column:
     """The id that ``write_warc`` put into a record's name; null for a null or empty one."""
-    text = F.url_decode(F.regexp_extract(record_id, r"^urn:record:\d+:(.*)$", 1))
+    text = F.url_decode(F.regexp_extract(record_id, r"^urn:record:[^:]*:(.*)$", 1))
     return F.when(text != "", text)
 
 
