@@ -192,12 +192,13 @@ class _Member:
         if self.z.eof:
             return False
         raw = self.z.unconsumed_tail
-        if not raw:
-            if self.pos >= self.size:
-                raise ValueError("cut short")
+        if not raw and self.pos < self.size:
             raw = self.file.read_at(min(READ_BYTES, self.size - self.pos), self.pos)
             self.pos += len(raw)
-        self.held += self.z.decompress(raw, n)
+        out = self.z.decompress(raw, n)  # also with nothing left to read, output may be pending
+        if not raw and not out and not self.z.eof:
+            raise ValueError("cut short")
+        self.held += out
         if self.z.eof:
             self.end = self.pos - len(self.z.unused_data)
         return True
@@ -374,8 +375,7 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool =
                 ready.append({"path": r["path"], "offset": where, "error": fault})
                 return
             while m.held or m.more():  # several records in a member have its position
-                while m.held[:2] == b"\r\n":
-                    del m.held[:2]
+                del m.held[: len(m.held) - len(m.held.lstrip(b"\r\n"))]  # the line ends after a record may come apart
                 if m.held:
                     ready.append({"path": r["path"]} | _record(m, where, payload))
 

@@ -70,6 +70,15 @@ def test_false_members_inside_payloads(spark, tmp_path, range_bytes):
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
 
 
+def test_output_pending_at_the_end_of_a_file(spark, tmp_path):
+    """Records of all sizes around the pieces that are inflated at once, each the last of its archive."""
+    sizes = [*range(3200, 3900), *range(15900, 16200), *range(32400, 32600)]
+    for n in sizes:
+        (tmp_path / f"{n}.warc.gz").write_bytes(record(n, b"a" * n))
+    found = read_warc(warc_files(spark, str(tmp_path)).repartition(4)).collect()
+    assert sorted((r.record_id, r.payload_bytes, r.error) for r in found) == sorted((f"urn:r:{n}", n, None) for n in sizes)
+
+
 @pytest.mark.parametrize("range_bytes", [1 << 20, 150])
 def test_damage_costs_one_record(spark, tmp_path, range_bytes):
     parts = [bytearray(record(n, bytes([n]) * 500 + random.Random(n).randbytes(200))) for n in range(6)]
