@@ -238,8 +238,11 @@ def trace_sequence(records: DataFrame, step: Column | int = 1) -> DataFrame:
 
 
 def best_model_per_uid(models: DataFrame, *keys: str) -> DataFrame:
-    """The model of greatest R2 of each group; models that fit nothing are dropped, ties go by kind."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("r_square"), model_rank(F.col("model")))
+    """The model of greatest R2 of each group; models that fit nothing are dropped, ties (to nine digits) go by kind.
+
+    Over two sizes a line and its logarithmic form fit alike, and rounding alone must not choose.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.round("r_square", 9).desc(), model_rank(F.col("model")))
     return models.where("r_square > 0").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 

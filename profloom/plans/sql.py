@@ -168,7 +168,7 @@ _RANK = "CASE model WHEN 'exponential' THEN 0 WHEN 'linear' THEN 1 WHEN 'logarit
 
 
 def _best(source: str, keys: str) -> str:
-    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY r_square DESC, {_RANK}) AS k FROM {source} WHERE r_square > 0) WHERE k = 1)"
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(r_square, 9) DESC, {_RANK}) AS k FROM {source} WHERE r_square > 0) WHERE k = 1)"
 
 
 BEST_MODEL = f"SELECT profile_id, uid, model, round(r_square, 4) AS r_square FROM {_best(_FITS, 'profile_id, uid')}"
