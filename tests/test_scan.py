@@ -147,3 +147,21 @@ def test_kinds_of_ones_own(spark):
     assert {f.model for f in models.fit_all(pts, "uid", x="x", y="y").collect()} == {"linear", "logarithmic", "power", "exponential", "constant", "quadratic"}
     with pytest.raises(ValueError):
         models.fit(pts, "cubic", "uid", x="x", y="y")
+
+
+def operators_of(df):
+    """The operators of a plan, without what a checkpoint or cache inside it has run."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_groups_are_told_apart_without_a_shuffle_by_key(spark, series):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        calm, hot = scan.split_crowded(series, "uid", crowd=CROWD)
+        for part in (calm, hot):
+            assert "BroadcastHashJoin" in operators_of(part) and "SortMergeJoin" not in operators_of(part)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert calm.count() + hot.count() == series.count()
+    assert not {r.uid for r in calm.select("uid").distinct().collect()} & {r.uid for r in hot.select("uid").distinct().collect()}
