@@ -7,14 +7,20 @@ does not match, an open end) are found by aggregates and only they go to a stack
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+from operator import itemgetter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profloom.operators.graph import breadth_first
+from profloom.operators.graph import breadth_first, keep
 
 #: Record types of the raw trace format.
 FUNC_BEGIN, FUNC_END, USDT_SINGLE, USDT_BEGIN, USDT_END, THREAD_BEGIN, THREAD_END, PROCESS_BEGIN, PROCESS_END, CORRUPT = 0, 1, 4, 5, 6, 7, 8, 2, 3, 9
 
+#: Rows of a batch that a task hands back.
+_ROWS = 10_000
+
 _CALL = "tid {tid}, uid string, depth int, begin bigint, end bigint, amount bigint, parent_begin bigint, parent string"
 
 
@@ -36,17 +42,18 @@ def damaged_threads(records: DataFrame) -> DataFrame:
 
 
 def _pair_nested(records: DataFrame) -> DataFrame:
-    """Calls of well-formed threads: (tid, uid, depth, begin, end, amount, parent_begin, parent)."""
-    deep = _depths(records)
+    """Calls of well-formed threads: (tid, uid, depth, begin, end, amount, parent_begin, parent).
+
+    All windows are parts of a thread, so the records are shuffled once. The first call inside
+    another one stands right behind the begin of its parent; its later siblings, at the same
+    depth, take over what the first has found.
+    """
+    line = Window.partitionBy("tid").orderBy("timestamp", "step", "probe_id")
     level = Window.partitionBy("tid", "depth").orderBy("timestamp", "step", "probe_id")
-    deep = deep.withColumn("end", F.lead("timestamp").over(level)).where("step > 0")
-    # the parent is the last begin one level up before this one
-    up = deep.select("tid", (F.col("depth") + 1).alias("depth"), F.col("timestamp"), F.struct(F.col("timestamp").alias("b"), F.col("probe_id").alias("u")).alias("up"))
-    own = deep.select("tid", "depth", "timestamp", "probe_id", "end", F.lit(None).cast(up.schema["up"].dataType).alias("up"), F.lit(1).alias("kind"))
-    both = own.unionByName(up.withColumns({"probe_id": F.lit(None).cast("string"), "end": F.lit(None).cast("bigint"), "kind": F.lit(0)}))
-    seen = F.last("up", ignorenulls=True).over(Window.partitionBy("tid", "depth").orderBy("timestamp", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    calls = both.withColumn("p", seen).where("kind = 1")
-    return calls.select(
+    before = F.struct(F.lag("timestamp").over(line).alias("b"), F.lag("probe_id").over(line).alias("u"))
+    deep = _depths(records).withColumn("up", F.when((F.col("step") > 0) & (F.lag("step").over(line) > 0), before))
+    deep = deep.withColumn("end", F.lead("timestamp").over(level)).withColumn("p", F.last("up", ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, 0)))
+    return deep.where("step > 0").select(
         "tid", F.col("probe_id").alias("uid"), "depth", F.col("timestamp").alias("begin"), "end", (F.col("end") - F.col("timestamp")).alias("amount"), F.col("p.b").alias("parent_begin"), F.col("p.u").alias("parent")
     )
 
@@ -76,32 +83,52 @@ def stack_fold(rows, strict: bool = False):
 
 
 def pair_damaged(records: DataFrame, strict: bool = False) -> DataFrame:
-    """Calls by a stack per thread; threads are the units of work."""
+    """Calls by a stack per thread, over records sorted by thread and time."""
     kind = records.schema["tid"].dataType.simpleString()
 
-    def run(key, pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["timestamp", "step", "probe_id"], kind="stable")
-        rows = [(key[0], u, d, b, e, e - b, pb, p) for u, d, b, e, pb, p in stack_fold(zip(pdf["timestamp"], pdf["step"], pdf["probe_id"], strict=True), strict)]
-        out = pd.DataFrame(rows, columns=["tid", "uid", "depth", "begin", "end", "amount", "parent_begin", "parent"])
-        return out.astype({"parent_begin": "Int64"})
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        calls = ((tid, u, d, b, e, e - b, pb, p) for tid, own in groupby(rows, itemgetter(0)) for u, d, b, e, pb, p in stack_fold((r[1:] for r in own), strict))
+        while some := list(islice(calls, _ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
 
-    return records.select("tid", "timestamp", "step", "probe_id").groupBy("tid").applyInPandas(run, _CALL.format(tid=kind))
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(_CALL.format(tid=kind)))
+    order = [F.col(c).asc_nulls_last() for c in ("timestamp", "step", "probe_id")]
+    return records.select("tid", "timestamp", "step", "probe_id").repartition("tid").sortWithinPartitions("tid", *order).mapInArrow(run, _CALL.format(tid=kind))
 
 
 def pair_calls(records: DataFrame, strict: bool = False) -> DataFrame:
-    """(tid, uid, depth, begin, end, amount, parent_begin, parent) of (tid, timestamp, step, probe_id) records."""
-    bad = damaged_threads(records)
+    """(tid, uid, depth, begin, end, amount, parent_begin, parent) of (tid, timestamp, step, probe_id) records.
+
+    Which threads are damaged is settled once, before the calls are paired; where all are sound
+    nothing is joined and the records are read only once more.
+    """
+    bad = keep(damaged_threads(records))
+    if bad.isEmpty():
+        return _pair_nested(records)
     good = _pair_nested(records.join(bad, "tid", "left_anti"))
     return good.unionByName(pair_damaged(records.join(bad, "tid", "left_semi"), strict))
 
 
 def exclusive_time(calls: DataFrame) -> DataFrame:
-    """Calls with exclusive time: inclusive minus what direct callees took; and whether they call anything."""
-    kids = calls.where("parent_begin IS NOT NULL").groupBy("tid", (F.col("depth") - 1).alias("depth"), F.col("parent_begin").alias("begin")).agg(F.sum("amount").alias("inner"))
-    joined = calls.join(kids, ["tid", "depth", "begin"], "left")
-    return joined.withColumn("exclusive", F.col("amount") - F.coalesce("inner", F.lit(0))).withColumn("has_children", F.col("inner").isNotNull()).drop("inner")
+    """Calls with exclusive time: inclusive minus what direct callees took; and whether they call anything.
+
+    A call also gives its time to the place (thread, depth, begin) of its caller, where a window
+    adds up, so that the calls are made once and not joined with themselves.
+    """
+    place = lambda depth, begin, inner: F.struct(depth.alias("depth"), F.col(begin).alias("begin"), inner.alias("inner"))
+    own, given = place(F.col("depth"), "begin", F.lit(None).cast("bigint")), place(F.col("depth") - 1, "parent_begin", F.col("amount").cast("bigint"))
+    rows = calls.withColumn("_at", F.explode(F.array_compact(F.array(own, F.when(F.col("parent_begin").isNotNull(), given)))))
+    rows = rows.withColumns({"_depth": F.col("_at.depth"), "_begin": F.col("_at.begin"), "_inner": F.col("_at.inner")}).drop("_at")
+    inner = F.sum("_inner").over(Window.partitionBy("tid", "_depth", "_begin"))
+    joined = rows.withColumn("_sum", inner).where(F.col("_inner").isNull())
+    joined = joined.withColumn("exclusive", F.col("amount") - F.coalesce("_sum", F.lit(0))).withColumn("has_children", F.col("_sum").isNotNull())
+    return joined.drop("_depth", "_begin", "_inner", "_sum")
 
 
 def pair_usdt(records: DataFrame) -> DataFrame:

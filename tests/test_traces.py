@@ -153,3 +153,30 @@ def test_folded_lines(spark):
     assert [r.value for r in traces.folded_lines(df).collect()] == ["u;f;m 3"]
     assert [(r.stack, r.amount) for r in traces.fold_stacks(df.where("uid = 'u'")).collect()] == [("m;f;u", 3.0)]
     assert F is not None
+
+
+def test_calls_are_made_once(spark):
+    """Sound threads are paired, and get their exclusive time, in one pass over the records."""
+    rows = [(t, 10 * t + k, s, p) for t in range(3) for k, (s, p) in enumerate([(1, "a"), (1, "b"), (-1, "b"), (1, "b"), (1, "c"), (-1, "c"), (-1, "b"), (-1, "a")])]
+    records = spark.createDataFrame(rows, "tid long, timestamp long, step int, probe_id string")
+    found = calls.exclusive_time(calls.pair_calls(records))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+    of = {(r.tid, r.uid, r.depth, r.begin - 10 * r.tid): (r.amount, r.exclusive, r.has_children, r.parent) for r in found.collect()}
+    one = {("a", 1, 0): (7, 3, True, None), ("b", 2, 1): (1, 1, False, "a"), ("b", 2, 3): (3, 2, True, "a"), ("c", 3, 4): (1, 1, False, "b")}
+    assert of == {(t, *k): v for t in range(3) for k, v in one.items()}
+
+
+def test_damaged_threads_share_a_task(spark):
+    """Many small damaged threads, one without a number, next to a sound one: a stack each, also where batches end inside them."""
+    rows = [(t if t else None, k, s, p) for t in range(60) for k, (s, p) in enumerate([(1, "a"), (1, "b"), (-1, "a"), (-1, "b"), (1, "c")])] + [(100, 0, 1, "a"), (100, 4, -1, "a")]
+    records = spark.createDataFrame(rows, "tid long, timestamp long, step int, probe_id string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {tuple(r) for r in calls.pair_damaged(records).collect()}
+        plan = calls.pair_damaged(records)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == {(t or None, "a", 1, 0, 2, 2, None, None) for t in range(60)} | {(100, "a", 1, 0, 4, 4, None, None)}
+    assert "FlatMapGroupsInPandas" not in plan
