@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profloom.operators import scan
+from profloom.operators.graph import keep
 from profloom.operators.joins import self_pairs
 from profloom.operators.windows import moving_average
 
@@ -74,14 +76,36 @@ def regressogram(
     )
 
 
-def moving_average_model(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", window: int = 5, **options) -> DataFrame:
-    """A moving average as one model row per group; positions without an average count as 0."""
-    rows = moving_average(points, *keys, x=x, y=y, window=window, **options).withColumn("fit", F.coalesce("average", F.lit(0.0)))
-    rows = rows.withColumn("my", F.avg(y).over(Window.partitionBy(*keys)))
-    sq = lambda c: F.sum(c * c)
+def moving_average_model(points: DataFrame, *keys: str, x: str = "structure_unit_size", y: str = "amount", window: int = 5, length: int | None = None, **options) -> DataFrame:
+    """A moving average as one model row per group; positions without an average count as 0.
+
+    ``bucket_stats`` is the whole curve, which one task must hold. With ``length`` the curve comes
+    in pieces of so many positions at most, a row each, numbered by ``piece``; all else in these
+    rows is the whole group's.
+    """
+    fit = F.coalesce("average", F.lit(0.0))
     stats = F.transform(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "fit"))), lambda p: p["fit"])
-    found = rows.groupBy(*keys).agg(F.min(x).alias("x_start"), F.max(x).alias("x_end"), stats.alias("bucket_stats"), sq(F.col(y) - F.col("fit")).alias("sse"), sq(F.col(y) - F.col("my")).alias("tss"))
-    return found.select(*keys, "x_start", "x_end", "bucket_stats", F.lit(window).alias("window_width"), (1 - F.try_divide(F.col("sse"), F.col("tss"))).alias("r_square"))
+    sums = [F.min(x).alias("x_start"), F.max(x).alias("x_end"), F.sum((F.col(y) - F.col("fit")) * (F.col(y) - F.col("fit"))).alias("sse")]
+    r_square = (1 - F.try_divide(F.col("sse"), F.col("tss"))).alias("r_square")
+    if length is None:
+        rows = moving_average(points, *keys, x=x, y=y, window=window, **options).withColumn("fit", fit)
+        found = rows.groupBy(*keys).agg(*sums, stats.alias("bucket_stats"), (F.count(y) * F.var_pop(y)).alias("tss"))
+        return found.select(*keys, "x_start", "x_end", "bucket_stats", F.lit(window).alias("window_width"), r_square)
+    if options.get("method") == "ema":
+        rows = moving_average(points, *keys, x=x, y=y, window=window, **options)
+        rows = scan.numbered(rows, *keys, order=[x, y], crowd=options.get("crowd")).withColumnRenamed("row", "_row")
+    else:
+        rows = moving_average(points, *keys, x=x, y=y, window=window, row="_row", **options)
+    stats = F.transform(F.array_sort(F.collect_list(F.struct("_row", "fit"))), lambda p: p["fit"])
+    rows = rows.withColumn("fit", fit).withColumn("piece", F.expr(f"_row div {length}"))
+    pieces = keep(rows.groupBy(*keys, "piece").agg(*sums, stats.alias("bucket_stats"), F.count(y).alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy")))
+    group = Window.partitionBy(*keys)  # of a row per piece, without the curve
+    off = F.col("my") - F.try_divide(F.sum(F.col("n") * F.col("my")).over(group), F.sum("n").over(group))
+    about = pieces.drop("bucket_stats").withColumn("tss", F.col("n") * (F.col("vy") + off * off))
+    about = about.groupBy(*keys).agg(F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end"), F.sum("sse").alias("sse"), F.sum("tss").alias("tss"))
+    about = about.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "x_start", "x_end", F.lit(window).alias("window_width"), r_square)
+    curve = pieces.select(*keys, "piece", "bucket_stats")
+    return curve.join(about, scan.same_keys(curve, about, keys, "_of_")).select(*keys, "piece", "x_start", "x_end", "bucket_stats", "window_width", "r_square")
 
 
 #: Reach of each kernel in bandwidths; beyond it the normal ones are under 1e-16 of their top, too little for a double's sum.

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from profloom.operators import joins, models, scan, windows
+from profloom.operators import joins, models, nonparam, scan, windows
 
 CROWD = 40
 
@@ -165,3 +165,16 @@ def test_crowded_groups_are_told_apart_without_a_shuffle_by_key(spark, series):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert calm.count() + hot.count() == series.count()
     assert not {r.uid for r in calm.select("uid").distinct().collect()} & {r.uid for r in hot.select("uid").distinct().collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"method": "ema", "alpha": 0.3}])
+def test_curve_in_pieces_is_the_whole_curve(series, options):
+    wide = series.where("uid IS NOT NULL").withColumn("k", F.col("x") * 1000 + F.col("id"))
+    whole = {r.uid: r for r in nonparam.moving_average_model(wide.where("y IS NOT NULL"), "uid", x="k", y="y", window=3, **options).collect()}
+    pieces = nonparam.moving_average_model(wide.where("y IS NOT NULL"), "uid", x="k", y="y", window=3, length=50, crowd=CROWD, **options).orderBy("piece").collect()
+    assert max(len(r.bucket_stats) for r in pieces) == 50
+    for uid, w in whole.items():
+        mine = [r for r in pieces if r.uid == uid]
+        assert [v for r in mine for v in r.bucket_stats] == pytest.approx(w.bucket_stats, abs=1e-9)
+        assert {(r.x_start, r.x_end, r.window_width) for r in mine} == {(w.x_start, w.x_end, w.window_width)}
+        assert all(r.r_square == pytest.approx(w.r_square, abs=1e-9) for r in mine)
