@@ -180,3 +180,17 @@ def test_damaged_threads_share_a_task(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found == {(t or None, "a", 1, 0, 2, 2, None, None) for t in range(60)} | {(100, "a", 1, 0, 4, 4, None, None)}
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_rounds_do_not_make_the_edges_anew(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chain = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(5)], "caller string, callee string").coalesce(1)
+    found = graph.reachable_from(chain.mapInArrow(count, chain.schema), "f0")
+    assert sorted((r.func, r.level) for r in found.collect()) == [(f"f{i}", i) for i in range(6)]
+    assert made.value == 5
