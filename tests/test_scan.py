@@ -178,3 +178,17 @@ def test_curve_in_pieces_is_the_whole_curve(series, options):
         assert [v for r in mine for v in r.bucket_stats] == pytest.approx(w.bucket_stats, abs=1e-9)
         assert {(r.x_start, r.x_end, r.window_width) for r in mine} == {(w.x_start, w.x_end, w.window_width)}
         assert all(r.r_square == pytest.approx(w.r_square, abs=1e-9) for r in mine)
+
+
+def test_narrow_rounds_move_no_points(spark, series):
+    """Rows with their neighbours give the errors that rows give which look up their sums, without a shuffle of points."""
+    pts = series.where("uid = 'hot' AND y IS NOT NULL").select("uid", "x", "y")
+    rows = scan.stretches(pts, "uid", order=["x", "y"], value="y", length=64, crowd=CROWD)
+    rows = rows.withColumn("ahead", F.expr("coalesce(sum(aggregate(ys, 0D, (a, v) -> a + v)) over (partition by uid order by stretch rows between unbounded preceding and 1 preceding), 0D)")).cache()
+    near = windows._with_neighbours(rows, ("uid",)).cache()
+    for width in (1, 2, 63, 64, 127, 128):
+        open_ = spark.createDataFrame([("hot", width, 1.0)], "uid string, width int, spread double")
+        wanted = windows._squared_errors(rows, open_, ("uid",), 64).collect()
+        found = windows._near_errors(near, open_, ("uid",), 64)
+        assert [r.sse for r in found.collect()] == pytest.approx([r.sse for r in wanted], rel=1e-12)
+    assert "SortMergeJoin" not in operators_of(found) and operators_of(found).count("MapInArrow") >= 1
