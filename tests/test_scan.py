@@ -192,3 +192,19 @@ def test_narrow_rounds_move_no_points(spark, series):
         found = windows._near_errors(near, open_, ("uid",), 64)
         assert [r.sse for r in found.collect()] == pytest.approx([r.sse for r in wanted], rel=1e-12)
     assert "SortMergeJoin" not in operators_of(found) and operators_of(found).count("MapInArrow") >= 1
+
+
+def test_bisection_numbers_the_points_once(series, monkeypatch):
+    calls, numbered = [], scan.numbered
+    monkeypatch.setattr(scan, "numbered", lambda *a, **k: calls.append(a) or numbered(*a, **k))
+    found = models.fit_bisection(series, "uid", x="x", y="y", crowd=CROWD).collect()
+    assert max(r.segment.count(".") for r in found) > 2
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize(("crowd", "few"), [(CROWD, 100_000), (CROWD, 0), (None, 0)])
+def test_bisection_is_the_same_by_any_way(series, monkeypatch, crowd, few):
+    rows = lambda df: sorted((str(r.uid), r.segment, r.model, r.n, r.x_start, r.x_end) for r in df.collect())
+    wanted = rows(models.fit_bisection(series, "uid", x="x", y="y"))
+    monkeypatch.setattr(models, "_BROADCAST", few)
+    assert rows(models.fit_bisection(series, "uid", x="x", y="y", crowd=crowd)) == wanted
