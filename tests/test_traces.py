@@ -194,3 +194,16 @@ def test_rounds_do_not_make_the_edges_anew(spark):
     found = graph.reachable_from(chain.mapInArrow(count, chain.schema), "f0")
     assert sorted((r.func, r.level) for r in found.collect()) == [(f"f{i}", i) for i in range(6)]
     assert made.value == 5
+
+
+def test_wrappers_need_no_exclusive_times(spark, same_as_duckdb, tmp_path, monkeypatch):
+    """All that a user with one event calls only wraps; the query just pairs its calls."""
+    from profloom.plans import catalog
+
+    rows = [(i, f"2024-01-{d:02d} {h:02d}:05:00", u, k, 1.0, '{"k": 1}') for i, (u, d, h, k) in enumerate([(1, 1, 4, "view"), (2, 1, 4, "view"), (2, 2, 5, "click"), (2, 2, 6, "view"), (3, 7, 8, "error")])]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    (tmp_path / "t").mkdir()
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).toPandas().to_parquet(tmp_path / "t" / "events.parquet", coerce_timestamps="us")
+    monkeypatch.setattr(calls, "exclusive_time", None)
+    found = same_as_duckdb(catalog.QUERIES["filter_wrappers"], catalog.ORACLES["filter_wrappers"], str(tmp_path / "t"))
+    assert sorted(found) == [("click-2",), ("error-3",), ("hour1-1",), ("hour2-3",), ("view-1",)]
