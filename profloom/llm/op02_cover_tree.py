@@ -3,16 +3,19 @@
 On unit vectors, cosine >= c is distance <= sqrt(2 - 2c). The top levels of one cover tree
 are nets of a bounded sample, each point as far from those before it as can be; the finest of
 at most ``PIVOTS`` centres, as many as the blocks call for, splits all vectors into cells.
-Each block of a cell grows its own subtree: nested levels whose radii halve, every node with
+Each block of a cell grows its own subtree, once: nested levels whose radii halve, every node with
 the covering radius that it really has. Pairs of cells (before any vector moves), then pairs
 of nodes, are dropped when their centres lie further apart than both covering radii and the
-threshold together; what is left at the leaves is decided by the cosine in double precision.
-
-Scale: equal vectors collapse to one weighted representative first. A cell that holds more
-rows than a block, as around a frequent vector, is several blocks. Every surviving pair of
-blocks is one unit of work, so memory per task is two blocks; vectors are sent to the blocks
-that their cell may touch. In
-high dimension without clusters bounds prune little and work grows with the square of the
+threshold together, and linked whole when even their furthest members lie within it. Centres
+are first compared in single precision along the sample's principal axes, of which part of a
+distance is a lower bound; what is left at the leaves is decided by the cosine in double precision.
+
+Scale: equal vectors collapse to one weighted representative first, by a digest of 128 bits, so that
+only the representatives' vectors are moved. A cell that holds more
+rows than a block, as around a frequent vector, is several blocks. Blocks are stored once and
+dealt into shares; a task holds two shares against one another, which come to it block by block,
+so disk grows with the vectors and memory per task is two shares. In
+high dimension without clusters bounds prune little and time grows with the square of the
 number of distinct vectors, as any exact method's does. Of links, a task hands on counts
 and one spanning edge per linked vector, never pairs.
 
@@ -32,18 +35,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from profloom.llm.common import components, cut, table
+from profloom.llm.common import components, cut, discard, mix64, partitions, table
 
 COSINE = 0.95
 #: Bounds: vectors of the sample that places the centres, centres, rows of a block, rows of a leaf.
 SAMPLE, PIVOTS, BLOCK, LEAF = 4096, 256, 4096, 64
-#: Kept from every bound, for rounding.
-SLACK = 1e-9
+#: Numbers of a block at most (rows go down to 256 for that), blocks of a share, classes that are broadcast.
+NUMBERS, SHARE, BROADCAST = 1 << 20, 32, 100_000
+#: Kept from every bound, for rounding: of distances, and of squares in single precision.
+SLACK, ROUGH = 1e-7, 2e-5
+#: Distances that are compared at once, and pairs that are decided at once.
+CHUNK, GATHER = 1 << 19, 1 << 14
+NODE = np.dtype([("lo", "<i4"), ("hi", "<i4"), ("first", "<i4"), ("kids", "<i4"), ("radius", "<f8")])
 
 
 def units(x: np.ndarray) -> np.ndarray:
     """Rows of length one; a row of zeros stays."""
+    x = x.astype(np.float64, copy=False)
     x = x / np.where((top := np.abs(x).max(axis=1, initial=0.0)) > 0, top, 1.0)[:, None]
     return x / np.where((size := np.linalg.norm(x, axis=1)) > 0, size, 1.0)[:, None]
 
@@ -52,146 +62,297 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-@dataclass
-class Node:
-    centre: int
-    radius: float
-    members: np.ndarray
-    children: list[Node]
-
-
-def grow(x: np.ndarray, members: np.ndarray, radius: float, least: float) -> Node:
-    """A node over ``members`` (the first is its centre), split by a net of half the radius."""
-    reach = distances(x[members], x[members[:1]])[:, 0]
-    node = Node(int(members[0]), float(reach.max(initial=0.0)), members, [])
-    if len(members) <= LEAF or node.radius <= least:
-        return node
-    half = min(radius, node.radius) / 2
-    left = members
+def net(x: np.ndarray, members: np.ndarray, half: float) -> list[np.ndarray]:
+    """``members`` in groups around the first of each, ``half`` at most from it and further from all firsts before."""
+    groups, left = [], members
     while len(left):
-        near = distances(x[left], x[left[:1]])[:, 0] <= half
-        near[0] = True
-        node.children.append(Node(int(left[0]), 0.0, left[near], []) if near.sum() == 1 else grow(x, left[near], half, least))
-        left = left[~near]
-    return node
-
-
-def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, far: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(members of a, members of b) of the leaf pairs that may hold links; all children of a pair at once."""
-    stack = [(a, b)]
-    while stack:
-        p, q = stack.pop()
-        if not p.children and not q.children:
-            yield p.members, q.members
+        tried = min(256, len(left))
+        near = (distances(x[left[:tried]], x[left]) <= half).copy()
+        free = np.ones(len(left), bool)
+        for k in range(tried):
+            if free[k]:
+                mine = near[k] & free
+                mine[k] = False
+                free &= ~mine
+                free[k] = False
+                groups.append(np.concatenate((left[k : k + 1], left[mine])))
+        left = left[free]
+    return groups
+
+
+def grow(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows, nodes) of the tree over unit rows ``x``.
+
+    In that order a node's members are the rows from ``lo`` to ``hi`` and its centre is the first;
+    its children are the ``kids`` nodes from ``first`` on. Nodes of a few rows or of no more than
+    the radius ``least`` are not split.
+    """
+    members, bounds, nodes = [np.arange(len(x))], [2.0], []
+    order = np.arange(len(x))
+    starts = [0]
+    k = 0
+    while k < len(members):
+        own, lo = members[k], starts[k]
+        reach = float(distances(x[own], x[own[:1]]).max(initial=0.0)) if len(own) > 1 else 0.0
+        groups = []
+        if len(own) > LEAF and reach > least:
+            half = min(bounds[k], reach) / 2
+            groups = net(x, own, half)
+            at = lo + np.cumsum([0, *map(len, groups)])
+            starts += at[:-1].tolist()
+            bounds += [half] * len(groups)
+        else:
+            order[lo : lo + len(own)] = own
+        nodes.append((lo, lo + len(own), len(members), len(groups), reach))
+        members += groups
+        members[k] = None
+        k += 1
+    return order, np.array(nodes, NODE)
+
+
+@dataclass
+class Block:
+    """Vectors in the order of their tree; ``z`` are parts of them along some axes, ``square`` those parts' squared lengths."""
+
+    ids: np.ndarray
+    weights: np.ndarray
+    x: np.ndarray
+    nodes: np.ndarray
+    z: np.ndarray
+    square: np.ndarray
+
+
+def block_of(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, nodes: np.ndarray, axes: np.ndarray | None) -> Block:
+    z = (units(x) if axes is None else units(x) @ axes).astype(np.float32)
+    return Block(ids, weights, x, nodes, z, np.einsum("ij,ij->i", z, z))
+
+
+def _near(a: Block, p: np.ndarray, b: Block, q: np.ndarray, far: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, cosine of the centres) of all pairs of nodes p[i], q[j] that may hold links, and of some that may not."""
+    i0, j0 = a.nodes["lo"][p], b.nodes["lo"][q]
+    rp, rq = a.nodes["radius"][p], b.nodes["radius"][q]
+    n = len(j0)
+    left = np.column_stack((-2 * a.z[i0], np.ones(len(i0), np.float32), a.square[i0]))
+    right = np.ascontiguousarray(np.column_stack((b.z[j0], b.square[j0], np.ones(n, np.float32))).T)
+    step = max(1, CHUNK // n)
+    room, flags = np.empty(min(step, len(i0)) * n, np.float32), np.zeros(-(-min(step, len(i0)) * n // 8) * 8, bool)
+    for lo in range(0, len(i0), step):
+        rows = min(step, len(i0) - lo)
+        square = np.matmul(left[lo : lo + rows], right, out=room[: rows * n].reshape(rows, n))
+        bound = far + rp[lo : lo + rows, None] + rq[None, :] if rq.any() else far + rp[lo : lo + rows, None] if rp.any() else np.array(far)
+        flags[rows * n :] = False
+        np.less_equal(square, (bound * bound + ROUGH).astype(np.float32), out=flags[: rows * n].reshape(rows, n))
+        eights = np.flatnonzero(flags.view(np.uint64))  # most have none
+        if not len(eights):
             continue
-        ps, qs = p.children or [p], q.children or [q]
-        rp, rq = (np.array([n.radius for n in side]) for side in (ps, qs))
-        cq = y[[n.centre for n in qs]]
-        plain_p, plain_q = (np.array([not n.children and len(n.members) == 1 for n in side]) for side in (ps, qs))
-        for lo in range(0, len(ps), 512):
-            d = distances(x[[n.centre for n in ps[lo : lo + 512]]], cq)
-            i, j = np.nonzero(d <= far + rp[lo : lo + 512, None] + rq[None, :] + SLACK)
-            if same and p is q:
-                keep = i + lo <= j
-                i, j = i[keep], j[keep]
-            single = plain_p[i + lo] & plain_q[j]
-            for u, v in zip(i[single] + lo, j[single], strict=True):
-                yield ps[u].members, qs[v].members
-            stack.extend((ps[u], qs[v]) for u, v in zip(i[~single] + lo, j[~single], strict=True))
-
-
-def linked(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted link counts of x's and y's rows, and a label over both (rows of x first) that linked rows share."""
-    far = float(np.sqrt(2 - 2 * cosine))
-    ta = grow(x, np.arange(len(x)), 2.0, far / 4)
-    tb = ta if same else grow(y, np.arange(len(y)), 2.0, far / 4)
-    nx, ny = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-    label = np.arange(len(x) + (0 if same else len(y)))
-    shift = 0 if same else len(x)
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, j in dual(x, ta, y, tb, far, same):
-        hit = x[i] @ y[j].T >= cosine
-        inner = same and np.array_equal(i, j)
-        if inner:
-            np.fill_diagonal(hit, False)
-        if not hit.any():
+        at = (eights[:, None] * 8 + np.arange(8)).ravel()
+        at = at[flags[at]]
+        i, j = np.divmod(at, n)
+        if 8 * len(at) > rows * n:
+            yield i + lo, j, (units(a.x[i0[lo : lo + rows]]) @ units(b.x[j0]).T).ravel()[at]
             continue
-        nx[i] += hit @ wy[j]
+        for k in range(0, len(at), GATHER):
+            u, v = i[k : k + GATHER] + lo, j[k : k + GATHER]
+            yield u, v, np.einsum("ij,ij->i", units(a.x[i0[u]]), units(b.x[j0[v]]))
+
+
+def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Rows u[k] and v[k] get one label, the smallest row's that they are linked with; labels are so before and after."""
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while not np.array_equal(new := label[label], label):
+            label[:] = new
+
+
+class Links:
+    """Weighted link counts of the rows of some blocks, and labels that linked rows share."""
+
+    def __init__(self, cosine: float) -> None:
+        self.cosine, self.far = cosine, float(np.sqrt(2 - 2 * cosine))
+        self.starts: dict[int, int] = {}
+        self.ids = self.n = self.label = np.zeros(0, np.int64)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def start(self, name: int, block: Block) -> int:
+        """The place of the block's first row."""
+        if name not in self.starts:
+            self.starts[name] = len(self.ids)
+            self.label = np.concatenate((self.label, len(self.ids) + np.arange(len(block.ids))))
+            self.ids = np.concatenate((self.ids, block.ids))
+            self.n = np.concatenate((self.n, np.zeros(len(block.ids), np.int64)))
+        return self.starts[name]
+
+    def edge(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.edges.append((u, v))
+        self.waiting += len(u)
+        if self.waiting > 1 << 18:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.edges:
+            _merge(self.label, *map(np.concatenate, zip(*self.edges, strict=True)))
+        self.edges, self.waiting = [], 0
+
+    def table(self) -> pa.RecordBatch:
+        self.settle()
+        keep = np.flatnonzero(self.n > 0)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[keep]), pa.array(self.n[keep]), pa.array(self.ids[self.label[keep]])], ["id", "n", "to"])
+
+    def leaf(self, a: Block, i: slice, at: int, b: Block, j: slice, bt: int, inner: bool) -> None:
+        """Rows i of a with rows j of b; inner: they are the same rows."""
+        y = units(b.x[j])
+        step = max(1, CHUNK // len(y))
+        for lo in range(i.start, i.stop, step):
+            rows = slice(lo, min(i.stop, lo + step))
+            hit = units(a.x[rows]) @ y.T >= self.cosine
+            if inner:
+                hit[np.arange(rows.stop - lo), np.arange(lo, rows.stop) - j.start] = False
+            if not hit.any():
+                continue
+            some = hit.astype(np.float64)
+            self.n[at + lo : at + rows.stop] += (some @ b.weights[j]).astype(np.int64)
+            if not inner:
+                self.n[bt + j.start : bt + j.stop] += (a.weights[rows] @ some).astype(np.int64)
+            top = np.arange(hit.shape[1])
+            own = np.arange(hit.shape[0]) + hit.shape[1]  # labels inside this pair, until they stand
+            while True:
+                new = np.minimum(own, np.where(hit, top[None, :], own[:, None]).min(1))
+                newer = np.minimum(top, np.where(hit, new[:, None], top[None, :]).min(0))
+                if (new == own).all() and (newer == top).all():
+                    break
+                own, top = new, newer
+            linked = np.flatnonzero(own < hit.shape[1])
+            self.edge(np.concatenate((at + lo + linked, bt + j.start + np.arange(len(top)))), np.concatenate((bt + j.start + own[linked], bt + j.start + top)))
+
+    def whole(self, a: Block, i: slice, at: int, b: Block, j: slice, bt: int, inner: bool) -> None:
+        """All of rows i of a link with all of rows j of b."""
+        u, v = np.arange(at + i.start, at + i.stop), np.arange(bt + j.start, bt + j.stop)
+        self.n[u] += int(b.weights[j].sum()) - (a.weights[i] if inner else 0)
         if not inner:
-            ny[j] += hit.T @ wx[i]
-        top = np.arange(len(j))
-        own = np.arange(len(i)) + len(j)  # labels inside this leaf pair, until they stand
-        while True:
-            new = np.minimum(own, np.where(hit, top[None, :], own[:, None]).min(1))
-            newer = np.minimum(top, np.where(hit, new[:, None], top[None, :]).min(0))
-            if (new == own).all() and (newer == top).all():
-                break
-            own, top = new, newer
-        edges.append((np.concatenate((i[own < len(j)], j + shift)), np.concatenate((j[own[own < len(j)]] + shift, j[top] + shift))))
-    if edges:
-        u, v = map(np.concatenate, zip(*edges, strict=True))
-        while True:
-            least = label.copy()
-            np.minimum.at(least, u, label[v])
-            np.minimum.at(least, v, label[u])
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
-    return nx + ny if same else nx, ny, label
-
-
-def _place(pivots: np.ndarray | None, dims: int):
-    """(id, cell, distance to its centre) of each usable vector; others have a null cell."""
+            self.n[v] += int(a.weights[i].sum())
+            self.edge(v, np.full(len(v), u[0]))
+        self.edge(u, np.full(len(u), v[0]))
+
+    def add(self, a: Block, a_name: int, b: Block, b_name: int) -> None:
+        """Dual traversal of two blocks' trees, or of one with itself; all children of a pair of nodes at once."""
+        same = a_name == b_name
+        at, bt = self.start(a_name, a), self.start(b_name, b)
+        stack = [(0, 0)]
+        while stack:
+            p, q = stack.pop()
+            (lo, hi, first, kids, _), (low, high, least, less, _) = a.nodes[p].item(), b.nodes[q].item()
+            if not kids and not less:
+                self.leaf(a, slice(lo, hi), at, b, slice(low, high), bt, same and p == q)
+                continue
+            ps = np.arange(first, first + kids) if kids else np.array([p])
+            qs = np.arange(least, least + less) if less else np.array([q])
+            one_p, one_q = (side.nodes["hi"][x] - side.nodes["lo"][x] == 1 for side, x in ((a, ps), (b, qs)))
+            for us, vs, plain in ((ps[one_p], qs[one_q], True), (ps[~one_p], qs[one_q], False), (ps[one_p], qs[~one_q], False), (ps[~one_p], qs[~one_q], False)):
+                if not len(us) or not len(vs):
+                    continue
+                for i, j, c in _near(a, us, b, vs, self.far):
+                    u, v = us[i], vs[j]
+                    if plain:
+                        hit = c >= self.cosine
+                        if same and p == q:
+                            hit &= u < v
+                        u, v = a.nodes["lo"][u[hit]], b.nodes["lo"][v[hit]]
+                        if len(u):
+                            np.add.at(self.n, at + u, b.weights[v])
+                            np.add.at(self.n, bt + v, a.weights[u])
+                            self.edge(at + u, bt + v)
+                        continue
+                    d, reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * c)), a.nodes["radius"][u] + b.nodes["radius"][v]
+                    keep = d <= self.far + reach + SLACK
+                    if same and p == q:
+                        keep &= u <= v
+                    for x, y, near in zip(u[keep].tolist(), v[keep].tolist(), (d + reach <= self.far - SLACK)[keep].tolist(), strict=True):
+                        if near:
+                            (lo, hi, *_), (low, high, *_) = a.nodes[x].item(), b.nodes[y].item()
+                            self.whole(a, slice(lo, hi), at, b, slice(low, high), bt, same and x == y)
+                        else:
+                            stack.append((x, y))
+
+
+def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = distances(units(x), pivots)
+    return d.argmin(1), d.min(1)
+
+
+def _count(pivots: np.ndarray, dims: int):
+    """(cell, rows) of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n = np.unique(_cells(_matrix(batch.column("v"), dims), pivots)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], ["cell", "rows"])
+
+    return run
+
+
+def _deal(pivots: np.ndarray, dims: int, parts: np.ndarray):
+    """(id, n, cell, distance to its centre, part of the cell, vector's bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            good = [i for i, r in enumerate(rows) if r is not None and len(r) == dims and None not in r]
-            cell, far = np.full(len(rows), -1), np.zeros(len(rows))
-            if good:
-                x = np.array([rows[i] for i in good], np.float64)
-                ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
-                d = distances(units(x[ok]), pivots)
-                at = np.array(good)[ok]
-                cell[at], far[at] = d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*batch.schema.names, "cell", "far"])
+            x = _matrix(batch.column("v"), dims)
+            cell, far = _cells(x, pivots)
+            part = (mix64(batch.column("id").to_numpy().astype(np.uint64)) % parts[cell].astype(np.uint64)).astype(np.int32)
+            ends = pa.py_buffer((np.arange(len(x) + 1) * x.itemsize * dims).astype(np.int32))
+            data = pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(part), data], ["id", "n", "cell", "far", "part", "v"])
 
     return run
 
 
-def _pack(key: tuple, block: pa.Table) -> pa.Table:
-    """One row per block: ids, weights and vectors side by side."""
-    order = np.argsort(block.column("id").to_numpy())
-    block = block.take(pa.array(order))
-    vectors = np.array(block.column("v").to_pylist(), np.float64)
-    one = lambda x, kind: pa.array([x], kind)
-    return pa.table(
-        {
-            "cell": one(key[0].as_py(), pa.int32()), "part": one(key[1].as_py(), pa.int32()), "ids": one(block.column("id").to_pylist(), pa.list_(pa.int64())),
-            "weights": one(block.column("n").to_pylist(), pa.list_(pa.int64())), "data": one(vectors.tobytes(), pa.binary()),
-        }
-    )
+def _pack(kind: str, dims: int, least: float):
+    """One row per block: ids, weights and vectors side by side in the order of its tree, and the tree."""
 
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(-1, dims)
+        order, nodes = grow(units(x), least)
+        one = lambda x: pa.array([x.tobytes()], pa.binary())
+        cell, part = key[0].as_py(), key[1].as_py()
+        return pa.table(
+            {
+                "block": pa.array([cell << 32 | part], pa.int64()), "cell": pa.array([cell], pa.int32()), "far": pa.array([rows.column("far").to_numpy().max()]),
+                "ids": one(rows.column("id").to_numpy()[order]), "weights": one(rows.column("n").to_numpy()[order]), "data": one(x[order]), "nodes": one(nodes),
+            }
+        )
 
-def _unpacked(batch: pa.RecordBatch, side: str, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    get = lambda name: batch.column(batch.schema.get_field_index(f"{name}_{side}"))[i]
-    ids, weights = np.asarray(get("ids").values), np.asarray(get("weights").values)
-    x = np.frombuffer(get("data").as_buffer(), np.float64).reshape(len(ids), -1)
-    return ids, weights, units(x)
+    return run
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str, axes: np.ndarray | None):
+    """Links among the pairs of blocks of a task; what is made of a block is kept, but for its vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, made = Links(cosine), {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                (ia, wa, x), (ib, wb, y) = (_unpacked(batch, s, i) for s in "ab")
-                same = batch.column(batch.schema.get_field_index("same"))[i].as_py()
-                na, nb, label = linked(x, wa, y, wb, cosine, same)
-                ids = ia if same else np.concatenate((ia, ib))
-                n = na if same else np.concatenate((na, nb))
-                keep = np.flatnonzero(n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep]), pa.array(ids[label[keep]])], ["id", "n", "to"])
+            for k in range(batch.num_rows):
+                get = lambda name: batch.column(name)[k]  # noqa: B023, E731
+                pair = []
+                for s in "ab":
+                    name = get(f"block_{s}").as_py()
+                    ids, weights = (np.frombuffer(get(f"{c}_{s}").as_buffer(), np.int64) for c in ("ids", "weights"))
+                    x = np.frombuffer(get(f"data_{s}").as_buffer(), kind).reshape(len(ids), -1)
+                    nodes = np.frombuffer(get(f"nodes_{s}").as_buffer(), NODE)
+                    if name not in made:
+                        block = block_of(ids, weights, x, nodes, axes)
+                        made[name] = block.z, block.square
+                    pair += [Block(ids, weights, x, nodes, *made[name]), name]
+                links.add(*pair)
+        yield links.table()
 
     return run
 
@@ -205,6 +366,22 @@ def centres(sample: np.ndarray, most: int, least: float) -> np.ndarray:
     return sample[chosen]
 
 
+def principal(sample: np.ndarray, far: float) -> np.ndarray | None:
+    """Axes of most variance, as many as make comparing cheapest; None where all components are."""
+    dims = sample.shape[1]
+    rng = np.random.default_rng(0)
+    flat = sample - sample.mean(axis=0)
+    axes = rng.normal(size=(dims, min(dims, 256)))
+    for _ in range(3):
+        axes = np.linalg.qr(flat.T @ (flat @ axes))[0]
+    axes = axes @ np.linalg.eigh((flat @ axes).T @ (flat @ axes))[1][:, ::-1]
+    i, j = rng.integers(0, len(sample), (2, 10_000))
+    passed = (np.cumsum(((sample[i] - sample[j]) @ axes)[i != j] ** 2, axis=1) <= far * far).mean(axis=0) if (i != j).any() else np.ones(axes.shape[1])
+    costs = {k: 33 + k + 180 * dims * passed[k - 1] for k in range(8, axes.shape[1] + 1, 8)} | {dims: 33 + dims}
+    best = min(costs, key=costs.get)
+    return None if best == dims else np.ascontiguousarray(axes[:, :best])
+
+
 def _sound(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
 
@@ -213,11 +390,12 @@ def _links_of_few(cosine: float):
     """All links among the vectors of one length, where they make no more than a block."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
-        x = units(np.array(rows.column("v").to_pylist(), np.float64))
-        found, _, label = linked(x, n, x, n, cosine, True)
-        keep = np.flatnonzero(found > 0)
-        return pa.table({"id": ids[keep], "n": found[keep], "to": ids[label[keep]]})
+        x = _matrix(rows.column("v").combine_chunks(), rows.column("dims")[0].as_py())
+        order, nodes = grow(units(x), np.sqrt(2 - 2 * cosine) / 4)
+        block = block_of(rows.column("id").to_numpy()[order], rows.column("n").to_numpy()[order], x[order], nodes, None)
+        links = Links(cosine)
+        links.add(block, 0, block, 0)
+        return pa.Table.from_batches([links.table()])
 
     return run
 
@@ -226,55 +404,70 @@ def _links_of_many(heads: DataFrame, dims: int, total: int, cosine: float) -> Da
     """(id, n, to): counts of links and spanning edges among ``heads(id, v, n)``, all of one length, by cells and blocks."""
     spark = heads.sparkSession
     limit = float(np.sqrt(2 - 2 * cosine))
+    size = min(BLOCK, max(256, NUMBERS // dims))
+    kind = "<f4" if heads.schema["v"].dataType.elementType == T.FloatType() else "<f8"
     share = min(1.0, 0.9 * SAMPLE / max(1, total))
-    drawn = heads.where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1_000_000)) < share * 1_000_000).select("v").limit(SAMPLE)
-    sample = np.array([r.v for r in drawn.collect()] or [[1.0] * dims], np.float64)
-    pivots = centres(units(sample), min(PIVOTS, max(16, 2 * -(-total // BLOCK))), limit / 2)
-
-    kinds = "id long, v array<double>, n long"
-    placed = cut(heads.mapInArrow(_place(pivots, dims), f"{kinds}, cell int, far double").where("cell >= 0"))
-    about = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("far"))
-    cells = {r.cell: r.far for r in about.collect()}  # at most PIVOTS rows
-    parts = about.select("cell", F.ceil(F.col("rows") / BLOCK).alias("parts"))
-    dealt = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
-    blocks = cut(dealt.select("id", "v", "n", "cell", "part").groupBy("cell", "part").applyInArrow(_pack, "cell int, part int, ids array<long>, weights array<long>, data binary"))
+    drawn = heads.where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1_000_000)) < share * 1_000_000).select("v").limit(SAMPLE).toArrow()
+    sample = units(_matrix(drawn.column("v").combine_chunks(), dims) if drawn.num_rows else np.ones((1, dims)))
+    pivots, axes = centres(sample, min(PIVOTS, max(16, 2 * -(-total // size))), limit / 2), principal(sample, limit)
+
+    parts = np.ones(len(pivots), np.int64)
+    for r in heads.select("v").mapInArrow(_count(pivots, dims), "cell int, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():  # at most PIVOTS rows
+        parts[r.cell] = -(-r.rows // size)
+    dealt = heads.select("id", "v", "n").mapInArrow(_deal(pivots, dims, parts), "id long, n long, cell int, far double, part int, v binary")
+    blocks = cut(dealt.groupBy("cell", "part").applyInArrow(_pack(kind, dims, limit / 4), "block long, cell int, far double, ids binary, weights binary, data binary, nodes binary"))
 
+    cells = {r.cell: r for r in blocks.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("blocks")).collect()}
     apart = distances(pivots, pivots)
-    touching = [(a, b) for a in cells for b in cells if a <= b and apart[a, b] <= limit + cells[a] + cells[b] + SLACK]
-    pairs = spark.createDataFrame(touching or [(-1, -1)], "cell_a int, cell_b int")
-    meta = blocks.select("cell", "part")
-    pairs = pairs.join(meta.select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a")), "cell_a").join(meta.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b")), "cell_b")
-    pairs = pairs.where("cell_a < cell_b OR part_a <= part_b").withColumn("same", F.expr("cell_a = cell_b AND part_a = part_b"))
-    for s in "ab":
-        side = blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns])
-        pairs = pairs.join(side, [f"cell_{s}", f"part_{s}"])
-    spread = pairs.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "cell_a", "part_a", "cell_b", "part_b")
-    return spread.mapInArrow(_compare(cosine), "id long, n long, to long")
+    touching = [(a, [b for b in cells if apart[a, b] <= limit + cells[a].far + cells[b].far + SLACK]) for a in cells]
+    count = sum(r.blocks for r in cells.values())
+    shares = min(count, max(int(np.ceil(np.sqrt(8 * partitions(spark)))), -(-count // SHARE)))
+    stored = blocks.drop("far").join(F.broadcast(spark.createDataFrame(touching, "cell int, touches array<int>")), "cell").repartition(shares)
+    a, b = (stored.select(*[F.col(c).alias(f"{c}_{s}") for c in stored.columns]) for s in "ab")
+    meet = F.expr("block_a <= block_b AND array_contains(touches_a, cell_b) AND array_contains(touches_b, cell_a)")
+    pairs = a.join(b.hint("shuffle_replicate_nl"), meet).drop("touches_a", "touches_b", "cell_a", "cell_b")
+    found = cut(pairs.mapInArrow(_compare(cosine, kind, axes), "id long, n long, to long"))
+    discard(blocks)
+    return found
 
 
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component_id) of every vector.
 
     Lengths that make no more than a block are compared a length a group; each of the others by cells.
+    Rows are told apart by the digest of their vector; vectors themselves go only as far as their blocks.
     """
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id", "v"])
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    key = ["dims", "sound", "h1", "h2"]
     sound = _sound(F.col("v"))
-    classes = rows.where(sound).groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+    # unsound vectors by their text, as hashes pass over nulls; -0.0 has the hash of 0.0
+    hashes = [F.when(F.col("sound"), F.xxhash64(F.lit(k), "v")).otherwise(F.xxhash64(F.lit(k), F.col("v").cast("string"))).alias(f"h{k}") for k in (1, 2)]
+    rows = rows.select("id", "v", F.size("v").alias("dims"), sound.alias("sound")).select("id", "v", "dims", "sound", *hashes)
+    plain = cut(rows.groupBy("id", *key).agg(F.count("*").alias("times")))
+    classes = plain.where("sound").groupBy(*key).agg(F.min("id").alias("head"), F.count("*").alias("n"))
     # numbered in the order of their smallest ids, so that a component's smallest number has its smallest id
-    classes = cut(classes.orderBy("head").select(F.monotonically_increasing_id().alias("id"), "head", "v", F.col("copies").alias("n"), F.size("v").alias("dims")))
-    lengths = classes.groupBy("dims").count()
-    few = classes.join(lengths.where(F.col("count") <= BLOCK), "dims").select("dims", "id", "v", "n")
-    found = few.groupBy("dims").applyInArrow(_links_of_few(cosine), "id long, n long, to long")
-    for dims, total in lengths.where(F.col("count") > BLOCK).collect():  # a length each with more than a block of vectors
-        found = found.unionByName(_links_of_many(classes.where(F.col("dims") == dims).select("id", "v", "n"), dims, total, cosine))
+    classes = cut(classes.orderBy("head").select(F.monotonically_increasing_id().alias("number"), "head", "n", *key))
+    lengths = {r.dims: r["count"] for r in classes.groupBy("dims").count().collect()}  # a row for each length
+    heads = classes.withColumnRenamed("head", "id")
+    heads = F.broadcast(heads) if sum(lengths.values()) <= BROADCAST else heads.hint("shuffle_hash")
+    heads = rows.where("sound").join(heads, ["id", *key]).select(F.col("number").alias("id"), "v", "n", "dims")
+    if plain.where("sound AND times > 1").limit(1).count():
+        heads = heads.dropDuplicates(["id"])
+    heads = cut(heads)
+    many = [d for d, n in lengths.items() if n > BLOCK]
+    found = heads.where(~F.col("dims").isin(many)).groupBy("dims").applyInArrow(_links_of_few(cosine), "id long, n long, to long")
+    for dims in many:
+        found = found.unionByName(_links_of_many(heads.where(F.col("dims") == dims), dims, lengths[dims], cosine))
     found = cut(found)
+    discard(heads)
     counts = found.groupBy("id").agg(F.sum("n").alias("n_far"))
     groups = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    groups = groups.join(classes.select(F.col("id").alias("component_id"), F.col("head").alias("least")), "component_id").select("id", "least")
-    named = classes.join(counts, "id", "left").join(groups, "id", "left")
-    named = named.select("v", (F.coalesce("n_far", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "head").alias("component_id"))
-    alone = rows.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return rows.where(sound).join(named, "v").select("id", "n_links", "component_id").unionByName(alone)
+    groups = groups.join(classes.select(F.col("number").alias("component_id"), F.col("head").alias("least")), "component_id").select("id", "least")
+    named = classes.withColumnRenamed("number", "id").join(counts, "id", "left").join(groups, "id", "left")
+    named = named.select(*key, (F.coalesce("n_far", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "head").alias("component_id"))
+    alone = plain.where(~F.col("sound")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return plain.where("sound").join(named, key).select("id", "n_links", "component_id").unionByName(alone)
 
 
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
