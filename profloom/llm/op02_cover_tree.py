@@ -12,9 +12,9 @@ distance is a lower bound; what is left at the leaves is decided by the cosine i
 
 Scale: equal vectors collapse to one weighted representative first, by a digest of 128 bits, so that
 only the representatives' vectors are moved. A cell that holds more
-rows than a block, as around a frequent vector, is several blocks. Blocks are stored once and
-dealt into shares; a task holds two shares against one another, which come to it block by block,
-so disk grows with the vectors and memory per task is two shares. In
+rows than a block, as around a frequent vector, is several blocks. Blocks are stored once, in bundles of
+blocks of neighbouring cells, and dealt into shares; a task holds two shares against one another, which come to it a pair
+of bundles at a time, so disk grows with the vectors and memory per task is two shares. In
 high dimension without clusters bounds prune little and time grows with the square of the
 number of distinct vectors, as any exact method's does. Of links, a task hands on counts
 and one spanning edge per linked vector, never pairs.
@@ -42,13 +42,15 @@ from profloom.llm.common import components, cut, discard, mix64, partitions, tab
 COSINE = 0.95
 #: Bounds: vectors of the sample that places the centres, centres, rows of a block, rows of a leaf.
 SAMPLE, PIVOTS, BLOCK, LEAF = 4096, 256, 4096, 64
-#: Numbers of a block at most (rows go down to 256 for that), blocks of a share, classes that are broadcast.
-NUMBERS, SHARE, BROADCAST = 1 << 20, 32, 100_000
+#: Numbers of a block (rows go down to 256 for that) and of a bundle of blocks, bundles of a share, classes that are broadcast.
+NUMBERS, BUNDLE, SHARE, BROADCAST = 1 << 20, 1 << 21, 4, 100_000
 #: Kept from every bound, for rounding: of distances, and of squares in single precision.
 SLACK, ROUGH = 1e-7, 2e-5
 #: Distances that are compared at once, and pairs that are decided at once.
 CHUNK, GATHER = 1 << 19, 1 << 14
 NODE = np.dtype([("lo", "<i4"), ("hi", "<i4"), ("first", "<i4"), ("kids", "<i4"), ("radius", "<f8")])
+#: What a bundle holds of each of its blocks: its name, cell, largest distance to the cell's centre, counts of rows and nodes.
+HEAD = np.dtype([("block", "<i8"), ("cell", "<i4"), ("far", "<f8"), ("rows", "<i4"), ("nodes", "<i4")])
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -300,58 +302,77 @@ def _count(pivots: np.ndarray, dims: int):
     return run
 
 
-def _deal(pivots: np.ndarray, dims: int, parts: np.ndarray):
-    """(id, n, cell, distance to its centre, part of the cell, vector's bytes)."""
+def _deal(pivots: np.ndarray, dims: int, parts: np.ndarray, bundles: np.ndarray):
+    """(id, n, cell, distance to its centre, block, bundle, vector's bytes); a cell's blocks are numbered together, by cell."""
+    first = np.cumsum(parts) - parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("v"), dims)
             cell, far = _cells(x, pivots)
-            part = (mix64(batch.column("id").to_numpy().astype(np.uint64)) % parts[cell].astype(np.uint64)).astype(np.int32)
+            block = first[cell] + (mix64(batch.column("id").to_numpy().astype(np.uint64)) % parts[cell].astype(np.uint64)).astype(np.int64)
             ends = pa.py_buffer((np.arange(len(x) + 1) * x.itemsize * dims).astype(np.int32))
             data = pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(np.ascontiguousarray(x))])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(part), data], ["id", "n", "cell", "far", "part", "v"])
+            made = [pa.array(cell.astype(np.int32)), pa.array(far), pa.array(block), pa.array(bundles[block].astype(np.int32)), data]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *made], ["id", "n", "cell", "far", "block", "bundle", "v"])
 
     return run
 
 
 def _pack(kind: str, dims: int, least: float):
-    """One row per block: ids, weights and vectors side by side in the order of its tree, and the tree."""
+    """One row per bundle: heads of its blocks; their ids, weights and vectors side by side in the order of their trees; the trees."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(-1, dims)
-        order, nodes = grow(units(x), least)
+        block, cell, far = (rows.column(c).to_numpy() for c in ("block", "cell", "far"))
+        heads, order, trees = [], [], []
+        for name in np.unique(block):
+            at = np.flatnonzero(block == name)
+            mine, nodes = grow(units(x[at]), least)
+            heads.append((name, cell[at[0]], far[at].max(), len(at), len(nodes)))
+            order.append(at[mine])
+            trees.append(nodes)
+        order = np.concatenate(order)
         one = lambda x: pa.array([x.tobytes()], pa.binary())
-        cell, part = key[0].as_py(), key[1].as_py()
         return pa.table(
             {
-                "block": pa.array([cell << 32 | part], pa.int64()), "cell": pa.array([cell], pa.int32()), "far": pa.array([rows.column("far").to_numpy().max()]),
-                "ids": one(rows.column("id").to_numpy()[order]), "weights": one(rows.column("n").to_numpy()[order]), "data": one(x[order]), "nodes": one(nodes),
+                "bundle": pa.array([key[0].as_py()], pa.int32()), "heads": one(np.array(heads, HEAD)), "ids": one(rows.column("id").to_numpy()[order]),
+                "weights": one(rows.column("n").to_numpy()[order]), "data": one(x[order]), "nodes": one(np.concatenate(trees)),
             }
         )
 
     return run
 
 
-def _compare(cosine: float, kind: str, axes: np.ndarray | None):
-    """Links among the pairs of blocks of a task; what is made of a block is kept, but for its vectors."""
+def _blocks(row: dict[str, pa.Scalar], side: str, kind: str, axes: np.ndarray | None, made: dict) -> Iterator[tuple[np.void, Block]]:
+    """(head, block) of a bundle's blocks; what is made of a block is kept for the task, but for its vectors."""
+    get = lambda name, kind: np.frombuffer(row[f"{name}_{side}"].as_buffer(), kind)
+    heads, ids, weights, nodes = get("heads", HEAD), get("ids", np.int64), get("weights", np.int64), get("nodes", NODE)
+    x = get("data", kind).reshape(len(ids), -1)
+    at = of = 0
+    for head in heads:
+        rows, tree = slice(at, at + head["rows"]), slice(of, of + head["nodes"])
+        at, of = rows.stop, tree.stop
+        if (name := int(head["block"])) not in made:
+            block = block_of(ids[rows], weights[rows], x[rows], nodes[tree], axes)
+            made[name] = block.z, block.square
+        yield head, Block(ids[rows], weights[rows], x[rows], nodes[tree], *made[name])
+
+
+def _compare(cosine: float, kind: str, pivots: np.ndarray, axes: np.ndarray | None):
+    """Links among the pairs of bundles of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, made = Links(cosine), {}
+        apart = distances(pivots, pivots)
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda name: batch.column(name)[k]  # noqa: B023, E731
-                pair = []
-                for s in "ab":
-                    name = get(f"block_{s}").as_py()
-                    ids, weights = (np.frombuffer(get(f"{c}_{s}").as_buffer(), np.int64) for c in ("ids", "weights"))
-                    x = np.frombuffer(get(f"data_{s}").as_buffer(), kind).reshape(len(ids), -1)
-                    nodes = np.frombuffer(get(f"nodes_{s}").as_buffer(), NODE)
-                    if name not in made:
-                        block = block_of(ids, weights, x, nodes, axes)
-                        made[name] = block.z, block.square
-                    pair += [Block(ids, weights, x, nodes, *made[name]), name]
-                links.add(*pair)
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                others = list(_blocks(row, "b", kind, axes, made))
+                for p, a in _blocks(row, "a", kind, axes, made):
+                    for q, b in others:
+                        if (row["bundle_a"] != row["bundle_b"] or p["block"] <= q["block"]) and apart[p["cell"], q["cell"]] <= links.far + p["far"] + q["far"] + SLACK:
+                            links.add(a, int(p["block"]), b, int(q["block"]))
         yield links.table()
 
     return run
@@ -375,9 +396,10 @@ def principal(sample: np.ndarray, far: float) -> np.ndarray | None:
     for _ in range(3):
         axes = np.linalg.qr(flat.T @ (flat @ axes))[0]
     axes = axes @ np.linalg.eigh((flat @ axes).T @ (flat @ axes))[1][:, ::-1]
-    i, j = rng.integers(0, len(sample), (2, 10_000))
-    passed = (np.cumsum(((sample[i] - sample[j]) @ axes)[i != j] ** 2, axis=1) <= far * far).mean(axis=0) if (i != j).any() else np.ones(axes.shape[1])
-    costs = {k: 33 + k + 180 * dims * passed[k - 1] for k in range(8, axes.shape[1] + 1, 8)} | {dims: 33 + dims}
+    passed = np.zeros(axes.shape[1])  # shares of pairs that the first k axes leave open
+    for i, j in rng.integers(0, len(sample), (20, 2, 5_000)):
+        passed += ((np.cumsum(((sample[i] - sample[j]) @ axes) ** 2, axis=1) <= far * far) & (i != j)[:, None]).mean(axis=0) / 20
+    costs = {k: 33 + k + 3000 * dims * passed[k - 1] for k in range(8, axes.shape[1] + 1, 8)} | {dims: 33 + dims}  # as measured with 64 components
     best = min(costs, key=costs.get)
     return None if best == dims else np.ascontiguousarray(axes[:, :best])
 
@@ -411,23 +433,31 @@ def _links_of_many(heads: DataFrame, dims: int, total: int, cosine: float) -> Da
     sample = units(_matrix(drawn.column("v").combine_chunks(), dims) if drawn.num_rows else np.ones((1, dims)))
     pivots, axes = centres(sample, min(PIVOTS, max(16, 2 * -(-total // size))), limit / 2), principal(sample, limit)
 
-    parts = np.ones(len(pivots), np.int64)
+    rows = np.zeros(len(pivots), np.int64)
     for r in heads.select("v").mapInArrow(_count(pivots, dims), "cell int, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():  # at most PIVOTS rows
-        parts[r.cell] = -(-r.rows // size)
-    dealt = heads.select("id", "v", "n").mapInArrow(_deal(pivots, dims, parts), "id long, n long, cell int, far double, part int, v binary")
-    blocks = cut(dealt.groupBy("cell", "part").applyInArrow(_pack(kind, dims, limit / 4), "block long, cell int, far double, ids binary, weights binary, data binary, nodes binary"))
-
-    cells = {r.cell: r for r in blocks.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("blocks")).collect()}
+        rows[r.cell] = r.rows
+    # cells in the order of the coarser centres that they are nearest to, so that a bundle's blocks are neighbours
+    place = np.argsort(distances(pivots, pivots[:16]).argmin(1), kind="stable")
+    pivots, rows = pivots[place], rows[place]
+    parts = np.maximum(1, -(-rows // size))
+    least = int(np.ceil(np.sqrt(8 * partitions(spark))))
+    bundles = np.cumsum(np.repeat(rows / parts, parts)) // max(size, min(BUNDLE // dims, total // (2 * least)))
+    dealt = heads.select("id", "v", "n").mapInArrow(_deal(pivots, dims, parts, bundles), "id long, n long, cell int, far double, block long, bundle int, v binary")
+    packed = dealt.repartition(partitions(spark), "bundle").groupBy("bundle").applyInArrow(_pack(kind, dims, limit / 4), "bundle int, heads binary, ids binary, weights binary, data binary, nodes binary")
+    stored = cut(packed)
+
+    cells = {r.bundle: np.frombuffer(r.heads, HEAD) for r in stored.select("bundle", "heads").collect()}  # under 40 bytes a block
     apart = distances(pivots, pivots)
-    touching = [(a, [b for b in cells if apart[a, b] <= limit + cells[a].far + cells[b].far + SLACK]) for a in cells]
-    count = sum(r.blocks for r in cells.values())
-    shares = min(count, max(int(np.ceil(np.sqrt(8 * partitions(spark)))), -(-count // SHARE)))
-    stored = blocks.drop("far").join(F.broadcast(spark.createDataFrame(touching, "cell int, touches array<int>")), "cell").repartition(shares)
-    a, b = (stored.select(*[F.col(c).alias(f"{c}_{s}") for c in stored.columns]) for s in "ab")
-    meet = F.expr("block_a <= block_b AND array_contains(touches_a, cell_b) AND array_contains(touches_b, cell_a)")
-    pairs = a.join(b.hint("shuffle_replicate_nl"), meet).drop("touches_a", "touches_b", "cell_a", "cell_b")
-    found = cut(pairs.mapInArrow(_compare(cosine, kind, axes), "id long, n long, to long"))
-    discard(blocks)
+    meet = lambda a, b: (apart[np.ix_(a["cell"], b["cell"])] <= limit + a["far"][:, None] + b["far"] + SLACK).any()
+    touching = [(a, [b for b in cells if meet(cells[a], cells[b])]) for a in cells]
+    shares = min(len(cells), max(least, -(-len(cells) // SHARE)))
+    stored_with = stored.join(F.broadcast(spark.createDataFrame(touching, "bundle int, touches array<int>")), "bundle").repartition(shares)
+    a, b = (stored_with.select(*[F.col(c).alias(f"{c}_{s}") for c in stored_with.columns]) for s in "ab")
+    # asked of both sides, so that they have the same columns and are dealt once
+    both = F.expr("bundle_a <= bundle_b AND array_contains(touches_a, bundle_b) AND array_contains(touches_b, bundle_a)")
+    pairs = a.join(b.hint("shuffle_replicate_nl"), both).drop("touches_a", "touches_b")
+    found = cut(pairs.mapInArrow(_compare(cosine, kind, pivots, axes), "id long, n long, to long"))
+    discard(stored)
     return found
 
 
